@@ -64,13 +64,15 @@ def scale_min_max(df: DataFrame, col: str, out: str | None = None,
 
 
 def engagement_index(posts: DataFrame, score: str = "score", key: str = "subreddit",
-                     fit: Column | None = None) -> DataFrame:
+                     fit: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """post_id, subreddit, subreddit_baseline, virality_index.
 
     By default the baseline and the min / max come from all rows (as the
     reproduced label does); ``fit`` restricts them to e.g. the training part.
+    ``keep`` carries further input columns through (no join back needed).
     """
-    p = posts.select("post_id", key, score, *([fit.alias("_fit")] if fit is not None else []))
+    keep = [c for c in (keep or []) if c not in ("post_id", key, score)]
+    p = posts.select("post_id", key, score, *keep, *([fit.alias("_fit")] if fit is not None else []))
     base_src = p if fit is None else p.filter("_fit")
     base = community_baseline(base_src, "mean", score, key)
     j = _attach(p, base, key, null_safe=True)
@@ -82,7 +84,7 @@ def engagement_index(posts: DataFrame, score: str = "score", key: str = "subredd
     nr = min_max(F.col("_log_ratio"), src.select(F.min("_log_ratio")).scalar(),
                  src.select(F.max("_log_ratio")).scalar())
     idx = (F.lit(0.5) * F.coalesce(ns, F.lit(0.0)) + F.lit(0.5) * F.coalesce(nr, F.lit(0.0))) * 100.0
-    return j.select("post_id", key, "subreddit_baseline", idx.alias("virality_index"))
+    return j.select("post_id", key, "subreddit_baseline", idx.alias("virality_index"), *keep)
 
 
 def median_score(posts: DataFrame, score: str = "score", key: str = "subreddit",

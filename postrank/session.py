@@ -30,9 +30,13 @@ def get_spark(master: str | None = None, app: str = "postrank",
     On a cluster ``master`` is left to spark-submit; tests pass ``local[N]``.
     """
     b = SparkSession.builder.appName(app)
+    conf = dict(DEFAULT_CONF)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            conf.setdefault("spark.driver.memory", "16g")
+            conf.setdefault("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -21,6 +21,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Stand-in community names for the documents' sources, by source number:
+# sources 0-14 take these names (target communities written in varied case and
+# spacing), the others keep their own name (communities outside the list).
+SOURCE_COMMUNITIES = ["Cooking", "baking", "FOOD", "gaming", "PCGaming", "skincareaddiction", "Frugal",
+                      "investing", "loseit", "running", "buildapc", "Anxiety", "jobs", "DIY",
+                      " HomeImprovement "]
+
+
+def source_community(source: Column) -> Column:
+    idx = F.expr("try_cast(substring(source, 4) AS INT)")
+    names = F.array(*[F.lit(n) for n in SOURCE_COMMUNITIES])
+    return F.when(idx < len(SOURCE_COMMUNITIES), F.element_at(names, idx + 1)).otherwise(source)
+
+
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """post_id, subreddit, text, url, score, date, author, token_count, language."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -35,7 +49,7 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                   ).otherwise(F.lit(""))
     out = j.select(
         F.col("doc_id").alias("post_id"),
-        F.col("source").alias("subreddit"),
+        source_community(F.col("source")).alias("subreddit"),
         F.concat(head, rest).alias("text"),
         F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("https://i.redd.it/"))
                  .otherwise(F.lit("https://example.com/p/")),
