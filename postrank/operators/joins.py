@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """Cache ``small`` and decide once whether it may be broadcast."""
+    small = small.cache()
+    return small, small.count() <= max_rows
+
+
+def join_sized(big: DataFrame, small: DataFrame, small_ok: bool, on, how: str = "inner") -> DataFrame:
+    """Join with a broadcast decision already made by :func:`fits_broadcast`."""
+    return big.join(F.broadcast(small) if small_ok else small, on, how)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join ``big`` to ``small``, broadcasting ``small`` only if it is small.

@@ -1,7 +1,7 @@
 """Free-text requests to recommendation parameters.
 
-Keyword matching runs as one projection: 76 ``contains`` tests per row,
-summed per category (no join, no shuffle). Typo-tolerant matching runs only
+Keyword matching runs as one projection: 76 ``contains`` tests per row on
+the lower-cased text (bound once), counted per category (no join, no shuffle). Typo-tolerant matching runs only
 on rows the exact pass left without a category, and compares *distinct*
 tokens with the keywords: an equi-join on token length (a keyword is only
 comparable to tokens whose length is within the similarity bound), then
@@ -34,26 +34,37 @@ def _categories_in_order() -> list[str]:
 
 
 # C7 -------------------------------------------------------------------------
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a lambda variable), so
+    the optimizer cannot copy the expression into each use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def keyword_category_expr(text: Column) -> Column:
-    """Category with the most keyword hits (substring match on lower text).
+    """Category with the most keyword hits (substring match on lower text).
 
     Ties go to the category whose earliest *hit* keyword comes first in the
-    keyword order. NULL when nothing hits.
+    keyword order; NULL when nothing hits. The lower-cased text and the list
+    of hit keywords are each computed once per row (76 ``contains`` tests).
     """
-    low = F.lower(_strip(text))
-    cands = []
-    for cat in _categories_in_order():
-        kws = [(i, k) for i, (k, c) in enumerate(CATEGORY_KEYWORDS) if c == cat]
-        hits = reduce(lambda a, b: a + b, [F.when(low.contains(k), 1).otherwise(0) for _, k in kws])
-        first = F.least(*[F.when(low.contains(k), F.lit(i)) for i, k in kws]) if len(kws) > 1 \
-            else F.when(low.contains(kws[0][1]), F.lit(kws[0][0]))
-        cands.append(F.struct(hits.alias("h"), (-first).alias("f"), F.lit(cat).alias("c")))
-    best = F.array_max(F.filter(F.array(*cands), lambda x: x["h"] > 0))
-    return best["c"]
+    kws = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.lit(i).alias("i"))
+                    for i, (k, c) in enumerate(CATEGORY_KEYWORDS)])
+
+    def per_hits(hits: Column) -> Column:
+        cands = []
+        for cat in _categories_in_order():
+            mine = F.filter(hits, lambda x: x["c"] == F.lit(cat))
+            cands.append(F.struct(F.size(mine).alias("h"),
+                                  (-F.array_min(F.transform(mine, lambda x: x["i"]))).alias("f"),
+                                  F.lit(cat).alias("c")))
+        return F.array_max(F.filter(F.array(*cands), lambda x: x["h"] > 0))["c"]
+
+    return _bind(F.lower(F.coalesce(text, F.lit(""))),
+                 lambda low: _bind(F.filter(kws, lambda x: low.contains(x["k"])), per_hits))
 
 
 def keyword_category(df: DataFrame, text: str = "text", out: str = "category") -> DataFrame:
-    """C7 as a DataFrame operator."""
+    """C7 as a DataFrame operator (one projection, no join, no shuffle)."""
     return df.withColumn(out, keyword_category_expr(F.col(text)))
 
 
@@ -79,7 +90,11 @@ def fuzzy_token_matches(tok: DataFrame) -> DataFrame:
     d = tok.select("token").distinct().withColumn("_len", F.length("token"))
     kl = _keyword_lengths(tok)
     j = join_dim(d, kl, "_len", "inner")
-    sim = F.lit(1.0) - F.levenshtein("token", "keyword") / F.greatest(F.length("token"), F.length("keyword"))
+    # The longest keyword has 11 letters, so comparable tokens have at most 13
+    # and the cutoff allows at most floor(0.2 * 13) = 2 edits: stop counting at 3.
+    bound = int((1 - FUZZY_CUTOFF) * max(len(k) for k, _ in CATEGORY_KEYWORDS) / FUZZY_CUTOFF) + 1
+    lev = F.levenshtein("token", "keyword", bound)
+    sim = F.when(lev >= 0, F.lit(1.0) - lev / F.greatest(F.length("token"), F.length("keyword")))
     j = j.withColumn("_sim", sim).filter(F.col("_sim") >= F.lit(FUZZY_CUTOFF))
     return j.groupBy("token").agg(
         F.max_by(F.struct("keyword", "category"), F.struct("_sim", "keyword")).alias("_m")
@@ -130,12 +145,11 @@ def parse_requests(df: DataFrame, text: str = "text", key: str = "request_id") -
     one. Blank text gives all NULL (raw_text kept).
     """
     stripped = _strip(F.col(text))
-    base = df.select(key, F.col(text).alias("raw_text"), stripped.alias("_s"),
-                     keyword_category_expr(F.col(text)).alias("_kw"))
+    base = keyword_category(df.select(key, F.col(text).alias("raw_text"), stripped.alias("_s")), "_s", "_kw")
     base = base.cache()
     need = base.filter(F.col("_kw").isNull() & (F.col("_s") != ""))
     fz = fuzzy_category(need.select(key, F.col("_s").alias("_t")), "_t", key, "_fz")
-    j = base.join(fz, key, "left")
+    j = join_checked(base, fz, key, "left")
     blank = F.col("_s") == ""
     cat = F.when(~blank, F.coalesce(F.col("_kw"), F.col("_fz")))
     src = F.when(blank, F.lit(None)).when(F.col("_kw").isNotNull(), F.lit("keyword")) \

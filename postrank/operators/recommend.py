@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..dims import ALL, FEATURE_NAMES, RANGE_FEATURES, SEGMENT_KEYS
 from ..functions import format as fmt
 from ..functions.text import day_name
-from .joins import join_checked
+from .joins import fits_broadcast, join_checked, join_sized
 
 KEYS = SEGMENT_KEYS
 
@@ -48,9 +48,8 @@ def match_segment(requests: DataFrame, seg: DataFrame, cat: str = "category", pt
     keys ``{prefix}category`` ... and the segment row's other columns.
     Each level is one broadcast hash join against the distinct segment keys.
     """
-    seg = seg.dropDuplicates(KEYS)
-    keys = seg.select(*KEYS).cache()
-    keys.count()
+    seg, small = fits_broadcast(seg.dropDuplicates(KEYS))
+    keys = seg.select(*KEYS)
     cands = [(F.col(cat), F.col(pt), F.col(mech)), (F.col(cat), F.lit(ALL), F.col(mech)),
              (F.col(cat), F.col(pt), F.lit(ALL)), (F.col(cat), F.lit(ALL), F.lit(ALL))]
     r = requests
@@ -58,7 +57,7 @@ def match_segment(requests: DataFrame, seg: DataFrame, cat: str = "category", pt
         k = keys.select(*[F.col(c).alias(f"_k{i}_{j}") for j, c in enumerate(KEYS)],
                         F.lit(True).alias(f"_hit{i}"))
         cond = reduce(lambda a, b: a & b, [cand[j] == k[f"_k{i}_{j}"] for j in range(3)])
-        r = join_checked(r, k, cond, "left").drop(*[f"_k{i}_{j}" for j in range(3)])
+        r = join_sized(r, k, small, cond, "left").drop(*[f"_k{i}_{j}" for j in range(3)])
     glob = keys.filter(reduce(lambda a, b: a & b, [F.col(c) == ALL for c in KEYS])) \
                .select((F.count("*") > 0).alias("g")).scalar()
     cands.append((F.lit(ALL), F.lit(ALL), F.lit(ALL)))
@@ -74,7 +73,7 @@ def match_segment(requests: DataFrame, seg: DataFrame, cat: str = "category", pt
     rest = seg.select(*[F.col(c).alias(f"_s_{c}") for c in KEYS],
                       *[F.col(c).alias(f"{prefix}{c}") for c in seg.columns if c not in KEYS])
     cond = reduce(lambda a, b: a & b, [F.col(f"{prefix}{c}") == F.col(f"_s_{c}") for c in KEYS])
-    return join_checked(r, rest, cond, "left").drop(*[f"_s_{c}" for c in KEYS])
+    return join_sized(r, rest, small, cond, "left").drop(*[f"_s_{c}" for c in KEYS])
 
 
 # D4 / D5 / F1 ---------------------------------------------------------------

@@ -372,9 +372,8 @@ def h3(spark, sf):
 
 @q("h4_request_mechanism")
 def h4(spark, sf):
-    t = A.text_requests(spark, sf)
-    return t.select("request_id", T.request_mechanism(F.col("text"), PR.keyword_category_expr(F.col("text")))
-                    .alias("mechanism"))
+    t = PR.keyword_category(A.text_requests(spark, sf), "text", "_kw")
+    return t.select("request_id", T.request_mechanism(F.col("text"), F.col("_kw")).alias("mechanism"))
 
 
 @q("h5_location")

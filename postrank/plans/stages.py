@@ -16,7 +16,8 @@ from ..operators import segments as S
 from ..operators.labels import engagement_index
 from ..operators.textfeat import nlp_features
 from ..sources import adapters as A
-from ..sources.io import load_serving
+from ..session import scratch_path
+from ..sources.io import load_serving, materialize
 from ..sources.lexicons import emotion_lexicon, sentiment_lexicon
 
 
@@ -55,18 +56,40 @@ def event_labelled(spark: SparkSession, sf: str) -> DataFrame:
               .withColumn("day_of_week", day_of_week(ts)))
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Build a table once per session and data folder, write it as Parquet in
+    the shared checkpoint folder, and read it back (lineage cut, survives a
+    lost executor, and later readers get exact sizes from the files)."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    path = _WRITTEN.get(key)
+    if path is None:
+        tag = abs(hash(sf)) % 10**8
+        path = scratch_path(spark, f"tables/{name}_{tag}")
+        materialize(build(), path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def event_split(spark: SparkSession, sf: str) -> DataFrame:
-    return DS.temporal_split(event_labelled(spark, sf))
+    return written(spark, sf, "event_split", lambda: DS.temporal_split(event_labelled(spark, sf)))
+
+
+SERVING_BUILDERS = {"model_metadata": S.segment_metadata, "predictions": S.prediction_grid,
+                    "optimal_ranges": S.optimal_ranges}
+
+
+def build_serving(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One serving table (lazy plan) from the labelled, split event posts."""
+    return SERVING_BUILDERS[name](event_split(spark, sf))
 
 
 def serving(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The three serving tables built from the labelled event posts, registered."""
-    sp = event_split(spark, sf).cache()
+    """The serving tables, written once and registered as views."""
     return load_serving(spark, {
-        "model_metadata": S.segment_metadata(sp),
-        "predictions": S.prediction_grid(sp),
-        "optimal_ranges": S.optimal_ranges(sp),
-    })
+        n: written(spark, sf, n, lambda n=n: build_serving(spark, sf, n)) for n in SERVING_BUILDERS})
 
 
 def finish(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -18,7 +18,17 @@ from ..functions.text import word_count
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than there are cores (a file
+    with one row group reads as one partition) round-robin over the cores.
+    On a cluster the inputs have far more splits than cores: no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 # Stand-in community names for the documents' sources, by source number:
