@@ -590,5 +590,35 @@ def r5(spark, sf):
     return R.segment_facts(G.serving(spark, sf)["predictions"])
 
 
+# --- S: streaming -----------------------------------------------------------------
+
+def _stream_run(spark, sf):
+    import uuid
+    from ..streaming.collect import start_collect
+    src = _scratch(spark, sf, "s_source")
+    io.materialize(G.raw(spark, sf).repartition(4), src)  # a folder of files = the stream
+    run = scratch_path(spark, f"s_run_{uuid.uuid4().hex[:8]}")
+    query = start_collect(spark, src, f"{run}/out", f"{run}/checkpoint")
+    query.awaitTermination()
+    return query, f"{run}/out"
+
+
+@q("s1_collect_stream")
+def s1(spark, sf):
+    """Stream the raw posts through the allow-list filter into Parquet (equals B2 in batch)."""
+    from .. import schemas
+    _, out = _stream_run(spark, sf)
+    return spark.read.schema(schemas.RAW_POSTS).parquet(out)
+
+
+@q("s2_stream_progress")
+def s2(spark, sf):
+    """Rows checked and kept, from the stream's observed metrics."""
+    from ..streaming.collect import progress_counts
+    query, _ = _stream_run(spark, sf)
+    checked, matched = progress_counts(query)
+    return spark.createDataFrame([(checked, matched)], "checked long, matched long")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

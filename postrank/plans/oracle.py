@@ -755,5 +755,11 @@ o("r5_segment_facts", f"""SELECT {KEYS}, n_rows, n_subreddits, {r4('avg_score')}
   best_mechanism FROM facts""", "facts")
 
 
+o("s1_collect_stream", f"SELECT {RAW_COLS} FROM raw_posts WHERE lower(trim(subreddit)) IN "
+  "(SELECT community_lc FROM category_dim)", "raw_posts", "category_dim")
+o("s2_stream_progress", "SELECT count(*) AS checked, count_if(lower(trim(subreddit)) IN "
+  "(SELECT community_lc FROM category_dim)) AS matched FROM raw_posts", "raw_posts", "category_dim")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
