@@ -534,6 +534,80 @@ def m8(spark, sf):
     return G.serving(spark, sf)["optimal_ranges"]
 
 
+def _trained(spark, sf):
+    from ..operators import model as M
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        ms = G.model_split(spark, sf)
+        _MODELS[key] = M.train_gbt(DS.trainable(ms).filter("trainable"))
+    return _MODELS[key]
+
+
+_MODELS: dict = {}
+
+
+@q("m1_assemble")
+def m1(spark, sf):
+    """Indexed categoricals + assembled feature vectors of the trainable rows."""
+    from pyspark.ml import Pipeline
+    from ..operators import model as M
+    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable")
+    pm = Pipeline(stages=M.assemble_stages()).fit(M.prepare(ms))
+    v = pm.transform(M.prepare(ms))
+    from pyspark.ml.functions import vector_to_array
+    return v.select("post_id", "split", F.size(vector_to_array("features")).alias("n_features"),
+                    "subreddit_idx", "category_idx", "engagement_mechanism_idx")
+
+
+@q("m2_train_gbt")
+def m2(spark, sf):
+    """Boosted trees (300 x depth 6, rate 0.05, validation stopping); metrics on train and test."""
+    from ..operators import model as M
+    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable")
+    sc = M.score(_trained(spark, sf), ms.filter(F.col("split").isin("train", "test")))
+    m = S.regression_metrics(sc, "virality_index", "prediction", ["split"])
+    return m.withColumn("vs_baseline", S.compare_to_baseline(F.col("r2")))
+
+
+@q("m3_score")
+def m3(spark, sf):
+    from ..operators import model as M
+    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable")
+    return M.score(_trained(spark, sf), ms.filter(F.col("split") == "test")).select(
+        "post_id", F.col("virality_index").alias("actual"), F.col("prediction").alias("predicted"))
+
+
+@q("m4_attribution")
+def m4(spark, sf):
+    """Ranked attribution: tree split-gain importances and the linear model's mean |contribution|."""
+    from ..operators import model as M
+    imp = M.gbt_importances(_trained(spark, sf))
+    lin = M.segment_models(G.model_split(spark, sf)).filter(
+        (F.col("category") == ALL) & (F.col("has_media") == ALL) & (F.col("engagement_mechanism") == ALL))
+    lin_long = lin.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
+                                                       F.col(f"{f}_shap").alias("mean_abs"))
+                                              for f in M.FEATURE_NAMES])).alias("x")).select("x.*")
+    return imp.join(lin_long, "feature", "full")
+
+
+@q("m5_driver_direction")
+def m5(spark, sf):
+    """Top-5 drivers of the overall linear model with direction and controllability."""
+    from ..operators import model as M
+    t = M.segment_contributions(G.model_split(spark, sf)).filter(
+        (F.col("category") == ALL) & (F.col("has_media") == ALL) & (F.col("engagement_mechanism") == ALL))
+    att = t.agg(*[F.avg(F.abs(F.col(f"{f}_contrib"))).alias(f) for f in M.FEATURE_NAMES]) \
+           .unpivot([], M.FEATURE_NAMES, "feature", "mean_abs")
+    return M.driver_direction(t, att, 5)
+
+
+@q("m6_segment_models")
+def m6b(spark, sf):
+    """model_metadata from per-segment ridge models (grouped sums + one solve per segment)."""
+    from ..operators import model as M
+    return M.segment_models(G.model_split(spark, sf))
+
+
 # --- R: recommendation --------------------------------------------------------------------
 
 @q("r1_confidence")

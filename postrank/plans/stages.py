@@ -46,6 +46,12 @@ def model_ready(spark: SparkSession, sf: str) -> DataFrame:
     return DS.build_model_ready(labels(spark, sf), features(spark, sf), nlp(spark, sf))
 
 
+def model_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Model-ready table with its timestamp (C3) and the time-ordered split (E4), written once."""
+    return written(spark, sf, "model_split", lambda: DS.temporal_split(
+        DS.attach_timestamp(model_ready(spark, sf), processed(spark, sf))))
+
+
 def event_labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Event posts with the index and the timing features."""
     ep = A.event_posts(spark, sf)
