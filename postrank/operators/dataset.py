@@ -71,6 +71,8 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
                 partitions: int | None = None) -> DataFrame:
     """Exact 1-based rank over a total order, without a single-partition window.
 
+    Adds ``name`` and ``{name}_total`` (the number of rows).
+
     Range-partition on the full sort key (sampling picks balanced bounds even
     when one timestamp holds a third of the rows, since the key is made unique
     by the tie-breaker), sort within partitions, number rows locally, and add
@@ -91,7 +93,9 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
           .withColumn("_local", F.col("_mid").bitwiseAND((1 << LOCAL_BITS) - 1)))
     counts = r.groupBy("_pid").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    whole = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(whole).alias(f"{name}_total"))
     # one row per range partition: bounded by ``p``, so broadcasting is safe
     out = r.join(F.broadcast(offsets), "_pid", "inner")
     return out.withColumn(name, F.col("_off") + F.col("_local") + 1).drop("_mid", "_pid", "_local", "_off")
@@ -104,12 +108,12 @@ def temporal_split(df: DataFrame, ts: str = "posted_at_local", key: str = "post_
     Cut points are floor(n * 0.70) and floor(n * 0.85) over the exact rank.
     """
     ranked = global_rank(df, [ts, key], "_rank")
-    n = df.select(F.count("*")).scalar()
+    n = F.col("_rank_total")
     c1 = F.floor(n * F.lit(train))
     c2 = F.floor(n * F.lit(val))
     split = (F.when(F.col("_rank") - 1 < c1, "train")
              .when(F.col("_rank") - 1 < c2, "val").otherwise("test"))
-    return ranked.withColumn("split", split).drop("_rank")
+    return ranked.withColumn("split", split).drop("_rank", "_rank_total")
 
 
 def check_split(df: DataFrame, ts: str = "posted_at_local") -> DataFrame:
