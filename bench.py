@@ -24,7 +24,7 @@ HEADLINE = [
     ("engagement_index", "h33_engagement_index"),
     ("segment_cube", "d17_segment_cube"),
     ("temporal_split", "e4_temporal_split"),
-    ("model_metadata", "m6_segment_metadata"),
+    ("serving_build", "m6_segment_metadata"),   # builds and writes all three serving tables
     ("prediction_grid", "m7_prediction_grid"),
     ("optimal_ranges", "m8_optimal_ranges"),
     ("top_communities", "d4_top_communities"),

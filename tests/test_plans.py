@@ -56,3 +56,20 @@ def test_entry_and_registry(spark):
     qs, ors = E.queries(), E.oracle_sql()
     assert set(ors) <= set(qs)
     assert not any("pipeline" in k or k.startswith("op") for k in qs)
+
+
+def test_checked_join_falls_back_to_shuffle(spark):
+    from postrank.operators.joins import join_checked
+    big = spark.range(0, 2000).withColumn("k", F.col("id") % 7)
+    small = spark.range(0, 7).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 10)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only our own decision counts here
+    try:
+        a = join_checked(big, small, "k", "left")
+        b = join_checked(big, small, "k", "left", max_rows=0)
+        plan_a = a._jdf.queryExecution().executedPlan().toString()
+        plan_b = b._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan_a and "BroadcastHashJoin" not in plan_b
+        assert sorted(a.collect()) == sorted(b.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
