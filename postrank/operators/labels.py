@@ -74,13 +74,18 @@ def engagement_index(posts: DataFrame, score: str = "score", key: str = "subredd
     keep = [c for c in (keep or []) if c not in ("post_id", key, score)]
     p = posts.select("post_id", key, score, *keep, *([fit.alias("_fit")] if fit is not None else []))
     base_src = p if fit is None else p.filter("_fit")
-    base = community_baseline(base_src, "mean", score, key)
-    j = _attach(p, base, key, null_safe=True)
+    # One pass gives the community means and, since ln(x + 1) is increasing,
+    # the extremes of the log score: ln(min / max valid score + 1).
+    s = F.col(score)
+    base = base_src.groupBy(key).agg(F.avg(s.cast("double")).alias("subreddit_baseline"),
+                                     F.min(F.when(s > -1, s)).alias("_smin"),
+                                     F.max(F.when(s > -1, s)).alias("_smax")).cache()
+    j = _attach(p, base.select(key, "subreddit_baseline"), key, null_safe=True)
     j = (j.withColumn("_log_score", guarded_log1p(F.col(score)))
           .withColumn("_log_ratio", guarded_log1p(ratio(F.col(score), F.col("subreddit_baseline")))))
     src = j if fit is None else j.filter("_fit")
-    ns = min_max(F.col("_log_score"), src.select(F.min("_log_score")).scalar(),
-                 src.select(F.max("_log_score")).scalar())
+    ns = min_max(F.col("_log_score"), base.select(guarded_log1p(F.min("_smin"))).scalar(),
+                 base.select(guarded_log1p(F.max("_smax"))).scalar())
     nr = min_max(F.col("_log_ratio"), src.select(F.min("_log_ratio")).scalar(),
                  src.select(F.max("_log_ratio")).scalar())
     idx = (F.lit(0.5) * F.coalesce(ns, F.lit(0.0)) + F.lit(0.5) * F.coalesce(nr, F.lit(0.0))) * 100.0
