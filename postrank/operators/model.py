@@ -62,6 +62,8 @@ def train_gbt(df: DataFrame, max_iter: int = 300, max_depth: int = 6, step: floa
     Returns the fitted ``PipelineModel``. Spark stops on a validation
     tolerance rather than a patience count.
     """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # boosting checkpoints its lineage every 10 iterations
     data = prepare(df, features).withColumn("_is_val", F.col(split) == "val") \
         .filter(F.col(split).isin("train", "val"))
     cats = [c for c in features if c in CATEGORICAL_FEATURES]

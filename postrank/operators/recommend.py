@@ -149,9 +149,9 @@ def best_mechanism(pred: DataFrame) -> DataFrame:
 def segment_facts(pred: DataFrame) -> DataFrame:
     """One row of facts per segment that has prediction rows."""
     o = segment_overview(pred)
-    f = (o.join(segment_slot(pred), KEYS, "left")
-          .join(media_compare(pred), ["category", "engagement_mechanism"], "left")
-          .join(best_mechanism(pred), ["category", "has_media"], "left"))
+    f = join_checked(o, segment_slot(pred), KEYS, "left")
+    f = join_checked(f, media_compare(pred), ["category", "engagement_mechanism"], "left")
+    f = join_checked(f, best_mechanism(pred), ["category", "has_media"], "left")
     return f.select(*KEYS, "n_rows", "n_subreddits", "avg_score",
                     F.try_element_at(F.array(*[F.lit(d) for d in
                                                ["Sunday", "Monday", "Tuesday", "Wednesday",

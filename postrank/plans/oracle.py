@@ -552,7 +552,7 @@ o("h4_request_mechanism", f"SELECT request_id, {_req_mech('text', 'category')} A
 o("h5_location", f"SELECT request_id, {_loc('text')} AS location FROM text_requests", "text_requests")
 o("h6_normalize_label", f"SELECT conv_id, turn, {_normalize('text')} AS label FROM conversations")
 o("h7_resolve_label", f"SELECT conv_id, turn, {_resolve('text')} AS category FROM conversations")
-o("h9_tokens", "SELECT post_id, len(tok) AS n_tokens, array_to_string(tok, ' ') AS tokens FROM (SELECT post_id, "
+o("h9_tokens", "SELECT post_id, CAST(len(tok) AS INTEGER) AS n_tokens, array_to_string(tok, ' ') AS tokens FROM (SELECT post_id, "
   "regexp_extract_all(lower(txt), '[a-z'']+') AS tok FROM post_text)", "post_text")
 
 

@@ -25,9 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer splits than there are cores (a file
     with one row group reads as one partition) round-robin over the cores.
     On a cluster the inputs have far more splits than cores: no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
+        pass
     return df
 
 

@@ -73,3 +73,13 @@ def test_checked_join_falls_back_to_shuffle(spark):
         assert sorted(a.collect()) == sorted(b.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_recommend_streams_requests_through_broadcasts(spark):
+    from fixtures import contract_tables, requests
+    from postrank.operators import recommend as R
+    meta, preds, ranges = contract_tables(spark)
+    req = requests(spark, [("Food & Cooking", None, "question", "technical")] * 3)
+    plan = R.recommend(req, meta, preds, ranges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("BroadcastHashJoin") >= 10
