@@ -22,6 +22,16 @@ DEFAULT_CONF = {
 }
 
 
+def _local_heap() -> str:
+    """Driver heap for local mode: 60% of physical memory, between 1 and 16 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        gib = int(total * 0.6 / 2**30)
+    except (ValueError, OSError, AttributeError):
+        gib = 4
+    return f"{max(1, min(16, gib))}g"
+
+
 def get_spark(master: str | None = None, app: str = "postrank",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
@@ -35,7 +45,7 @@ def get_spark(master: str | None = None, app: str = "postrank",
         b = b.master(master)
         if master.startswith("local"):
             # local mode: the driver JVM is the only executor
-            conf.setdefault("spark.driver.memory", "16g")
+            conf.setdefault("spark.driver.memory", _local_heap())
             conf.setdefault("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
