@@ -145,8 +145,9 @@ def parse_requests(df: DataFrame, text: str = "text", key: str = "request_id") -
     one. Blank text gives all NULL (raw_text kept).
     """
     stripped = _strip(F.col(text))
+    # Not cached: at scale the request table (with its text) is re-read for the
+    # typo-tolerant branch instead of being held in memory or on local disk.
     base = keyword_category(df.select(key, F.col(text).alias("raw_text"), stripped.alias("_s")), "_s", "_kw")
-    base = base.cache()
     need = base.filter(F.col("_kw").isNull() & (F.col("_s") != ""))
     fz = fuzzy_category(need.select(key, F.col("_s").alias("_t")), "_t", key, "_fz")
     j = join_checked(base, fz, key, "left")

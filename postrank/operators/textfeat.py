@@ -49,29 +49,64 @@ def _emotion_flags(lex: DataFrame) -> DataFrame:
                                      for e in EMOTIONS])
 
 
-# N2 -------------------------------------------------------------------------
+# N1 / N2 (one token pass) ----------------------------------------------------
+def token_features(posts: DataFrame, emo_lex: DataFrame | None = None, sent_lex: DataFrame | None = None,
+                   title: str = "title", body: str = "body", carry: list[Column] | None = None) -> DataFrame:
+    """Emotion rates and sentiment from a single explode of the tokens.
+
+    Both lexicons are broadcast dimension tables (size-checked); the per-post
+    aggregate is partially aggregated in the task that exploded the post, so
+    only one post-sized row per post is shuffled. ``carry`` columns (per-post
+    values) ride along and are taken back with ``first``.
+    """
+    carry = carry or []
+    text = post_text(F.col(title), F.col(body))
+    base = posts.select("post_id", *carry, (text == "").alias("_empty"), tokens(text).alias("_tok"))
+    names = [c for c in base.columns if c not in ("post_id", "_empty", "_tok")]
+    if sent_lex is not None:
+        neg = F.array(*[F.lit(w) for w in NEGATIONS])
+        # transform's index is 0-based; slice is 1-based: tokens i-3 .. i-1 are
+        # positions max(i-2,1) .. i (1-based), i.e. up to three before token i.
+        items = F.transform(F.col("_tok"), lambda w, i: F.struct(
+            w.alias("word"),
+            F.arrays_overlap(F.slice(F.col("_tok"), F.greatest(i - 2, F.lit(1)),
+                                     i - F.greatest(i - 2, F.lit(1)) + 1), neg).alias("neg")))
+    else:
+        items = F.transform(F.col("_tok"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("neg")))
+    ex = base.select("post_id", *names, "_empty", F.size("_tok").alias("_n"), F.explode_outer(items).alias("t"))
+    ex = ex.select("post_id", *names, "_empty", "_n", F.col("t.word").alias("word"),
+                   F.coalesce(F.col("t.neg"), F.lit(False)).alias("neg"))
+    aggs = [F.first(c).alias(c) for c in names] + [F.first("_empty").alias("_empty"), F.first("_n").alias("_n")]
+    if emo_lex is not None:
+        ex = join_checked(ex, _emotion_flags(emo_lex), "word", "left")
+        aggs += [F.sum(F.coalesce(F.col(f"_e_{e}"), F.lit(0))).alias(f"_h_{e}") for e in EMOTIONS]
+    if sent_lex is not None:
+        lx = sent_lex.groupBy("word").agg(F.first("valence").alias("valence"))
+        ex = join_checked(ex, lx, "word", "left")
+        v = F.col("valence") * F.when(F.col("neg"), F.lit(NEG_SCALAR)).otherwise(F.lit(1.0))
+        aggs.append(F.sum(F.coalesce(v, F.lit(0.0))).alias("_s"))
+    g = ex.groupBy("post_id").agg(*aggs)
+    out = [F.col("post_id"), *[F.col(c) for c in names]]
+    if emo_lex is not None:
+        out += [F.when(F.col("_empty"), F.lit(None).cast("double"))
+                 .when(F.col("_n") == 0, F.lit(0.0))
+                 .otherwise(F.col(f"_h_{e}") / F.col("_n")).alias(f"nrc_{e}") for e in EMOTIONS]
+    if sent_lex is not None:
+        comp = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(SENT_ALPHA))
+        out.append(F.when(F.col("_empty"), F.lit(None).cast("double"))
+                   .otherwise(F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0))).alias("vader_compound"))
+    return g.select(*out)
+
+
 def emotions(posts: DataFrame, lex: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
     """post_id + nrc_<emotion> = hits / words.
 
     NULL when the text is empty, 0.0 when it has no word tokens. A word that
     carries several emotions counts once for each.
     """
-    text = post_text(F.col(title), F.col(body))
-    base = posts.select("post_id", (text == "").alias("_empty"), tokens(text).alias("_tok"))
-    flags = _emotion_flags(lex)
-    ex = base.select("post_id", "_empty", F.size("_tok").alias("_n"),
-                     F.explode_outer("_tok").alias("word"))
-    j = join_checked(ex, flags, "word", "left")
-    g = j.groupBy("post_id").agg(F.first("_empty").alias("_empty"), F.first("_n").alias("_n"),
-                                 *[F.sum(F.coalesce(F.col(f"_e_{e}"), F.lit(0))).alias(f"_h_{e}")
-                                   for e in EMOTIONS])
-    return g.select("post_id", *[
-        F.when(F.col("_empty"), F.lit(None).cast("double"))
-         .when(F.col("_n") == 0, F.lit(0.0))
-         .otherwise(F.col(f"_h_{e}") / F.col("_n")).alias(f"nrc_{e}") for e in EMOTIONS])
-
-
-# N1 -------------------------------------------------------------------------
+    return token_features(posts, emo_lex=lex, title=title, body=body)
+
+
 def sentiment(posts: DataFrame, lex: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
     """post_id + vader_compound in [-1, 1]; NULL for empty text.
 
@@ -79,26 +114,7 @@ def sentiment(posts: DataFrame, lex: DataFrame, title: str = "title", body: str
     when one of the three previous tokens is a negation), normalised as
     s / sqrt(s^2 + 15). Lexicon: (word, valence).
     """
-    text = post_text(F.col(title), F.col(body))
-    base = posts.select("post_id", (text == "").alias("_empty"), tokens(text).alias("_tok"))
-    neg = F.array(*[F.lit(w) for w in NEGATIONS])
-    items = F.transform(F.col("_tok"), lambda w, i: F.struct(
-        w.alias("word"),
-        F.arrays_overlap(F.slice(F.col("_tok"), F.greatest(i - 2, F.lit(1)),
-                                 i - F.greatest(i - 2, F.lit(1)) + 1), neg).alias("neg")))
-    # transform's index is 0-based; slice is 1-based: tokens i-3 .. i-1 are
-    # positions max(i-2,1) .. i (1-based), i.e. up to three before token i.
-    ex = base.select("post_id", "_empty", F.explode_outer(items).alias("t"))
-    ex = ex.select("post_id", "_empty", F.col("t.word").alias("word"),
-                   F.coalesce(F.col("t.neg"), F.lit(False)).alias("neg"))
-    lx = lex.groupBy("word").agg(F.first("valence").alias("valence"))
-    j = join_checked(ex, lx, "word", "left")
-    v = F.col("valence") * F.when(F.col("neg"), F.lit(NEG_SCALAR)).otherwise(F.lit(1.0))
-    g = j.groupBy("post_id").agg(F.first("_empty").alias("_empty"),
-                                 F.sum(F.coalesce(v, F.lit(0.0))).alias("_s"))
-    comp = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(SENT_ALPHA))
-    return g.select("post_id", F.when(F.col("_empty"), F.lit(None).cast("double"))
-                    .otherwise(F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0))).alias("vader_compound"))
+    return token_features(posts, sent_lex=lex, title=title, body=body)
 
 
 # N3 -------------------------------------------------------------------------
@@ -147,19 +163,18 @@ def nlp_features(posts: DataFrame, feats: DataFrame, emo_lex: DataFrame, sent_le
     """The 16-column NLP feature table keyed on post_id (text dropped).
 
     posts: processed posts (post_id, title, body, subreddit); feats: post
-    features (post_id, has_media). The three per-post aggregates are joined
-    on post_id (post-sized shuffle joins).
+    features (post_id, has_media). One post-level join (post_id), then one
+    token pass (:func:`token_features`) that also carries the per-post
+    columns, so the text is read once and nothing post-sized is cached.
     """
     p = posts.select("post_id", "title", "body", "subreddit").join(
         feats.select("post_id", "has_media"), "post_id", "inner")
-    p = p.cache()
-    base = add_category(p).select(
-        "post_id", "subreddit", "category",
-        post_mechanism(F.col("title"), F.col("has_media")).alias("engagement_mechanism"),
-        readability_expr(post_text(F.col("title"), F.col("body"))).alias("readability"),
-        word_count(F.col("title")).alias("title_length"),
-        word_count(F.col("body")).alias("body_length"))
-    out = base.join(sentiment(p, sent_lex), "post_id", "left").join(emotions(p, emo_lex), "post_id", "left")
+    p = add_category(p, dim)
+    carry = [F.col("subreddit"), F.col("category"),
+             post_mechanism(F.col("title"), F.col("has_media")).alias("engagement_mechanism"),
+             readability_expr(post_text(F.col("title"), F.col("body"))).alias("readability"),
+             word_count(F.col("title")).alias("title_length"), word_count(F.col("body")).alias("body_length")]
+    out = token_features(p, emo_lex, sent_lex, carry=carry)
     return out.select("post_id", "vader_compound", *[f"nrc_{e}" for e in EMOTIONS], "readability",
                       "title_length", "body_length", "subreddit", "category", "engagement_mechanism")
 
