@@ -21,8 +21,12 @@ from ..functions.text import location, normalize_label, request_mechanism
 from .joins import join_checked, join_dim
 
 
+WHITESPACE = " \t\n\r\f\x0b"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    """Strip surrounding whitespace (no regex: a character-set trim)."""
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITESPACE))
 
 
 def _categories_in_order() -> list[str]:
@@ -109,7 +113,7 @@ def fuzzy_category(df: DataFrame, text: str = "text", key: str = "request_id",
     most hits wins, ties to the category matched first in the text.
     Returns (key, out) for rows with at least one match.
     """
-    low = F.lower(_strip(F.col(text)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))  # surrounding whitespace holds no tokens
     tok = (df.select(key, F.posexplode(F.regexp_extract_all(low, F.lit("[a-z]+"), 0)).alias("pos", "token"))
              .filter(F.length("token") >= FUZZY_MIN_LEN))
     m = fuzzy_token_matches(tok)
