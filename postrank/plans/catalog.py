@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import ALL, EMOTIONS
+from ..dims import ALL
 from ..functions import format as fmt
 from ..functions import text as T
 from ..operators import dataset as DS
