@@ -83,3 +83,23 @@ def test_recommend_streams_requests_through_broadcasts(spark):
     plan = R.recommend(req, meta, preds, ranges)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     assert plan.count("BroadcastHashJoin") >= 10
+
+
+def test_prediction_grid_against_brute_force(spark):
+    """M7 on the ALL/ALL/ALL segment equals a direct pandas computation."""
+    import itertools
+
+    from postrank.operators.segments import prediction_grid
+    lab = G.event_labelled(spark, SF).select("subreddit", "hour_of_day", "day_of_week", "virality_index",
+                                              "category", "has_media", "engagement_mechanism")
+    pdf = lab.toPandas()
+    got = {(r.subreddit, r.hour_of_day, r.day_of_week): r.predicted_viral_score for r in
+           prediction_grid(lab).filter("category = 'ALL' AND has_media = 'ALL' AND engagement_mechanism = 'ALL'")
+           .collect()}
+    comm = pdf.groupby("subreddit")["virality_index"].mean()
+    cell = pdf.groupby(["subreddit", "hour_of_day", "day_of_week"])["virality_index"].agg(["sum", "count"])
+    assert len(got) == len(comm) * 168
+    for sub, h, d in itertools.product(comm.index, range(24), range(7)):
+        s, n = (cell.loc[(sub, h, d)].tolist() if (sub, h, d) in cell.index else (0.0, 0))
+        want = min(max((s + 5.0 * comm[sub]) / (n + 5.0), 0.0), 100.0)
+        assert abs(got[(sub, h, d)] - want) < 1e-9
