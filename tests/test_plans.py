@@ -103,3 +103,41 @@ def test_prediction_grid_against_brute_force(spark):
         s, n = (cell.loc[(sub, h, d)].tolist() if (sub, h, d) in cell.index else (0.0, 0))
         want = min(max((s + 5.0 * comm[sub]) / (n + 5.0), 0.0), 100.0)
         assert abs(got[(sub, h, d)] - want) < 1e-9
+
+
+def test_optimal_ranges_against_brute_force(spark):
+    import numpy as np
+
+    from postrank.operators.segments import optimal_ranges
+    lab = G.event_labelled(spark, SF)
+    row = optimal_ranges(lab).filter("category = 'ALL' AND has_media = 'ALL' AND engagement_mechanism = 'ALL'") \
+        .first()
+    pdf = lab.select("virality_index", "hour_of_day", "day_of_week").toPandas()
+    y = pdf["virality_index"].round(2)
+    top = pdf[y >= np.percentile(y, 75)]
+    for f in ("hour_of_day", "day_of_week"):
+        assert abs(row[f"{f}_opt_min"] - np.percentile(top[f], 25)) < 1e-9
+        assert abs(row[f"{f}_opt_max"] - np.percentile(top[f], 75)) < 1e-9
+    assert row["title_length_opt_min"] is None
+
+
+def test_segment_ridge_recovers_linear_label(spark):
+    import random
+
+    from postrank.dims import EMOTIONS
+    from postrank.operators.model import segment_models
+    rnd = random.Random(7)
+    rows = []
+    for i in range(600):
+        h, d, t = rnd.randrange(24), rnd.randrange(7), rnd.randrange(1, 40)
+        y = 10.0 + 1.5 * h + 2.0 * d + 0.5 * t
+        rows.append((i, y, h, d, i % 2 == 0, t * 3, 0.1, *[0.0] * 8, 50.0, t, t * 2,
+                     f"c{i % 5}", "Gaming", "statement", ["train", "val", "test"][i % 3]))
+    schema = ("post_id long, virality_index double, hour_of_day int, day_of_week int, has_media boolean, "
+              "post_length_proxy long, vader_compound double, " + ", ".join(f"nrc_{e} double" for e in EMOTIONS)
+              + ", readability double, title_length int, body_length int, subreddit string, category string, "
+              "engagement_mechanism string, split string")
+    m = segment_models(spark.createDataFrame(rows, schema), lam=1e-6)
+    g = m.filter("category = 'ALL' AND has_media = 'ALL' AND engagement_mechanism = 'ALL'").first()
+    assert g.sample_size == 600 and g.test_r2 > 0.999 and g.test_rmse < 0.1
+    assert g.hour_of_day_shap > g.nrc_joy_shap
