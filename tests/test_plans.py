@@ -141,3 +141,17 @@ def test_segment_ridge_recovers_linear_label(spark):
     g = m.filter("category = 'ALL' AND has_media = 'ALL' AND engagement_mechanism = 'ALL'").first()
     assert g.sample_size == 600 and g.test_r2 > 0.999 and g.test_rmse < 0.1
     assert g.hour_of_day_shap > g.nrc_joy_shap
+
+
+def test_split_with_hot_timestamp(spark):
+    """A third of the rows share one timestamp: the rank stays exact (ties by post_id)."""
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base if i % 3 == 0 else base + dt.timedelta(minutes=i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "post_id long, posted_at_local timestamp_ntz")
+    sp = temporal_split(df)
+    c = {r.split: r["count"] for r in sp.groupBy("split").count().collect()}
+    assert (c["train"], c["val"], c["test"]) == (2100, 450, 450)
+    want = [r.post_id for r in df.orderBy("posted_at_local", "post_id").collect()]
+    got = {r.post_id: r.split for r in sp.collect()}
+    assert [got[p] for p in want] == ["train"] * 2100 + ["val"] * 450 + ["test"] * 450
