@@ -245,3 +245,36 @@ def driver_direction(contrib: DataFrame, attribution: DataFrame, k: int = 5) ->
     return j.select("feature", "mean_abs", msg.alias("direction"), "controllable")
 
 
+
+
+# M4 (trees, permutation) --------------------------------------------------------
+def permutation_importance(model, test: DataFrame, features: list[str] = FEATURE_NAMES,
+                           seed: int = 42, key: str = "post_id") -> DataFrame:
+    """M4: R2 drop when one feature is permuted across the test rows.
+
+    The permutation is a seeded rank join: rows ranked by key and rows ranked
+    by a seeded hash of the key are paired rank for rank (exact distributed
+    ranks, no collect), and the paired row's value replaces the feature.
+    """
+    from .dataset import global_rank
+    from .segments import regression_metrics
+
+    cols = [key, LABEL, *features]
+    t = test.select(*cols)
+    by_key = global_rank(t, [key], "_r")
+    by_hash = global_rank(t.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_r")
+
+    def r2(df: DataFrame) -> Column:
+        return regression_metrics(score(model, df, features), LABEL, "prediction").select("r2").scalar()
+
+    base = r2(t)
+    parts = []
+    for f in features:
+        donor = by_hash.select(F.col("_r"), F.col(f).alias("_donor"))
+        perm = by_key.join(donor, "_r").withColumn(f, F.col("_donor")).select(*cols)
+        parts.append(t.sparkSession.range(1).select(F.lit(f).alias("feature"),
+                                                    (base - r2(perm)).alias("importance")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -590,6 +590,14 @@ def m4(spark, sf):
     return imp.join(lin_long, "feature", "full")
 
 
+@q("m4_permutation_importance")
+def m4p(spark, sf):
+    """R2 drop of the boosted model on the test part when each feature is permuted."""
+    from ..operators import model as M
+    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable").filter(F.col("split") == "test")
+    return M.permutation_importance(_trained(spark, sf), ms)
+
+
 @q("m5_driver_direction")
 def m5(spark, sf):
     """Top-5 drivers of the overall linear model with direction and controllability."""
