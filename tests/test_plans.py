@@ -155,3 +155,27 @@ def test_split_with_hot_timestamp(spark):
     want = [r.post_id for r in df.orderBy("posted_at_local", "post_id").collect()]
     got = {r.post_id: r.split for r in sp.collect()}
     assert [got[p] for p in want] == ["train"] * 2100 + ["val"] * 450 + ["test"] * 450
+
+
+def test_gbt_permutation_importance_finds_the_signal(spark):
+    import random
+
+    from postrank.dims import EMOTIONS
+    from postrank.operators.model import permutation_importance, train_gbt
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        h = rnd.randrange(24)
+        rows.append((i, 4.0 * h + rnd.random(), h, rnd.randrange(7), i % 2 == 0, rnd.randrange(50), 0.0,
+                     *[rnd.random() for _ in EMOTIONS], 50.0, rnd.randrange(20), rnd.randrange(20),
+                     f"c{i % 4}", "Gaming", "statement", ["train", "train", "val", "test"][i % 4]))
+    schema = ("post_id long, virality_index double, hour_of_day int, day_of_week int, has_media boolean, "
+              "post_length_proxy long, vader_compound double, " + ", ".join(f"nrc_{e} double" for e in EMOTIONS)
+              + ", readability double, title_length int, body_length int, subreddit string, category string, "
+              "engagement_mechanism string, split string")
+    df = spark.createDataFrame(rows, schema)
+    model = train_gbt(df, max_iter=15, max_depth=3, step=0.3)
+    imp = {r.feature: r.importance for r in
+           permutation_importance(model, df.filter("split = 'test'")).collect()}
+    assert max(imp, key=imp.get) == "hour_of_day" and imp["hour_of_day"] > 0.5
+    assert abs(imp["nrc_joy"]) < 0.1
