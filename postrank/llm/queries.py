@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
-from .common import documents
+import public_tokenizers
+
+from . import decontam, pii, sharding, token_count
+from .common import documents, read
 
 SHARDS = 8
 
@@ -19,8 +21,25 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256", "spans", "scores")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.hits(documents(spark, sf_dir).select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_count.count_tokens(documents(spark, sf_dir).select("doc_id", "text"),
+                                   public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding,)}
+    return {f.__name__: f for f in (op1_hash_tree_sharding, op4_personal_data, op5_decontamination, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
