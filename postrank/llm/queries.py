@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontam, pii, sharding, token_count
-from .common import documents, read
+from . import byte_bpe, chat, decontam, langid, pii, quality_rules, sharding, token_count, toxicity
+from .common import documents, in_held_out_fold, read
 
 SHARDS = 8
 
@@ -21,6 +21,12 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir).select("doc_id", "text"), in_held_out_fold(F.col("doc_id"))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256", "spans", "scores")
@@ -32,14 +38,57 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), in_held_out_fold(F.col("doc_id"))
+    model = langid.fit(docs, ~held)
+    return (langid.predict(docs.select("doc_id", "text"), model)
+            .select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts are made of the template's control strings."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                   F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    return chat.digests(chat.pieces(turns.unionByName(tricky)))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_count.count_tokens(documents(spark, sf_dir).select("doc_id", "text"),
                                    public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.apply(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def bpe_vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.Vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+                               public_tokenizers.PATTERN)
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) encoded, and decoded from the ids."""
+    vocabulary = bpe_vocabulary()
+    out = byte_bpe.encode(docs, vocabulary)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.sha2(byte_bpe.little_endian(F.col("ids"), vocabulary), 256).alias("ids_sha256"),
+                      F.sha2(byte_bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op4_personal_data, op5_decontamination, op8_token_counts)}
+    return {f.__name__: f for f in (
+        op1_hash_tree_sharding, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
+        op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
