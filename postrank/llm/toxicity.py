@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,16 @@ from pyspark.sql import types as T
 from .common import map_text, quoted
 from .decontam import NORMAL
 
-LABELLED = 20_000  # labelled rows that the lexicons are learned from
-TRAINED = 20_000  # rows that the classifier is trained on (expected; drawn by a hash of the key)
-PREFIXES = (4, 5, 6)  # bytes of a word's beginning that count as a token
+LABELLED = 10_000  # labelled rows that the lexicons are learned from
+TRAINED = 10_000  # rows that the classifier is trained on (expected; drawn by a hash of the key)
+PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that count as a token
+TIMES = (1, 2, 4)  # a beginning is a token of its own when so many different words of a text share it
 LISTS = 2  # lexicons per kind of token
 TOKENS = 20_000  # tokens in all lexicons, and features of the classifier, at most
+PRECISE = 0.85  # share of label 1 among a lexicon token's rows, at least
 CACHED = 200_000  # words whose tokens a worker keeps
 
+PREFIXED = re.compile(r"\d+x(\d+)\^")  # words have no ^
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 REPEAT = re.compile(r"([^\W\d])\1{3}")
 PATTERNS = (lambda t: t.count("!") * 200 > len(t), lambda t: len(SHOUT.findall(t)) * 60 > len(t),
@@ -42,44 +46,47 @@ def words(text: str) -> set[bytes]:
     return set(text.lower().encode("utf-8", "surrogatepass").translate(NORMAL).split())
 
 
-def tokens(word: bytes) -> list[str]:
-    """A word, and its beginnings marked with their length."""
-    return [word.decode("latin-1"), *[f"{n}^{word[:n].decode('latin-1')}" for n in PREFIXES if len(word) > n]]
+def beginnings(word: bytes) -> list[str]:
+    return [f"{n}^{word[:n].decode('latin-1')}" for n in PREFIXES if len(word) > n]
+
+
+def tokens(text: str) -> list[str]:
+    """A text's tokens, each once: its words, and word beginnings with how often they are shared."""
+    found = words(text)
+    shared = Counter(p for w in found for p in beginnings(w))
+    return [w.decode("latin-1") for w in found] + [f"{t}x{p}" for p, n in shared.items() for t in TIMES if n >= t]
 
 
 class Lookup:
-    """What a table of tokens has for a text's words, kept per word in the worker."""
+    """What a table of tokens has for a text, kept per word in the worker."""
 
-    def __init__(self, table: dict[str, object]):
+    def __init__(self, table: dict[str, int]):
         self.table, self.kept = table, {}
+        self.begun = {t.split("x", 1)[1] for t in table if PREFIXED.match(t)}
 
-    def of(self, text: str) -> set:
+    def of(self, text: str) -> set[int]:
         if not self.table:
             return set()
         if len(self.kept) > CACHED:
             self.kept.clear()
-        out: set = set()
+        out, shared = set(), []
         for w in words(text):
             found = self.kept.get(w)
             if found is None:
-                found = self.kept[w] = tuple(self.table[t] for t in tokens(w) if t in self.table)
-            if found:
-                out.update(found)
+                found = self.kept[w] = (self.table.get(w.decode("latin-1")), [p for p in beginnings(w) if p in self.begun])
+            if found[0] is not None:
+                out.add(found[0])
+            shared += found[1]
+        for p, n in Counter(shared).items():
+            out.update(self.table[k] for t in TIMES if n >= t and (k := f"{t}x{p}") in self.table)
         return out
 
 
-def strength(a: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
-    """Log likelihood ratio of a of n against the base rate."""
-    def part(k, expected):
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
-    return part(a, n * base) + part(n - a, n * (1 - base))
-
-
 def token_sums(rows: DataFrame) -> DataFrame:
     """Per token of ``rows`` (text, weight): in how many texts it is and the sum of their weights."""
     def run(batches):
         for b in batches:
-            lists = [sorted({t for w in words(x.as_py() or "") for t in tokens(w)}) for x in b.column(0)]
+            lists = [tokens(x.as_py() or "") for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), b.column(1)], names=["tokens", "weight"])
 
     each = rows.select("text", "weight").mapInArrow(run, "tokens array<string>, weight double")
@@ -96,7 +103,7 @@ def associated(sums: DataFrame, base: float, above_only: bool) -> list[tuple[str
     g = xlog(a, n * base) + xlog(n - a, n * (1 - base))
     some = sums.where((n >= 3) & (g >= float(np.log(tried)) + 1.0))
     if above_only:
-        some = some.where((a + 0.5) / (n + 1) >= 0.5)
+        some = some.where((a + 0.5) / (n + 1) >= PRECISE)
     return [(r["token"], r["n"], r["a"]) for r in some.orderBy(g.desc(), "token").limit(TOKENS).collect()]
 
 
@@ -104,7 +111,7 @@ def lexicons(found: list[tuple[str, float, float]]) -> dict[str, int]:
     """Token to voter: tokens of a kind are dealt out over its lists in order of strength."""
     out, dealt = {}, [0] * (1 + len(PREFIXES))
     for token, _, _ in found:
-        kind = next((i for i, n in enumerate(PREFIXES, 1) if token.startswith(f"{n}^")), 0)
+        kind = 1 + PREFIXES.index(int(m[1])) if (m := PREFIXED.match(token)) else 0
         out[token] = kind * LISTS + dealt[kind] % LISTS
         dealt[kind] += 1
     return out
@@ -130,27 +137,30 @@ def vote_factory(shared):
 
 
 class LabelModel:
-    """Two latent classes with voters that fire at class-dependent rates.
+    """Two latent classes with voters that fire or abstain; the share of class 1 is that of the labels.
 
-    A voter's log odds count with weight 1 / (1 + sum of its positive correlations with other voters
-    within the classes), so lexicons that fire together do not add up as if independent.
+    A voter that fires gives the log ratio of its rates in the two classes, times
+    1 / (1 + sum of its positive correlations with other voters within the classes), so lexicons that
+    fire together do not add up as if independent. A voter that abstains says nothing by itself, as
+    lexicons of other languages always do; that no lexicon fires at all counts once.
     """
 
     def __init__(self, patterns: dict[int, int], base: float, rounds: int = 50):
         v = np.array([[p >> j & 1 for j in range(VOTERS)] for p in patterns], dtype=float).reshape(-1, VOTERS)
         n = np.array(list(patterns.values()), dtype=float)
+        silent = 1 - v[:, :LEXICONS].max(axis=1, initial=0)
         self.prior = min(0.9, max(1e-4, base))
-        low, high = self.prior / 3, min(0.95, 3 * self.prior)
         self.rates = np.array([[0.02] * LEXICONS + [0.1] * len(PATTERNS), [0.6] * LEXICONS + [0.1] * len(PATTERNS)])
+        self.silent = np.array([0.95, 0.05])
         self.weights = np.ones(VOTERS)
         for _ in range(rounds):
             q = self.posterior_of(v)
             mass = np.stack([n * (1 - q), n * q])
             total = mass.sum(axis=1, keepdims=True)
             self.rates = (mass @ v + [[0.01], [0.5]]) / (total + 1.0)
-            # a lexicon was chosen because it goes with the label; it never votes against it
+            # a lexicon was chosen because it goes with the label; firing never speaks against it
             self.rates[1, :LEXICONS] = np.maximum(self.rates[1, :LEXICONS], self.rates[0, :LEXICONS])
-            self.prior = float(np.clip(total[1, 0] / max(1.0, n.sum()), low, high))
+            self.silent = np.clip((mass @ silent + [0.5, 0.01]) / (total[:, 0] + 1.0), 1e-5, 1 - 1e-5)
             self.weights = 1 / (1 + self.correlations(v, mass))
 
     def correlations(self, v: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -165,8 +175,9 @@ class LabelModel:
 
     def posterior_of(self, v: np.ndarray) -> np.ndarray:
         r = np.clip(self.rates, 1e-5, 1 - 1e-5)
-        odds = v * np.log(r[1] / r[0]) + (1 - v) * np.log((1 - r[1]) / (1 - r[0]))
-        z = np.log(self.prior / (1 - self.prior)) + odds @ self.weights
+        silent = 1 - v[:, :LEXICONS].max(axis=1, initial=0)
+        z = (np.log(self.prior / (1 - self.prior)) + (v * np.log(r[1] / r[0])) @ self.weights
+             + silent * np.log(self.silent[1] / self.silent[0]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def posterior(self, pattern: int) -> float:
