@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, chat, decontam, langid, pii, quality_rules, sharding, token_count, toxicity
+from . import byte_bpe, chat, decontam, jaccard_join, langid, pii, quality_rules, sharding, token_count, toxicity
 from .common import documents, in_held_out_fold, read
 
 SHARDS = 8
@@ -21,6 +21,10 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir).select("doc_id", "text"), in_held_out_fold(F.col("doc_id"))
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
@@ -87,7 +91,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_hash_tree_sharding, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
+        op1_hash_tree_sharding, op2_jaccard_join, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
         op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe)}
 
 
