@@ -33,36 +33,77 @@ SEEN = 1 << 22  # shingles that a task counts at once to find frequent ones
 OFTEN = 3  # times that a shingle must be met there
 FREQUENT = 200_000  # shingles of a frequency class above 0, the most frequent: a bounded broadcast
 HASH_BITS = 58  # of a token; the class stands above
-ACTIVE_BITS = 20  # of the bitmap that tells which sets may be needed whole
-CACHED = 300_000  # words whose hashes a worker keeps
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+SMALL = 500_000  # rows of narrow tables that may be broadcast: a bounded number of some tens of bytes
+CHUNK = 1 << 20  # bytes of texts that are hashed together
 
 
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                     dtype=np.uint64)
-
-
-def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes (HASH_BITS bits) of a text's shingles; fewer words are one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(w) < size:
-        w = np.append(w, np.zeros(size - len(w), dtype=np.uint64))
-    h = sum((w[k:len(w) - size + 1 + k] * (_FACTORS[k % 5] + np.uint64(2 * (k // 5))) for k in range(size)),
-            start=np.zeros(len(w) - size + 1, dtype=np.uint64))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return np.unique(h >> np.uint64(64 - HASH_BITS))
+_BASE = 0x9E3779B97F4A7C55
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def to(self, n: int) -> None:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE, -k, 1 << 64))])
+
+
+_POWERS = _Powers()
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text and where they start: differences of one running sum over the
+    bytes, so that no word is touched one by one."""
+    a = np.frombuffer(body, dtype=np.uint8)
+    edge = np.ones(len(a) + 2, dtype=bool)
+    edge[1:-1] = SPACES[a]
+    at = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = at[::2], at[1::2]
+    _POWERS.to(len(a) + 1)
+    total = np.zeros(len(a) + 1, dtype=np.uint64)
+    np.cumsum(a * _POWERS.up[:len(a)], out=total[1:])
+    h = (total[ends] - total[starts]) * _POWERS.down[starts]
+    return mixed(h ^ (ends - starts).astype(np.uint64) * _FACTORS[0]), starts
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes (HASH_BITS bits) of its shingles; fewer words are one
+    shingle. Texts are hashed together, some at a time."""
+    at = 0
+    while at < len(texts):
+        bodies, total = [], 0
+        while at < len(texts) and (not bodies or total + len(texts[at] or "") < CHUNK):
+            bodies.append((texts[at] or "").encode("utf-8", "surrogatepass").lower())
+            total += len(bodies[-1]) + 1
+            at += 1
+        w, starts = word_hashes(b" ".join(bodies))
+        first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in bodies)]))
+        h = np.zeros(max(0, len(w) - size + 1), dtype=np.uint64)
+        for k in range(size):
+            h += w[k:len(w) - size + 1 + k] * _FACTORS[k % 5] * np.uint64(2 * (k // 5) + 1)
+        h = mixed(h) >> np.uint64(64 - HASH_BITS)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= size:
+                yield np.unique(h[a:b - size + 1])
+            elif b > a:
+                few = sum(int(x) * int(f) for x, f in zip(w[a:b], _FACTORS[b - a - 1:])) + b - a
+                yield np.array([few % (1 << 64) >> 64 - HASH_BITS], dtype=np.uint64)
+            else:
+                yield np.zeros(0, dtype=np.uint64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -97,11 +138,10 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
         f.nullable = True
 
     def run(batches):
-        hashes, held, total = WordHashes(), [], 0
+        held, total = [], 0
         for b in batches:
             n, ids = [], []
-            for x in b.column(1):
-                s = shingles(x.as_py(), hashes, size)
+            for s in shingle_sets(b.column(1).to_pylist(), size):
                 n.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
                 held.append(s)
@@ -126,25 +166,18 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _tokens(docs: DataFrame, size: int, order, wanted=None) -> DataFrame:
-    """sid, n and ordered tokens of the documents' sets: the prefix, or the whole set of those that the
-    bitmap ``wanted`` may hold. Equal sets come once."""
+def _tokens(docs: DataFrame, size: int, order, whole: bool) -> DataFrame:
+    """sid, n and ordered tokens (all or the prefix) of the documents' sets. Equal sets come once."""
     def run(batches):
-        hashes = WordHashes()
         frequent, classes = order.value
         for b in batches:
             ids, n, out = [], [], []
-            for x in b.column(0):
-                s = shingles(x.as_py(), hashes, size)
-                if not len(s):
-                    continue
-                i = set_id(s)
-                if wanted is not None and not wanted.value[i & ((1 << ACTIVE_BITS) - 1)]:
-                    continue
-                t = ordered(s, frequent, classes)
-                ids.append(i)
-                n.append(len(s))
-                out.append((t if wanted is not None else t[:prefix_length(len(t))]).tobytes())
+            for s in shingle_sets(b.column(0).to_pylist(), size):
+                if len(s):
+                    t = ordered(s, frequent, classes)
+                    ids.append(set_id(s))
+                    n.append(len(s))
+                    out.append((t if whole else t[:prefix_length(len(t))]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary())],
                                              names=["sid", "n", "tokens"])
 
@@ -152,6 +185,11 @@ def _tokens(docs: DataFrame, size: int, order, wanted=None) -> DataFrame:
     return rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has SMALL rows at most."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _explode_prefixes(sets: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -289,8 +327,7 @@ class Trie:
             stack += x.children.values()
 
 
-def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens: list[bytes], sides: list[int],
-              whole: bool) -> Iterator[tuple[int, int]]:
+def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens: list[bytes], whole: bool) -> Iterator[tuple[int, int]]:
     """Links (whole sets) or sets with a possible partner, as (id, id), of one unit."""
     lists = [np.frombuffer(t, dtype=np.int64) for t in tokens]
     values, local = np.unique(np.concatenate(lists), return_inverse=True)
@@ -309,11 +346,11 @@ def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens:
             trie.walk(i, True, link)
             yield from ((ids[i], ids[j]) for j in links)
         else:
-            partners: list[int] = []
-            trie.walk(i, False, partners.append)
-            if partners:
-                kept.add(i)
-                kept.update(partners)
+            def possible(j: int, i: int = i) -> None:
+                forest.join(i, j)  # both are kept; what hangs together already needs no second look
+                kept.update((i, j))
+
+            trie.walk(i, False, possible)
         trie.insert(i)
     yield from ((ids[i], ids[i]) for i in sorted(kept))
 
@@ -321,7 +358,8 @@ def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens:
 def _join_units(units: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
     """``units``: token, b1, b2, sid, comp. Rows (token, a, b) as :func:`join_unit` finds them."""
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (units.join(sets, "sid").select("token", "b1", "b2", "sid", "n", "comp", "tokens")
+    units = _small(written(units, "units"))
+    rows = (sets.join(units, "sid").select("token", "b1", "b2", "sid", "n", "comp", "tokens")
             .repartition(n, "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2"))
 
     def run(batches):
@@ -343,7 +381,7 @@ def _join_units(units: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
         if len(held) < 2:
             return []
         ids, lengths, components, tokens = map(list, zip(*held))
-        return [(key[0], a, b) for a, b in join_unit(ids, lengths, components, tokens, [], whole)]
+        return [(key[0], a, b) for a, b in join_unit(ids, lengths, components, tokens, whole)]
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["token", "a", "b"])
@@ -419,45 +457,53 @@ def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame |
     pairs = sorted((r["shingle"], min(31, int(r["seen"]).bit_length())) for r in often)
     order = sc.broadcast((np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)))
 
-    prefixes = written(_tokens(docs, size, order), "prefixes")
+    prefixes = written(_tokens(docs, size, order, whole=False), "prefixes")
     postings = _explode_prefixes(prefixes)
+    shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared")
+    postings = written(postings.join(_small(shared), "token"), "postings")
     # tokens with the same members need joining once: they agree in number, sum and extremes of the ids
-    shared = (postings.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"),
-                                            F.min("sid").alias("low"), F.max("sid").alias("high"))
-              .where(F.col("m") > 1).groupBy("m", "s", "low", "high").agg(F.min("token").alias("token")).select("token", "m"))
-    groups = written(postings.join(written(shared, "shared"), "token"), "groups")
-
-    slots = groups.select(F.col("sid").bitwiseAND(F.lit((1 << ACTIVE_BITS) - 1)).alias("slot")).distinct().collect()
-    if not slots:
-        return None
-    bitmap = np.zeros(1 << ACTIVE_BITS, dtype=bool)
-    bitmap[[r["slot"] for r in slots]] = True
-    whole = written(_tokens(docs, size, order, sc.broadcast(bitmap)), "whole")
-
-    # 1. every set in the largest of its groups, block by block; then one set per component of a group
-    own = written(groups.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("best"), F.first("n").alias("w"))
+    alike = (postings.groupBy("token", "m").agg(F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"), F.min("sid").alias("low"),
+                                                F.max("sid").alias("high"))
+             .groupBy("m", "s", "low", "high").agg(F.min("token").alias("token")).select("token"))
+    groups = written(postings.join(_small(written(alike, "alike")), "token").select("token", "sid", F.col("n").alias("w")), "groups")
+
+    # 1. prefixes: the sets of each group that the bounds allow a partner; all of a group of several blocks
+    prefix = F.ceil(F.col("w") * (DEN - NUM) / DEN) + 1
+    totals = groups.groupBy("token").agg(F.sum(prefix).alias("wt"))
+    large = _small(written(totals.where(F.col("wt") > BLOCK).select("token"), "large"))
+    zero = F.lit(0).cast("bigint")
+    units = groups.join(large, "token", "left_anti").select("token", zero.alias("b1"), zero.alias("b2"), "sid", F.col("sid").alias("comp"))
+    possible = _join_units(units, prefixes, False).select("token", F.col("a").alias("sid"))
+    possible = possible.union(groups.join(large, "token").select("token", "sid"))
+    possible = written(possible.join(_small(written(members.where(F.col("sid").isNotNull()).groupBy("sid").agg(
+        F.first("n").alias("w")), "sizes")), "sid").select("token", "sid", "w"), "possible")
+
+    # their sets as a whole, from one document each (and all without an id)
+    sids = possible.select("sid").distinct()
+    wanted = written(members.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
+    chosen = docs.where(F.col("doc_id").isNotNull()).join(_small(wanted), "doc_id", "left_semi")
+    chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    whole = written(_tokens(chosen, size, order, whole=True), "whole")
+
+    # 2. every set in the largest of its groups, block by block; in groups of several blocks then one set
+    # per component, until nothing more is linked
+    sized = possible.join(_small(written(possible.groupBy("token").agg(F.count("*").alias("m")), "largest")), "token")
+    own = written(sized.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("best"), F.first("w").alias("w"))
                   .select("sid", "w", F.col("best.token").alias("token")), "own")
-    links, comp = [], None
-    while True:
-        rows = _with_components(own, comp)
-        if comp is not None:
-            rows = rows.groupBy("token", "comp").agg(F.min(F.struct("sid", "w")).alias("x")).select(
-                "token", "comp", F.col("x.sid").alias("sid"), F.col("x.w").alias("w"))
-            if not rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
-                break
-        found = written(_join_units(_units(rows, diagonal=True), whole.select("sid", "n", "tokens"), True), "links")
+    links, comp, rows = [], None, own
+    while rows.limit(1).count():
+        found = written(_join_units(_units(_with_components(rows, comp), diagonal=True), whole, True), "links")
         if not found.limit(1).count():
             break
         links.append(found.select("a", "b"))
         comp = connected(_union(links))
+        several = rows.groupBy("token").agg(F.sum("w").alias("wt")).where(F.col("wt") > BLOCK).select("token")
+        rows = written(_with_components(rows.join(several, "token"), comp).groupBy("token", "comp").agg(
+            F.min(F.struct("sid", "w")).alias("x")).select("token", F.col("x.sid").alias("sid"), F.col("x.w").alias("w")), "leaders")
 
-    # 2. groups that still hold several components: sets whose prefixes allow a partner, then whole sets
-    rows = _with_components(groups.select("token", "sid", F.col("n").alias("w")), comp)
-    possible = written(_join_units(_units(rows.withColumn("w", F.ceil(F.col("w") * (DEN - NUM) / DEN) + 1), diagonal=False),
-                                   prefixes.select("sid", "n", "tokens"), False).select("token", F.col("a").alias("sid")).distinct(),
-                       "possible")
-    rows = _with_components(possible.join(own.select("sid", "w"), "sid"), comp)
-    found = written(_join_units(_units(rows, diagonal=False), whole.select("sid", "n", "tokens"), True), "links")
+    # 3. groups that still hold several components
+    rows = _with_components(possible, comp)
+    found = written(_join_units(_units(rows, diagonal=False), whole, True), "links")
     if found.limit(1).count():
         links.append(found.select("a", "b"))
         comp = connected(_union(links))
