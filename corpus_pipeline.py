@@ -67,13 +67,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with whether decoding them gives the text's bytes again."""
+    """Token ids as little-endian 32-bit integers, with whether decoding them gives the text's bytes again."""
     vocabulary = byte_bpe.Vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
                                      public_tokenizers.PATTERN)
-    out = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary)
+    out = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary, packed=True)
+    out = byte_bpe.decode(out, vocabulary)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-                      (byte_bpe.decode(F.col("ids"), vocabulary) == body).alias("round_trip"))
+    return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                      "ids", (F.col("bytes") == body).alias("round_trip"))
 
 
 STAGES = [

@@ -63,15 +63,16 @@ def kept_columns(df: DataFrame, results: Sequence[str], keep: Sequence[str] | No
 
 
 def map_text(df: DataFrame, text: str, fields: T.StructType,
-             factory: Callable[[], Callable[[pa.Array], list]], keep: Sequence[str] | None = None) -> DataFrame:
-    """``df`` with columns that a function computes from whole texts, one Arrow batch at a time.
+             factory: Callable[[], Callable[[pa.Array], list]], keep: Sequence[str] | None = None, kind: str = "string") -> DataFrame:
+    """``df`` with columns that a function computes from whole texts (or a column of another ``kind``),
+    one Arrow batch at a time.
 
     ``factory`` runs once per task and returns the function; that takes the batch's text column
     and returns one list or array per field. No shuffle: rows stay in their partitions.
     """
     keep = kept_columns(df, fields.names, keep)
     inner = df.select(F.struct(F.lit(True).alias("__row"), *[quoted(c) for c in keep]).alias(KEPT),
-                      quoted(text).cast("string").alias(TEXT))
+                      quoted(text).cast(kind).alias(TEXT))
     schema = T.StructType([inner.schema[KEPT], *fields.fields])
     types = [arrow_type(f.dataType) for f in fields.fields]
 
