@@ -20,8 +20,8 @@ def fmt0(x: Column) -> Column:
 
 
 def fmt_fixed(x: Column, d: int) -> Column:
-    """'{x:.<d>f}' for |x| < 1000."""
-    return F.format_number(x, d)
+    """'{x:.<d>f}': half-even on the exact binary value, without thousands separators."""
+    return F.replace(F.format_number(x, d), F.lit(","), F.lit(""))
 
 
 def fmt_thousands(n: Column) -> Column:

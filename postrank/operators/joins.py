@@ -8,6 +8,9 @@ shuffle join, where AQE's skew-join handling splits hot keys.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,17 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(small, on, how)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL (segments with a missing key stay segments).
+
+    ``how`` is 'left' or 'inner'; the key columns come from ``left``. No broadcast hint: Spark
+    decides from sizes at run time.
+    """
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join to a fixed-size dimension table (size set in code): broadcast."""
     return big.join(F.broadcast(dim), on, how)

@@ -19,16 +19,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..dims import CATEGORICAL_FEATURES, CONTROLLABLE, FEATURE_NAMES, NON_CONTROLLABLE, NUMERIC_FEATURES
-from .joins import join_checked
-from .segments import KEYS, keyed, rollup_keys
+from ..dims import ALL, CATEGORICAL_FEATURES, CONTROLLABLE, FEATURE_NAMES, NON_CONTROLLABLE, NUMERIC_FEATURES
+from .joins import join_keys
+from .segments import KEYS, keyed, rollup_keys, segment_memberships
 
 LABEL = "virality_index"
 
@@ -43,35 +43,39 @@ def assemble_stages(features: list[str] = FEATURE_NAMES) -> list:
     return idx + [VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")]
 
 
+# A missing number is a value of its own below all others, so trees can split it off and no row is dropped.
+MISSING = -1e6
+
+
 def prepare(df: DataFrame, features: list[str] = FEATURE_NAMES) -> DataFrame:
-    """Numeric features as double, has_media as 0/1."""
-    out = df
-    for f in features:
-        if f in CATEGORICAL_FEATURES:
-            continue
-        out = out.withColumn(f, F.col(f).cast("int").cast("double") if f == "has_media"
-                             else F.col(f).cast("double"))
-    return out
+    """Numeric features as double (missing: MISSING), has_media as 0/1; every row stays."""
+    def number(f: str) -> Column:
+        x = F.col(f).cast("int").cast("double") if f == "has_media" else F.col(f).cast("double")
+        return F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(MISSING))
+
+    return df.withColumns({f: number(f) for f in features if f not in CATEGORICAL_FEATURES})
 
 
 # M2 / M3 ----------------------------------------------------------------------
 def train_gbt(df: DataFrame, max_iter: int = 300, max_depth: int = 6, step: float = 0.05,
               seed: int = 42, features: list[str] = FEATURE_NAMES, split: str = "split"):
-    """M2: fit the pipeline on train + validation rows; validation drives early stopping.
+    """M2: category levels from all rows, trees from the train and validation rows that have a label;
+    validation drives early stopping.
 
     Returns the fitted ``PipelineModel``. Spark stops on a validation
     tolerance rather than a patience count.
     """
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)  # boosting checkpoints its lineage every 10 iterations
-    data = prepare(df, features).withColumn("_is_val", F.col(split) == "val") \
-        .filter(F.col(split).isin("train", "val"))
-    cats = [c for c in features if c in CATEGORICAL_FEATURES]
-    n_levels = max(df.select(*[F.countDistinct(c).alias(c) for c in cats]).first()) if cats else 2
+    data = prepare(df, features)
+    levels = Pipeline(stages=assemble_stages(features)).fit(data)
+    n_levels = max([2, *(len(s.labels) for s in levels.stages if hasattr(s, "labels"))])
     gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step, seed=seed, maxBins=max(64, n_levels + 1),
                        validationIndicatorCol="_is_val")
-    return Pipeline(stages=assemble_stages(features) + [gbt]).fit(data)
+    rows = data.where(F.col(split).isin("train", "val") & F.col(LABEL).isNotNull())
+    trees = gbt.fit(levels.transform(rows.withColumn("_is_val", F.col(split) == "val")))
+    return PipelineModel(stages=[*levels.stages, trees])
 
 
 def score(model, df: DataFrame, features: list[str] = FEATURE_NAMES) -> DataFrame:
@@ -95,7 +99,7 @@ def target_encode(train: DataFrame, df: DataFrame, col: str, k: float = 20.0) ->
     glob = train.select(F.avg(LABEL)).scalar()
     enc = (train.groupBy(col).agg(F.sum(LABEL).alias("_s"), F.count(LABEL).alias("_n"))
            .select(col, ((F.col("_s") + k * glob) / (F.col("_n") + k)).alias(f"{col}_enc")))
-    return join_checked(df, enc, col, "left").withColumn(
+    return join_keys(df, enc, [col]).withColumn(
         f"{col}_enc", F.coalesce(F.col(f"{col}_enc"), glob))
 
 
@@ -163,26 +167,27 @@ def solve_ridge(gram: DataFrame, lam: float = 1.0) -> DataFrame:
     return gram.groupBy(*KEYS).applyInPandas(solve, out_schema)
 
 
-def _memberships_keyed(df: DataFrame) -> DataFrame:
-    from .segments import segment_memberships
-    return segment_memberships(df)
-
-
-def segment_contributions(model_ready: DataFrame, lam: float = 1.0, split: str = "split") -> DataFrame:
-    """Test rows x their 8 segments with the segment model's prediction ``_p``
+def segment_contributions(model_ready: DataFrame, lam: float = 1.0, split: str = "split",
+                          only: dict[str, str] | None = None) -> DataFrame:
+    """Test rows x their 8 segments (or those of ``only``, by key) with the segment model's prediction ``_p``
     and per-feature contributions ``<f>_contrib`` = b_j (x_j - mean_j)."""
     cols = model_columns()
     d = len(cols)
     names = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
-    train = model_ready.filter(F.col(split) == "train")
+    train = model_ready.filter((F.col(split) == "train") & F.col(LABEL).isNotNull())
     enc = model_ready
     for c in CATEGORICAL_FEATURES:
         enc = target_encode(train, enc, c)
     x = _design(enc)
-    coef = solve_ridge(gram_sums(x.filter(F.col(split) == "train")), lam)
-    test = _memberships_keyed(x.filter(F.col(split) == "test").select(
-        *KEYS, LABEL, *[F.col(f"_x{i}").alias(f"_v_{names[i]}") for i in range(d)]))
-    t = join_checked(test, coef, KEYS, "inner")  # one row per segment
+    coef = solve_ridge(gram_sums(x.filter((F.col(split) == "train") & F.col(LABEL).isNotNull())), lam)
+    test = x.filter((F.col(split) == "test") & F.col(LABEL).isNotNull()).select(
+        *KEYS, LABEL, *[F.col(f"_x{i}").alias(f"_v_{names[i]}") for i in range(d)])
+    # a single segment needs no copy of each row for the seven others
+    if only and all(v == ALL for v in only.values()):
+        test = test.withColumns({k: F.lit(v) for k, v in only.items()})
+    else:
+        test = segment_memberships(test)
+    t = join_keys(test, coef, KEYS, "inner")  # one row per segment
     v = [F.col(f"_v_{names[i]}") for i in range(d)]
     pred = F.col("intercept") + reduce(lambda a, b: a + b, [F.col(f"b{i}") * v[i] for i in range(d)])
     t = t.withColumn("_p", F.least(F.greatest(pred, F.lit(0.0)), F.lit(100.0)))
@@ -206,7 +211,7 @@ def segment_models(model_ready: DataFrame, lam: float = 1.0, split: str = "split
     aggs += [F.avg(F.abs(F.col(f"{f}_contrib"))).alias(f"{f}_shap") for f in FEATURE_NAMES]
     q = t.groupBy(*KEYS).agg(*aggs)
     size = rollup_keys(keyed(model_ready), [F.count("*").alias("sample_size")])
-    out = size.join(q, KEYS, "left")
+    out = join_keys(size, q, KEYS)
     return out.select(*KEYS, F.col("sample_size").cast("bigint"),
                       (F.lit(1.0) - F.col("_sse") / F.nullif(F.col("_sst"), F.lit(0.0))).alias("test_r2"),
                       F.sqrt(F.col("_sse") / F.col("_n")).alias("test_rmse"),
@@ -259,22 +264,16 @@ def permutation_importance(model, test: DataFrame, features: list[str] = FEATURE
     from .dataset import global_rank
     from .segments import regression_metrics
 
-    cols = [key, LABEL, *features]
-    t = test.select(*cols)
-    by_key = global_rank(t, [key], "_r")
+    t = test.where(F.col(LABEL).isNotNull()).select(key, LABEL, *features)
+    by_key = global_rank(t, [key], "_r").select("_r", LABEL, *features)
     by_hash = global_rank(t.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_r")
-
-    def r2(df: DataFrame) -> Column:
-        return regression_metrics(score(model, df, features), LABEL, "prediction").select("r2").scalar()
-
-    base = r2(t)
-    parts = []
-    for f in features:
-        donor = by_hash.select(F.col("_r"), F.col(f).alias("_donor"))
-        perm = by_key.join(donor, "_r").withColumn(f, F.col("_donor")).select(*cols)
-        parts.append(t.sparkSession.range(1).select(F.lit(f).alias("feature"),
-                                                    (base - r2(perm)).alias("importance")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    donors = by_hash.select("_r", *[F.col(f).alias(f"_donor_{f}") for f in features])
+    # one join pairs every row with one donor of all features; its variants are made where it stands
+    paired = by_key.join(donors, "_r")
+    variants = [F.struct(F.lit(v or "").alias("feature"),
+                         *[F.col(f"_donor_{f}" if f == v else f).alias(f) for f in features]) for v in (None, *features)]
+    rows = paired.select(LABEL, F.explode(F.array(*variants)).alias("x")).select(
+        LABEL, F.col("x.feature").alias("feature"), *[F.col(f"x.{f}").alias(f) for f in features])
+    r2 = regression_metrics(score(model, rows, features), LABEL, "prediction", ["feature"]).select("feature", "r2")
+    base = r2.where(F.col("feature") == "").select(F.max("r2")).scalar()
+    return r2.where(F.col("feature") != "").select("feature", (base - F.col("r2")).alias("importance"))

@@ -1,4 +1,4 @@
-"""Table profiles (D10-D16, D18, D19): all single-pass grouped aggregates.
+"""Table profiles (D10-D16, D18, D19): grouped aggregates.
 
 Quantiles use exact ``percentile`` (linear interpolation, as the profiled
 reports do); its state follows the distinct values of a column. For
@@ -63,6 +63,11 @@ def profile_categoricals(df: DataFrame, max_list: int = 30) -> DataFrame:
                                 F.array_join(F.element_at(vals, F.col("column_name")), ", ")).alias("values"))
 
 
+def looks_like_outcome(name: str) -> bool:
+    """The second name rule: predictions, scores and the slot columns."""
+    return any(t in name.lower() for t in ("pred", "score", "hour", "day"))
+
+
 def looks_like_metric(name: str) -> bool:
     low = name.lower()
     if low == "n" or low.endswith("_n") or low.startswith("n_"):
@@ -107,15 +112,16 @@ def bucket_counts(df: DataFrame, col: str, edges: list[float], labels: list[str]
               .filter((F.col("bucket") != "(null)") | (F.col("count") > 0))
 
 
-def domain_check(df: DataFrame, col: str, lo: int, hi: int, max_list: int = 100) -> DataFrame:
-    """Sorted distinct values (first 100), their count, min, max and
-    whether all values lie in [lo, hi]."""
-    x = F.col(col).cast("int")
-    vals = _first_values(df.select(x.alias(col)), col, max_list)
-    return df.agg(F.lit(col).alias("column_name"), F.countDistinct(x).alias("n_distinct"),
-                  F.min(x).alias("min"), F.max(x).alias("max"),
-                  ((F.min(x) >= lo) & (F.max(x) <= hi)).alias("in_range")) \
-             .withColumn("values", F.array_join(vals.cast("array<string>"), ","))
+def domain_check(df: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
+    """Every distinct value of a column with its count and whether it lies in [lo, hi], and the
+    column's distinct count, min and max beside each. Values are rows, so there is no longest list; a
+    missing value is a row of its own (in_range NULL) that the column's figures leave out."""
+    values = df.groupBy(F.col(col).cast("int").alias("value")).agg(F.count("*").alias("count"))
+    total = values.agg(F.count("value").alias("n_distinct"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # one row: a bounded broadcast
+    return (values.join(F.broadcast(total), F.lit(True), "left")
+            .select(F.lit(col).alias("column_name"), "value", "count", "n_distinct", "min", "max",
+                    F.col("value").between(lo, hi).alias("in_range")))
 
 
 def body_stats(df: DataFrame, body: str = "body") -> DataFrame:

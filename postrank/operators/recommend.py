@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..dims import ALL, FEATURE_NAMES, RANGE_FEATURES, SEGMENT_KEYS
 from ..functions import format as fmt
 from ..functions.text import day_name
-from .joins import fits_broadcast, join_checked, join_sized
+from .joins import fits_broadcast, join_checked, join_keys, join_sized
 
 KEYS = SEGMENT_KEYS
 
@@ -149,9 +149,9 @@ def best_mechanism(pred: DataFrame) -> DataFrame:
 def segment_facts(pred: DataFrame) -> DataFrame:
     """One row of facts per segment that has prediction rows."""
     o = segment_overview(pred)
-    f = join_checked(o, segment_slot(pred), KEYS, "left")
-    f = join_checked(f, media_compare(pred), ["category", "engagement_mechanism"], "left")
-    f = join_checked(f, best_mechanism(pred), ["category", "has_media"], "left")
+    f = join_keys(o, segment_slot(pred), KEYS)
+    f = join_keys(f, media_compare(pred), ["category", "engagement_mechanism"])
+    f = join_keys(f, best_mechanism(pred), ["category", "has_media"])
     return f.select(*KEYS, "n_rows", "n_subreddits", "avg_score",
                     F.try_element_at(F.array(*[F.lit(d) for d in
                                                ["Sunday", "Monday", "Tuesday", "Wednesday",
@@ -250,7 +250,7 @@ def recommend(requests: DataFrame, metadata: DataFrame, predictions: DataFrame,
     cond = reduce(lambda a, b: a & b, [F.col(pk[j]) == F.col(f"_p_{c}") for j, c in enumerate(KEYS)])
     r = join_checked(r, lists, cond, "left").drop(*[f"_p_{c}" for c in KEYS])
     high = F.col("confidence") == "high"
-    recs = F.transform(F.coalesce(F.col("_recs"), F.array()), lambda x: F.struct(
+    recs = F.transform(rank_items(F.coalesce(F.col("_recs"), F.array())), lambda x: F.struct(
         x["subreddit"].alias("subreddit"), x["best_hour"].alias("best_hour"), x["best_day"].alias("best_day"),
         F.when(high, x["predicted_score"]).alias("predicted_score"),
         x["sample_size"].alias("sample_size"),
@@ -299,6 +299,9 @@ def recommend(requests: DataFrame, metadata: DataFrame, predictions: DataFrame,
         "advice", "ranges_sentence", "optimal_ranges", notes.alias("notes"))
 
 
-def add_rank(recs: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Rank 1..n of recommendations within a request."""
-    return recs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def rank_items(recs: Column) -> Column:
+    """Recommendations by predicted score, highest first, a missing score counting as 0 and
+    equal ones keeping their order, each with its rank from 1."""
+    keyed = F.transform(recs, lambda x, i: F.struct((-F.coalesce(F.nanvl(x["predicted_score"], F.lit(0.0)), F.lit(0.0))).alias("k"),
+                                                    i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda y, i: y["x"].withField("rank", i + 1))

@@ -8,10 +8,8 @@ it needs (keys x community x hour x day [x split]) -- one pass with
 map-side partial aggregation -- and rolls those small sums up with grouping
 sets. So the 8-fold cube expansion happens on cell sums, never on posts, and
 a hot segment or community is only ever a few partial sums per task.
-Percentiles (optimal ranges) are not decomposable: they are computed with
-exact ``percentile`` over values with a bounded number of distinct values
-(integer features; the label rounded to 0.01), so a group's state is bounded
-by distinct values, not rows.
+Percentiles (optimal ranges) are taken from frequency tables, which are
+counted once and rolled up; a group's state holds its distinct values.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import ALL, RANGE_FEATURES, SEGMENT_KEYS
-from .joins import join_checked
+from .joins import join_keys
 
 KEYS = SEGMENT_KEYS
 
@@ -60,9 +58,16 @@ def rollup_keys(df: DataFrame, aggs: list[Column], always: list[str] | None = No
     return g.drop(*[f"_g_{k}" for k in keys])
 
 
-def segment_cube(df: DataFrame, aggs: list[Column]) -> DataFrame:
-    """Cube over the segment keys with 'ALL' roll-ups (post-level aggregates)."""
-    return rollup_keys(keyed(df), aggs)
+def segment_cube(df: DataFrame, score: str = "virality_index", community: str = "subreddit") -> DataFrame:
+    """Cube over the segment keys with 'ALL' roll-ups: posts, mean score, communities.
+
+    Posts are first summed per keys and community, so the eightfold expansion and the distinct
+    count work on those sums.
+    """
+    y = F.col(score).cast("double")
+    cells = keyed(df).groupBy(*KEYS, community).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.count(y).alias("ny"))
+    return rollup_keys(cells, [F.sum("n").alias("n_posts"), F.try_divide(F.sum("sy"), F.sum("ny")).alias("avg_index"),
+                               F.countDistinct(community).alias("n_subreddits")])
 
 
 def segment_memberships(df: DataFrame) -> DataFrame:
@@ -76,10 +81,6 @@ def segment_memberships(df: DataFrame) -> DataFrame:
              .select(*[F.col(f"_seg.{c}").alias(c) for c in KEYS], *rest))
 
 
-def _on(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
-
-
 # ---------------------------------------------------------------------------
 # D20 regression metrics
 # ---------------------------------------------------------------------------
@@ -99,6 +100,13 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
+def overfitting_gap(metrics: DataFrame, by: str = "split") -> DataFrame:
+    """``metrics`` with overfit_gap, the R2 of 'train' less the R2 of 'test', on every row."""
+    gap = metrics.agg((F.max(F.when(F.col(by) == "train", F.col("r2")))
+                       - F.max(F.when(F.col(by) == "test", F.col("r2")))).alias("overfit_gap"))
+    return metrics.join(F.broadcast(gap), F.lit(True), "left")  # one row
+
+
 def compare_to_baseline(r2: Column, baseline: float = 0.06, band: float = 0.005) -> Column:
     """IMPROVED / ~UNCHANGED / REGRESSED against a reference R2."""
     d = r2 - F.lit(baseline)
@@ -171,7 +179,7 @@ def segment_metadata(labelled: DataFrame, score: str = "virality_index", prior:
     """
     from ..dims import FEATURE_NAMES
 
-    cells = cell_sums(labelled, score, extra=[split]).cache()
+    cells = cell_sums(labelled, score, extra=[split])
     on = [*KEYS, "subreddit", "hour_of_day", "day_of_week"]
     train = _roll_cells(cells.filter(F.col(split) == "train").drop(split)).filter(F.col("n") > 0)
     test = _roll_cells(cells.filter(F.col(split) == "test").drop(split)).filter(F.col("n") > 0)
@@ -186,7 +194,7 @@ def segment_metadata(labelled: DataFrame, score: str = "virality_index", prior:
     t = test
     for other, cols in ((cell_p, on), (com_m, [*KEYS, "subreddit"]), (seg_m, KEYS),
                         (hour_m, [*KEYS, "hour_of_day"]), (day_m, [*KEYS, "day_of_week"])):
-        t = t.join(other, cols, "left")
+        t = join_keys(t, other, cols)
     pred = F.coalesce(
         (F.coalesce(F.col("sy_tr"), F.lit(0.0)) + F.lit(prior) * F.col("m_com"))
         / (F.coalesce(F.col("n_tr"), F.lit(0)) + F.lit(prior)),
@@ -211,7 +219,7 @@ def segment_metadata(labelled: DataFrame, score: str = "virality_index", prior:
                  F.when(fitted, F.col("_e_sub") / F.col("_n")).alias("subreddit_shap"),
                  F.when(fitted, F.col("_e_hour") / F.col("_n")).alias("hour_of_day_shap"),
                  F.when(fitted, F.col("_e_day") / F.col("_n")).alias("day_of_week_shap"))
-    out = size.join(q, KEYS, "left")
+    out = join_keys(size, q, KEYS)
     cols = [*KEYS, F.col("sample_size").cast("bigint").alias("sample_size"), "test_r2", "test_rmse"]
     have = {"subreddit_shap", "hour_of_day_shap", "day_of_week_shap"}
     cols += [F.col(f"{f}_shap") if f"{f}_shap" in have else F.lit(None).cast("double").alias(f"{f}_shap")
@@ -228,23 +236,27 @@ def optimal_ranges(labelled: DataFrame, score: str = "virality_index",
     """M8: per segment, the 25th-75th percentile of each shown feature among
     posts whose label is at or above the segment's 75th percentile.
 
-    The label is compared at 0.01 resolution (it lives in 0-100), which
-    bounds the exact percentile state to 10,001 distinct values per group.
-    Features missing from the input give NULL bounds.
+    Posts are counted once into a frequency table (keys, label, feature, value); roll-ups, the label's
+    percentile and the features' percentiles are all taken from those counts. Segments with a
+    missing key are kept. Features missing from the input give NULL bounds.
     """
-    k = labelled.withColumn("_y", F.round(F.col(score), 2))
+    k = keyed(labelled).withColumn("_y", F.col(score).cast("double"))
     feats = [f for f, _ in RANGE_FEATURES if f in k.columns]
-    mem = segment_memberships(k.select(*KEYS, "_y", *feats))
-    thr = segment_cube(k.select(*KEYS, "_y"), [F.percentile("_y", top).alias("_thr")])
-    m = join_checked(mem, thr, KEYS, "inner").filter(F.col("_y") >= F.col("_thr"))
-    aggs = []
-    for f in feats:
-        aggs += [F.percentile(F.col(f).cast("double"), lo).alias(f"{f}_opt_min"),
-                 F.percentile(F.col(f).cast("double"), hi).alias(f"{f}_opt_max")]
-    r = m.groupBy(*KEYS).agg(*aggs) if aggs else m.select(*KEYS).distinct()
-    cols = [*KEYS]
-    for f, _ in RANGE_FEATURES:
-        for b in ("min", "max"):
-            n = f"{f}_opt_{b}"
-            cols.append(F.col(n) if f in feats else F.lit(None).cast("double").alias(n))
-    return r.select(*cols)
+    labels = k.groupBy(*KEYS, "_y").agg(F.count("*").alias("n"))
+    thr = _rolled(labels, ["_y"]).groupBy(*KEYS).agg(F.percentile("_y", top, F.col("n")).alias("_thr"))
+    out = thr.select(*KEYS)
+    if feats:
+        long = k.select(*KEYS, "_y", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v"))
+                                                         for f in feats])).alias("x")).select(*KEYS, "_y", "x.f", "x.v")
+        counts = long.groupBy(*KEYS, "_y", "f", "v").agg(F.count("*").alias("n"))
+        best = join_keys(_rolled(counts, ["_y", "f", "v"]), thr, KEYS, "inner").where(F.col("_y") >= F.col("_thr"))
+        best = best.groupBy(*KEYS, "f", "v").agg(F.sum("n").alias("n"))
+        ends = best.groupBy(*KEYS).pivot("f", feats).agg(F.percentile("v", lo, F.col("n")).alias("opt_min"),
+                                                         F.percentile("v", hi, F.col("n")).alias("opt_max"))
+        out = join_keys(out, ends, KEYS)
+    return out.select(*KEYS, *[F.col(f"{f}_opt_{b}") if f in feats else F.lit(None).cast("double").alias(f"{f}_opt_{b}")
+                               for f, _ in RANGE_FEATURES for b in ("min", "max")])
+
+
+def _rolled(counts: DataFrame, always: list[str]) -> DataFrame:
+    return rollup_keys(counts, [F.sum("n").alias("n")], always=always)

@@ -23,6 +23,7 @@ from ..operators import profile as PF
 from ..operators import recommend as R
 from ..operators import segments as S
 from ..operators import textfeat as TF
+from ..operators.joins import join_keys
 from ..operators.labels import community_baseline, global_min_max, median_score, scale_min_max
 from ..session import scratch_path
 from ..sources import adapters as A
@@ -54,9 +55,7 @@ def _pred_keyed(spark, sf):
     """Split event posts with the served grid's prediction for their own cell."""
     sp = G.event_split(spark, sf)
     pred = G.serving(spark, sf)["predictions"]
-    k = S.keyed(sp)
-    on = [*S.KEYS, "subreddit", "hour_of_day", "day_of_week"]
-    return k.join(pred, on, "inner")
+    return join_keys(S.keyed(sp), pred, [*S.KEYS, "subreddit", "hour_of_day", "day_of_week"], "inner")
 
 
 # --- A: sources and sinks ---------------------------------------------------
@@ -301,11 +300,15 @@ def d16(spark, sf):
     return PF.domain_check(p, "hour_of_day", 0, 23).unionByName(PF.domain_check(p, "day_of_week", 0, 6))
 
 
+@q("d14_profile_outcomes")
+def d14b(spark, sf):
+    """The second name rule: prediction, score, hour and day columns of the grid."""
+    return PF.profile_metrics(G.serving(spark, sf)["predictions"], PF.looks_like_outcome)
+
+
 @q("d17_segment_cube")
 def d17(spark, sf):
-    return S.segment_cube(G.event_labelled(spark, sf), [
-        F.count("*").alias("n_posts"), F.avg("virality_index").alias("avg_index"),
-        F.countDistinct("subreddit").alias("n_subreddits")])
+    return S.segment_cube(G.event_labelled(spark, sf))
 
 
 @q("d18_body_stats")
@@ -321,7 +324,7 @@ def d19(spark, sf):
 @q("d20_regression_metrics")
 def d20(spark, sf):
     m = S.regression_metrics(_pred_keyed(spark, sf), "virality_index", "predicted_viral_score", ["split"])
-    return m.withColumn("vs_baseline", S.compare_to_baseline(F.col("r2")))
+    return S.overfitting_gap(m).withColumn("vs_baseline", S.compare_to_baseline(F.col("r2")))
 
 
 # --- E: windows -----------------------------------------------------------------
@@ -417,7 +420,7 @@ def h11(spark, sf):
     top = R.top_communities(sv["predictions"], 5)
     d = R.drivers(sv["model_metadata"]).select(*S.KEYS, F.transform(F.slice("drivers", 1, 3),
                                                                    lambda x: x["feature"]).alias("top3"))
-    j = top.join(d, S.KEYS, "left")
+    j = join_keys(top, d, S.KEYS)
     modes = F.explode(F.array(F.lit("newbie"), F.lit("experienced"), F.lit("technical"))).alias("mode")
     j = j.select("*", modes)
     return j.select(*S.KEYS, "rank", "subreddit", "mode",
@@ -440,7 +443,7 @@ def _seg_ranges(spark, sf):
     meta = R.drivers(sv["model_metadata"]).select(*S.KEYS, "drivers")
     rng = sv["optimal_ranges"]
     r = rng.select(*S.KEYS, *[F.col(c).alias(f"r_{c}") for c in rng.columns if c not in S.KEYS])
-    return R.usable_ranges(r.join(meta, S.KEYS, "left"), "drivers", "r_", "optimal_ranges")
+    return R.usable_ranges(join_keys(r, meta, S.KEYS), "drivers", "r_", "optimal_ranges")
 
 
 @q("h13_ranges_sentence")
@@ -466,8 +469,7 @@ def h21(spark, sf):
 @q("h30_log_terms")
 def h30(spark, sf):
     p = G.processed(spark, sf)
-    b = community_baseline(p)
-    j = p.join(F.broadcast(b), "subreddit", "left")
+    j = join_keys(p, community_baseline(p), ["subreddit"])
     r = T.ratio(F.col("score"), F.col("subreddit_baseline"))
     return j.select("post_id", r.alias("score_to_avg_ratio"), T.guarded_log1p(F.col("score")).alias("log_score"),
                     T.guarded_log1p(r).alias("log_ratio"))
@@ -539,7 +541,7 @@ def _trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         ms = G.model_split(spark, sf)
-        _MODELS[key] = M.train_gbt(DS.trainable(ms).filter("trainable"))
+        _MODELS[key] = M.train_gbt(ms)
     return _MODELS[key]
 
 
@@ -548,10 +550,10 @@ _MODELS: dict = {}
 
 @q("m1_assemble")
 def m1(spark, sf):
-    """Indexed categoricals + assembled feature vectors of the trainable rows."""
+    """Indexed categoricals + assembled feature vectors of all rows."""
     from pyspark.ml import Pipeline
     from ..operators import model as M
-    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable")
+    ms = G.model_split(spark, sf)
     pm = Pipeline(stages=M.assemble_stages()).fit(M.prepare(ms))
     v = pm.transform(M.prepare(ms))
     from pyspark.ml.functions import vector_to_array
@@ -563,7 +565,7 @@ def m1(spark, sf):
 def m2(spark, sf):
     """Boosted trees (300 x depth 6, rate 0.05, validation stopping); metrics on train and test."""
     from ..operators import model as M
-    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable")
+    ms = G.model_split(spark, sf)
     sc = M.score(_trained(spark, sf), ms.filter(F.col("split").isin("train", "test")))
     m = S.regression_metrics(sc, "virality_index", "prediction", ["split"])
     return m.withColumn("vs_baseline", S.compare_to_baseline(F.col("r2")))
@@ -572,7 +574,7 @@ def m2(spark, sf):
 @q("m3_score")
 def m3(spark, sf):
     from ..operators import model as M
-    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable")
+    ms = G.model_split(spark, sf)
     return M.score(_trained(spark, sf), ms.filter(F.col("split") == "test")).select(
         "post_id", F.col("virality_index").alias("actual"), F.col("prediction").alias("predicted"))
 
@@ -594,7 +596,7 @@ def m4(spark, sf):
 def m4p(spark, sf):
     """R2 drop of the boosted model on the test part when each feature is permuted."""
     from ..operators import model as M
-    ms = DS.trainable(G.model_split(spark, sf)).filter("trainable").filter(F.col("split") == "test")
+    ms = G.model_split(spark, sf).filter(F.col("split") == "test")
     return M.permutation_importance(_trained(spark, sf), ms)
 
 
@@ -602,8 +604,7 @@ def m4p(spark, sf):
 def m5(spark, sf):
     """Top-5 drivers of the overall linear model with direction and controllability."""
     from ..operators import model as M
-    t = M.segment_contributions(G.model_split(spark, sf)).filter(
-        (F.col("category") == ALL) & (F.col("has_media") == ALL) & (F.col("engagement_mechanism") == ALL))
+    t = M.segment_contributions(G.model_split(spark, sf), only=dict.fromkeys(S.KEYS, ALL))
     att = t.agg(*[F.avg(F.abs(F.col(f"{f}_contrib"))).alias(f) for f in M.FEATURE_NAMES]) \
            .unpivot([], M.FEATURE_NAMES, "feature", "mean_abs")
     return M.driver_direction(t, att, 5)
@@ -680,26 +681,22 @@ def _stream_run(spark, sf):
     src = _scratch(spark, sf, "s_source")
     io.materialize(G.raw(spark, sf).repartition(4), src)  # a folder of files = the stream
     run = scratch_path(spark, f"s_run_{uuid.uuid4().hex[:8]}")
-    query = start_collect(spark, src, f"{run}/out", f"{run}/checkpoint")
-    query.awaitTermination()
-    return query, f"{run}/out"
+    start_collect(spark, src, f"{run}/out", f"{run}/checkpoint", f"{run}/progress", max_files_per_trigger=1).awaitTermination()
+    return run
 
 
 @q("s1_collect_stream")
 def s1(spark, sf):
     """Stream the raw posts through the allow-list filter into Parquet (equals B2 in batch)."""
-    from .. import schemas
-    _, out = _stream_run(spark, sf)
-    return spark.read.schema(schemas.RAW_POSTS).parquet(out)
+    from ..streaming.collect import collected
+    return collected(spark, f"{_stream_run(spark, sf)}/out")
 
 
 @q("s2_stream_progress")
 def s2(spark, sf):
-    """Rows checked and kept, from the stream's observed metrics."""
+    """Rows checked and kept, from the progress table of a run of several micro-batches."""
     from ..streaming.collect import progress_counts
-    query, _ = _stream_run(spark, sf)
-    checked, matched = progress_counts(query)
-    return spark.createDataFrame([(checked, matched)], "checked long, matched long")
+    return progress_counts(spark, f"{_stream_run(spark, sf)}/progress")
 
 
 def queries() -> dict[str, Query]:

@@ -34,7 +34,7 @@ MEMBERS = ("(VALUES (false,false,false),(false,false,true),(false,true,false),(f
 
 
 def _on(a: str, b: str, cols: list[str]) -> str:
-    return " AND ".join(f"{a}.{c} = {b}.{c}" for c in cols)
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
 
 
 SEGK = ["category", "has_media", "engagement_mechanism"]
@@ -42,14 +42,21 @@ DAYS = _list(DAY_NAMES)
 
 
 def _labels(src: str, keep: str = "") -> str:
-    return f"""(WITH b AS (SELECT *, AVG(score) OVER (PARTITION BY subreddit) AS subreddit_baseline FROM {src}),
-  r AS (SELECT *, score / NULLIF(subreddit_baseline, 0) AS ratio FROM b),
-  l AS (SELECT *, CASE WHEN score > -1 THEN ln(score + 1) END AS ls,
-               CASE WHEN ratio > -1 THEN ln(ratio + 1) END AS lr FROM r),
-  s AS (SELECT *, (ls - MIN(ls) OVER ()) / NULLIF(MAX(ls) OVER () - MIN(ls) OVER (), 0) AS ns,
-               (lr - MIN(lr) OVER ()) / NULLIF(MAX(lr) OVER () - MIN(lr) OVER (), 0) AS nr FROM l)
-  SELECT post_id, subreddit, subreddit_baseline{keep},
-         (0.5 * COALESCE(ns, 0) + 0.5 * COALESCE(nr, 0)) * 100.0 AS virality_index FROM s)"""
+    """The index from its formula: half the scaled log of the score, half the scaled log of the score over
+    its community's mean; a log is defined above -1, an undefined or constant term counts as 0."""
+    def term(x: str, lo: str, hi: str) -> str:
+        return f"coalesce(CASE WHEN {x} > -1 THEN (ln({x} + 1) - ln({lo} + 1)) / nullif(ln({hi} + 1) - ln({lo} + 1), 0) END, 0)"
+
+    columns = "".join(f", p.{c.strip()}" for c in keep.split(",") if c.strip())
+    return f"""(SELECT p.post_id, p.subreddit, g.mean AS subreddit_baseline{columns},
+    50.0 * {term('p.score', 'x.s0', 'x.s1')} + 50.0 * {term('(p.score / nullif(g.mean, 0))', 'x.q0', 'x.q1')} AS virality_index
+  FROM {src} p
+  LEFT JOIN (SELECT subreddit, avg(score) AS mean FROM {src} GROUP BY subreddit) g ON p.subreddit IS NOT DISTINCT FROM g.subreddit
+  CROSS JOIN (SELECT min(score) FILTER (score > -1) AS s0, max(score) FILTER (score > -1) AS s1,
+                     min(q) FILTER (q > -1) AS q0, max(q) FILTER (q > -1) AS q1
+              FROM (SELECT a.score, a.score / nullif(b.mean, 0) AS q FROM {src} a
+                    JOIN (SELECT subreddit, avg(score) AS mean FROM {src} GROUP BY subreddit) b
+                      ON a.subreddit IS NOT DISTINCT FROM b.subreddit)) x)"""
 
 
 def _words(expr: str) -> str:
@@ -98,10 +105,12 @@ cte("category_dim", "SELECT * FROM (VALUES " + ", ".join(
     + ") t(community, community_lc, category)")
 
 cte("ev_posts", """SELECT event_id AS post_id, concat('c', CAST(user_id % 48 AS VARCHAR)) AS subreddit,
-  concat('cat', CAST((user_id % 48) % 10 AS VARCHAR)) AS category,
+  CASE WHEN user_id % 48 <> 37 THEN concat('cat', CAST((user_id % 48) % 10 AS VARCHAR)) END AS category,
   CASE event_type WHEN 'click' THEN 'question' WHEN 'purchase' THEN 'showcase' ELSE 'statement' END
     AS engagement_mechanism,
-  event_id % 3 = 0 AS has_media, CAST(floor(value) AS BIGINT) AS score, ts AS posted_at_local
+  CASE WHEN event_id % 50 <> 11 THEN event_id % 3 = 0 END AS has_media,
+  CASE WHEN event_id % 97 = 5 THEN NULL WHEN event_id % 89 = 7 THEN -1 WHEN event_id % 101 = 3 THEN -5
+       ELSE CAST(floor(value) AS BIGINT) END AS score, ts AS posted_at_local
 FROM events""")
 cte("ev_labelled", "SELECT *, CAST(hour(posted_at_local) AS INTEGER) AS hour_of_day, "
     "CAST(dayofweek(posted_at_local) AS INTEGER) AS day_of_week FROM "
@@ -125,7 +134,7 @@ def _cells(where: str = "") -> str:
 cte("cells_all", _cells(), ["ev_keyed"])
 cte("comm", f"SELECT {KEYS}, subreddit, sum(sy) / sum(n) AS cm FROM cells_all WHERE n > 0 GROUP BY ALL",
     ["cells_all"])
-_CELLON = " AND ".join(f"x.{c} = c.{c}" for c in SEGK + ["subreddit"])
+_CELLON = _on("x", "c", SEGK + ["subreddit"])
 cte("pred", f"""SELECT c.category, c.has_media, c.engagement_mechanism, c.subreddit,
   CAST(h.h AS INTEGER) AS hour_of_day, CAST(d.d AS INTEGER) AS day_of_week,
   least(greatest((coalesce(x.sy, 0) + 5.0 * c.cm) / (coalesce(x.n, 0) + 5.0), 0.0), 100.0) AS predicted_viral_score
@@ -148,7 +157,7 @@ cte("test_mem", f"SELECT {_MEMSEL}, t.subreddit, t.hour_of_day, t.day_of_week, t
 
 
 def _j(alias: str, extra: list[str]) -> str:
-    return " AND ".join(f"t.{c} = {alias}.{c}" for c in SEGK + extra)
+    return " AND ".join(f"t.{c} IS NOT DISTINCT FROM {alias}.{c}" for c in SEGK + extra)
 
 
 cte("scored", f"""SELECT t.*, s.m_seg, cm.m_com, hm.m_hour, dm.m_day,
@@ -174,7 +183,7 @@ FROM seg_size z LEFT JOIN quality q ON {_on('z', 'q', SEGK)}""", ["seg_size", "q
 
 _RFEATS = [f for f, _ in RANGE_FEATURES]
 _RHAVE = ["hour_of_day", "day_of_week"]
-cte("yk", "SELECT *, round(y, 2) AS yr FROM ev_keyed", ["ev_keyed"])
+cte("yk", "SELECT *, y AS yr FROM ev_keyed", ["ev_keyed"])
 cte("thr", f"SELECT {ALLK}, quantile_cont(yr, 0.75) AS thr FROM yk GROUP BY CUBE({KEYS})", ["yk"])
 cte("rng_top", f"""SELECT mm.* FROM (SELECT {_MEMSEL}, t.yr, t.hour_of_day, t.day_of_week FROM yk t
   CROSS JOIN {MEMBERS}) mm JOIN thr ON {_on('mm', 'thr', SEGK)} WHERE mm.yr >= thr.thr""", ["yk", "thr"])
@@ -408,7 +417,7 @@ _DBL = {"virality_index", "vader_compound", "readability", *[f"nrc_{e}" for e in
 o("b9_trainable", "SELECT count_if(" + " AND ".join(
     f"{c} IS NOT NULL" + (f" AND NOT isnan({c})" if c in _DBL else "") for c in _FEATS_MR)
   + ") AS trainable, count(*) AS total FROM model_ready", "model_ready")
-_PREDJ = "JOIN pred p ON " + " AND ".join(f"k.{c} = p.{c}" for c in SEGK + ["subreddit", "hour_of_day", "day_of_week"])
+_PREDJ = "JOIN pred p ON " + _on("k", "p", SEGK + ["subreddit", "hour_of_day", "day_of_week"])
 o("b10_sample_errors", f"""SELECT k.posted_at_local, k.post_id, {r4('k.y')} AS actual_viral_score,
   {r4('p.predicted_viral_score')} AS predicted_viral_score, {r4('p.predicted_viral_score - k.y')} AS error
 FROM ev_keyed k {_PREDJ} WHERE k.split = 'test' ORDER BY k.posted_at_local, k.post_id LIMIT 10""", "ev_keyed", "pred")
@@ -497,6 +506,12 @@ o("d14_profile_metrics", " UNION ALL ".join(
     f"{r4('quantile_cont(x, 0.5)')} AS median, "
     + ", ".join(f"{r4(f'quantile_cont(x, {p / 10})')} AS p{p * 10}" for p in range(1, 10))
     + f" FROM (SELECT CAST({c} AS DOUBLE) AS x FROM meta)" for c in _MET), "meta")
+_OUT = ["hour_of_day", "day_of_week", "predicted_viral_score"]
+o("d14_profile_outcomes", " UNION ALL ".join(
+    f"SELECT {_s(c)} AS column_name, {r4('min(x)')} AS min, {r4('max(x)')} AS max, {r4('avg(x)')} AS mean, "
+    f"{r4('quantile_cont(x, 0.5)')} AS median, "
+    + ", ".join(f"{r4(f'quantile_cont(x, {p / 10})')} AS p{p * 10}" for p in range(1, 10))
+    + f" FROM (SELECT CAST({c} AS DOUBLE) AS x FROM pred)" for c in _OUT), "pred")
 o("d15_bucket_counts", """SELECT b.bucket_order, b.bucket, coalesce(c.count, 0) AS count FROM
   (VALUES (0, 'below 0'), (1, '0 to 0.05'), (2, '0.05 to 0.10'), (3, '0.10 to 0.20'), (4, 'above 0.20'), (5, '(null)'))
   b(bucket_order, bucket)
@@ -505,9 +520,9 @@ LEFT JOIN (SELECT CASE WHEN test_r2 IS NULL OR isnan(test_r2) THEN '(null)' WHEN
   ELSE 'above 0.20' END AS bucket, count(*) AS count FROM meta GROUP BY 1) c ON b.bucket = c.bucket
 WHERE b.bucket <> '(null)' OR coalesce(c.count, 0) > 0""", "meta")
 o("d16_domain_check", " UNION ALL ".join(
-    f"SELECT {_s(c)} AS column_name, count(DISTINCT {c}) AS n_distinct, min({c}) AS min, max({c}) AS max, "
-    f"(min({c}) >= 0 AND max({c}) <= {hi}) AS in_range, "
-    f"array_to_string(list_sort(list_distinct(list({c}))), ',') AS \"values\" FROM pred"
+    f"SELECT {_s(c)} AS column_name, {c} AS value, count(*) AS count, (SELECT count(DISTINCT {c}) FROM pred) AS n_distinct, "
+    f"(SELECT min({c}) FROM pred) AS min, (SELECT max({c}) FROM pred) AS max, {c} BETWEEN 0 AND {hi} AS in_range "
+    f"FROM pred GROUP BY {c}"
     for c, hi in (("hour_of_day", 23), ("day_of_week", 6))), "pred")
 o("d17_segment_cube", f"SELECT {ALLK}, count(*) AS n_posts, {r4('avg(y)')} AS avg_index, "
   f"count(DISTINCT subreddit) AS n_subreddits FROM ev_keyed GROUP BY CUBE({KEYS})", "ev_keyed")
@@ -517,6 +532,7 @@ o("d19_time_range", "SELECT split, count(*) AS rows, min(posted_at_local) AS fir
   "last_ts, count_if(posted_at_local IS NULL) AS null_ts FROM ev_split GROUP BY split", "ev_split")
 o("d20_regression_metrics", f"""SELECT split, n, {r4('rmse')} AS rmse, {r4('mae')} AS mae, {r4('r2')} AS r2,
   {r4('y_mean')} AS y_mean, {r4('y_std')} AS y_std,
+  {r4("max(CASE WHEN split = 'train' THEN r2 END) OVER () - max(CASE WHEN split = 'test' THEN r2 END) OVER ()")} AS overfit_gap,
   CASE WHEN r2 - 0.06 > 0.005 THEN 'IMPROVED' WHEN abs(r2 - 0.06) <= 0.005 THEN '~UNCHANGED' ELSE 'REGRESSED' END
     AS vs_baseline
 FROM (SELECT k.split, count(k.y) AS n, sqrt(avg((p.predicted_viral_score - k.y) ^ 2)) AS rmse,
@@ -624,8 +640,8 @@ cte("facts", f"""SELECT o.*, {DAYS}[s.best_day_of_week + 1] AS best_day, s.best_
 FROM (SELECT {KEYS}, count(*) AS n_rows, count(DISTINCT subreddit) AS n_subreddits, avg(predicted_viral_score) AS avg_score
       FROM pred GROUP BY ALL) o
 LEFT JOIN seg_slot s ON {_on('o', 's', SEGK)}
-LEFT JOIN media md ON o.category = md.category AND o.engagement_mechanism = md.engagement_mechanism
-LEFT JOIN best_mech b ON o.category = b.category AND o.has_media = b.has_media""",
+LEFT JOIN media md ON {_on('o', 'md', ['category', 'engagement_mechanism'])}
+LEFT JOIN best_mech b ON {_on('o', 'b', ['category', 'has_media'])}""",
     ["pred", "seg_slot", "media", "best_mech"])
 
 
@@ -755,6 +771,23 @@ o("r5_segment_facts", f"""SELECT {KEYS}, n_rows, n_subreddits, {r4('avg_score')}
   best_mechanism FROM facts""", "facts")
 
 
+cte("mr_split", """SELECT * EXCLUDE (rn, n), CASE WHEN rn - 1 < floor(n * 0.7::DOUBLE) THEN 'train'
+  WHEN rn - 1 < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT m.*, p.posted_at_local, row_number() OVER (ORDER BY p.posted_at_local NULLS LAST, m.post_id) AS rn, count(*) OVER () AS n
+      FROM model_ready m JOIN processed_posts p ON m.post_id = p.post_id)""", ["model_ready", "processed_posts"])
+_LEVELS = {c: f"(SELECT v, row_number() OVER (ORDER BY v) - 1.0 AS i FROM (SELECT DISTINCT {c} AS v FROM mr_split WHERE {c} IS NOT NULL))"
+           for c in ("subreddit", "category", "engagement_mechanism")}
+o("m1_assemble", f"""SELECT m.post_id, m.split, {len(FEATURE_NAMES)} AS n_features, """ + ", ".join(
+    f"CAST(coalesce(l{k}.i, (SELECT count(DISTINCT {c}) FROM mr_split)) AS DOUBLE) AS {c}_idx" for k, c in enumerate(_LEVELS))
+  + " FROM mr_split m " + " ".join(f"LEFT JOIN {q} l{k} ON m.{c} = l{k}.v" for k, (c, q) in enumerate(_LEVELS.items())), "mr_split")
+_MR_TYPES = ([("post_id", "bigint"), ("virality_index", "double"), ("hour_of_day", "int"), ("day_of_week", "int"), ("has_media", "boolean"),
+              ("post_length_proxy", "bigint"), ("vader_compound", "double")] + [(f"nrc_{e}", "double") for e in EMOTIONS]
+             + [("readability", "double"), ("title_length", "int"), ("body_length", "int"), ("subreddit", "string"),
+                ("category", "string"), ("engagement_mechanism", "string")])
+o("a7_describe_schema", "SELECT position, column_name, data_type, (SELECT count(*) FROM model_ready) AS n_rows, "
+  f"{len(_MR_TYPES)} AS n_cols FROM (VALUES " + ", ".join(f"({i}, {_s(c)}, {_s(t)})" for i, (c, t) in enumerate(_MR_TYPES))
+  + ") t(position, column_name, data_type)", "model_ready")
+
 o("s1_collect_stream", f"SELECT {RAW_COLS} FROM raw_posts WHERE lower(trim(subreddit)) IN "
   "(SELECT community_lc FROM category_dim)", "raw_posts", "category_dim")
 o("s2_stream_progress", "SELECT count(*) AS checked, count_if(lower(trim(subreddit)) IN "

@@ -6,6 +6,8 @@ model-ready table; event posts -> labels -> split -> serving tables.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def processed(spark: SparkSession, sf: str) -> DataFrame:
-    return P.process_posts(raw(spark, sf))
+    """Processed posts, written once: features, labels and text features all read this table."""
+    return written(spark, sf, "processed_posts", lambda: P.process_posts(raw(spark, sf)))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +75,7 @@ def written(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     path = _WRITTEN.get(key)
     if path is None:
-        tag = abs(hash(sf)) % 10**8
+        tag = hashlib.md5(sf.encode()).hexdigest()[:8]
         path = scratch_path(spark, f"tables/{name}_{tag}")
         materialize(build(), path)
         _WRITTEN[key] = path

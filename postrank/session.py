@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -60,19 +61,27 @@ def get_spark(master: str | None = None, app: str = "postrank",
     return spark
 
 
+_CHECKPOINTS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    operator (a shared file system). Only when it is unset -- local tests --
-    a fresh scratch folder is created and registered.
+    operator (a shared file system). Only when it is unset in a local session
+    -- tests -- a fresh scratch folder is created and registered.
     """
     sc = spark.sparkContext
+    if sc in _CHECKPOINTS:
+        return _CHECKPOINTS[sc]
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="postrank-ckpt-")
     sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    _CHECKPOINTS[sc] = sc.getCheckpointDir() or d
+    return _CHECKPOINTS[sc]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

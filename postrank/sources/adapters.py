@@ -77,18 +77,26 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """post_id, subreddit, category, engagement_mechanism, has_media, score, posted_at_local."""
+    """post_id, subreddit, category, engagement_mechanism, has_media, score, posted_at_local.
+
+    Some categories, media flags and scores are missing and some scores are -1 or less, so that
+    every branch of the jobs downstream is met.
+    """
     e = read_table(spark, sf_dir, "events")
     comm = (F.col("user_id") % 48).cast("string")
     return e.select(
         F.col("event_id").alias("post_id"),
         F.concat(F.lit("c"), comm).alias("subreddit"),
-        F.concat(F.lit("cat"), ((F.col("user_id") % 48) % 10).cast("string")).alias("category"),
+        F.when(F.col("user_id") % 48 != 37, F.concat(F.lit("cat"), ((F.col("user_id") % 48) % 10).cast("string")))
+         .alias("category"),
         F.when(F.col("event_type") == "click", "question")
          .when(F.col("event_type") == "purchase", "showcase")
          .otherwise("statement").alias("engagement_mechanism"),
-        (F.col("event_id") % 3 == 0).alias("has_media"),
-        F.floor("value").cast("bigint").alias("score"),
+        F.when(F.col("event_id") % 50 != 11, F.col("event_id") % 3 == 0).alias("has_media"),
+        F.when(F.col("event_id") % 97 == 5, F.lit(None).cast("bigint"))
+         .when(F.col("event_id") % 89 == 7, F.lit(-1).cast("bigint"))
+         .when(F.col("event_id") % 101 == 3, F.lit(-5).cast("bigint"))
+         .otherwise(F.floor("value").cast("bigint")).alias("score"),
         F.col("ts").alias("posted_at_local"),
     )
 

@@ -1,53 +1,53 @@
 """Continuous collection (S1, S2) with Structured Streaming.
 
 A file stream of raw posts is filtered to the allow-listed communities (a
-stream-static left-semi join against the broadcast 50-row dimension) and
-appended to Parquet with a checkpoint, so a restarted query resumes where it
-stopped. Progress counts (rows checked, rows kept) are observed metrics of
-each micro-batch, not a second pass over the data.
+left-semi join against the broadcast 50-row dimension) and written as Parquet, one
+folder per micro-batch, with a checkpoint, so a restarted query resumes where it
+stopped. Rows checked and kept are observed while a batch is written, not counted in
+a second pass, and go to a progress table, one row per batch. Both writes replace
+the batch's own folder, so a batch that runs again after a failure counts once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.posts import filter_communities
 
+PROGRESS = "batch_id long, checked long, matched long"
 
-def start_collect(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+
+def start_collect(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, progress_dir: str,
                   dim: DataFrame | None = None, available_now: bool = True,
                   max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Stream raw posts from ``source_dir`` into ``out_dir`` (Parquet)."""
+    """Stream raw posts from ``source_dir`` into ``out_dir`` (Parquet, by batch) and each batch's counts
+    into ``progress_dir``."""
     reader = spark.readStream.schema(schemas.RAW_POSTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.parquet(source_dir)
-    checked = raw.observe("checked", F.count(F.lit(1)).alias("rows"))
-    kept = filter_communities(checked, dim).observe("matched", F.count(F.lit(1)).alias("rows"))
-    w = (kept.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        checked, matched = Observation(), Observation()
+        rows = F.count(F.lit(1)).alias("rows")
+        kept = filter_communities(batch.observe(checked, rows), dim).observe(matched, rows)
+        kept.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        (batch.sparkSession.createDataFrame([(batch_id, checked.get["rows"], matched.get["rows"])], PROGRESS)
+         .coalesce(1).write.mode("overwrite").parquet(f"{progress_dir}/batch={batch_id}"))
+
+    w = reader.parquet(source_dir).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def collect_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                   dim: DataFrame | None = None) -> DataFrame:
-    """Run the collection over everything available, then read the output."""
-    q = start_collect(spark, source_dir, out_dir, checkpoint, dim)
-    q.awaitTermination()
-    return spark.read.schema(schemas.RAW_POSTS).parquet(out_dir)
-
-
-def progress_counts(query: StreamingQuery) -> tuple[int, int]:
-    """(rows checked, rows kept) summed over the query's micro-batches."""
-    checked = matched = 0
-    for p in query.recentProgress:
-        m = p.observedMetrics if hasattr(p, "observedMetrics") else p.get("observedMetrics", {})
-        if "checked" in m:
-            checked += int(m["checked"]["rows"])
-        if "matched" in m:
-            matched += int(m["matched"]["rows"])
-    return checked, matched
+def collected(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The posts that all batches have kept."""
+    return spark.read.schema(schemas.RAW_POSTS).parquet(f"{out_dir}/batch_id=*")
+
+
+def progress_counts(spark: SparkSession, progress_dir: str) -> DataFrame:
+    """One row: rows checked and kept over all batches, those before a restart included."""
+    rows = spark.read.schema(PROGRESS).parquet(f"{progress_dir}/batch=*")
+    return rows.agg(F.sum("checked").alias("checked"), F.sum("matched").alias("matched"))
