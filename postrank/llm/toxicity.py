@@ -31,7 +31,7 @@ TIMES = (1, 2, 4)  # a beginning is a token of its own when so many different wo
 LISTS = 2  # lexicons per kind of token
 TOKENS = 20_000  # tokens in all lexicons, and features of the classifier, at most
 PRECISE = 0.85  # share of label 1 among a lexicon token's rows, at least
-CACHED = 200_000  # words whose tokens a worker keeps
+CACHED = 100_000  # words whose tokens a worker keeps
 
 PREFIXED = re.compile(r"\d+x(\d+)\^")  # words have no ^
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
