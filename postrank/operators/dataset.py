@@ -103,17 +103,34 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
 
 def temporal_split(df: DataFrame, ts: str = "posted_at_local", key: str = "post_id",
                    train: float = 0.70, val: float = 0.85) -> DataFrame:
-    """Adds ``split`` in train / val / test by time order (tie: key).
+    """Adds ``split`` in train / val / test by time order (missing times last; tie: the unique key).
 
-    Cut points are floor(n * 0.70) and floor(n * 0.85) over the exact rank.
+    The cuts are the rows at floor(n * 0.70) and floor(n * 0.85). Rows are counted per day; the exact
+    row is then looked up by rank in the day that holds it, and ``split`` is a comparison with those
+    two rows, so the table itself is neither shuffled nor written.
     """
-    ranked = global_rank(df, [ts, key], "_rank")
-    n = F.col("_rank_total")
-    c1 = F.floor(n * F.lit(train))
-    c2 = F.floor(n * F.lit(val))
-    split = (F.when(F.col("_rank") - 1 < c1, "train")
-             .when(F.col("_rank") - 1 < c2, "val").otherwise("test"))
-    return ranked.withColumn("split", split).drop("_rank", "_rank_total")
+    day = F.to_date(F.col(ts))
+    days = df.groupBy(day.alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("d").asc_nulls_last()).collect()
+    total = sum(r["n"] for r in days)
+
+    def before(cut: int) -> Column:
+        """Whether a row comes before the row of rank ``cut`` (from 0)."""
+        passed = 0
+        for r in days:
+            if cut < passed + r["n"]:
+                rows = df.filter(day.eqNullSafe(F.lit(r["d"]))).select(ts, key)
+                at = global_rank(rows, [ts, key], "_rank").filter(F.col("_rank") == cut - passed + 1)
+                bound = at.select(F.col(ts).cast("string").alias("ts"), key).first()
+                same = F.col(key) < F.lit(bound[key])
+                if bound["ts"] is None:
+                    return F.col(ts).isNotNull() | same
+                b = F.lit(bound["ts"]).cast(df.schema[ts].dataType)
+                return F.coalesce((F.col(ts) < b) | ((F.col(ts) == b) & same), F.lit(False))
+            passed += r["n"]
+        return F.lit(True)
+
+    first, second = before(int(total * train)), before(int(total * val))
+    return df.withColumn("split", F.when(first, "train").when(second, "val").otherwise("test"))
 
 
 def check_split(df: DataFrame, ts: str = "posted_at_local") -> DataFrame:

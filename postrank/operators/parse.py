@@ -4,15 +4,20 @@ Keyword matching runs as one projection: 76 ``contains`` tests per row on
 the lower-cased text (bound once), counted per category (no join, no shuffle). Typo-tolerant matching runs only
 on rows the exact pass left without a category, and compares *distinct*
 tokens with the keywords: an equi-join on token length (a keyword is only
-comparable to tokens whose length is within the similarity bound), then
-Levenshtein similarity. The matched-token table is small (tokens close to 76
-keywords) and is broadcast back after a size check.
+comparable to tokens whose length is within the similarity bound) and an edit
+distance that the similarity implies. What is left, a few tokens close to some
+keyword, gets the matching-block ratio of the standard library. The
+matched-token table is small and is broadcast back after a size check.
 """
 
 from __future__ import annotations
 
+from difflib import get_close_matches
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,32 +82,41 @@ def _keyword_lengths(df: DataFrame) -> DataFrame:
     """Keyword dim exploded to every token length it can match at the cutoff."""
     kw = keyword_dim(df.sparkSession)
     lk = F.length("keyword")
-    # sim = 1 - lev / max(lt, lk) >= c needs |lt - lk| <= (1 - c) * max(lt, lk)
-    lo = F.ceil(lk * F.lit(FUZZY_CUTOFF))
-    hi = F.floor(lk / F.lit(FUZZY_CUTOFF))
+    # 2 * matches / (lt + lk) >= c with at most min(lt, lk) matches
+    lo = F.ceil(lk * F.lit(FUZZY_CUTOFF / (2 - FUZZY_CUTOFF)) - F.lit(1e-9))
+    hi = F.floor(lk * F.lit((2 - FUZZY_CUTOFF) / FUZZY_CUTOFF) + F.lit(1e-9))
     return kw.select("ordinal", "keyword", "category",
                      F.explode(F.sequence(F.greatest(lo, F.lit(FUZZY_MIN_LEN)).cast("int"),
                                           hi.cast("int"))).alias("_len"))
 
 
+def _may_match(a: Column, b: Column) -> Column:
+    """A matching-block ratio of at least the cutoff leaves at most (1 - cutoff) * (la + lb) letters
+    unmatched, and deleting and inserting those is an edit path."""
+    total = F.length(a) + F.length(b)
+    return F.levenshtein(a, b) <= total * F.lit(1 - FUZZY_CUTOFF) + F.lit(1e-9)
+
+
 def fuzzy_token_matches(tok: DataFrame) -> DataFrame:
-    """Distinct tokens -> best keyword (similarity >= cutoff) -> category.
+    """Distinct tokens -> best keyword -> category.
 
-    Similarity is 1 - levenshtein / max(length); the best keyword is the
+    Similarity is the matching-block ratio, at least the cutoff; the best keyword is the
     highest similarity, ties to the larger keyword string.
     """
     d = tok.select("token").distinct().withColumn("_len", F.length("token"))
-    kl = _keyword_lengths(tok)
-    j = join_dim(d, kl, "_len", "inner")
-    # The longest keyword has 11 letters, so comparable tokens have at most 13
-    # and the cutoff allows at most floor(0.2 * 13) = 2 edits: stop counting at 3.
-    bound = int((1 - FUZZY_CUTOFF) * max(len(k) for k, _ in CATEGORY_KEYWORDS) / FUZZY_CUTOFF) + 1
-    lev = F.levenshtein("token", "keyword", bound)
-    sim = F.when(lev >= 0, F.lit(1.0) - lev / F.greatest(F.length("token"), F.length("keyword")))
-    j = j.withColumn("_sim", sim).filter(F.col("_sim") >= F.lit(FUZZY_CUTOFF))
-    return j.groupBy("token").agg(
-        F.max_by(F.struct("keyword", "category"), F.struct("_sim", "keyword")).alias("_m")
-    ).select("token", F.col("_m.keyword").alias("keyword"), F.col("_m.category").alias("category"))
+    near = (join_dim(d, _keyword_lengths(tok), "_len", "inner")
+            .filter(_may_match(F.col("token"), F.col("keyword"))).select("token").distinct())
+    category = dict(CATEGORY_KEYWORDS)
+    keywords = list(category)
+
+    def closest(batches):
+        for b in batches:
+            found = [(t, m[0], category[m[0]]) for t in b.column(0).to_pylist()
+                     if (m := get_close_matches(t, keywords, n=1, cutoff=FUZZY_CUTOFF))]
+            columns = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["token", "keyword", "category"])
+
+    return near.mapInArrow(closest, "token string, keyword string, category string")
 
 
 def fuzzy_category(df: DataFrame, text: str = "text", key: str = "request_id",
@@ -127,16 +141,20 @@ def fuzzy_category(df: DataFrame, text: str = "text", key: str = "request_id",
 def resolve_label_expr(label: Column) -> Column:
     """Free label -> canonical category: exact normalised, contained, near match 0.8."""
     norm = normalize_label(label)
-    canon = [(c, c.lower().replace("&", " and ")) for c in CATEGORIES]
-    canon = [(c, " ".join(n.split())) for c, n in canon]
-    exact = reduce(lambda acc, cn: acc.when(norm == F.lit(cn[1]), F.lit(cn[0])), canon[1:],
-                   F.when(norm == F.lit(canon[0][1]), F.lit(canon[0][0])))
-    contained = reduce(lambda acc, cn: acc.when(norm.contains(cn[1]), F.lit(cn[0])), canon[1:],
-                       F.when(norm.contains(canon[0][1]), F.lit(canon[0][0])))
-    sims = F.array(*[F.struct((F.lit(1.0) - F.levenshtein(norm, F.lit(n)) /
-                               F.greatest(F.length(norm), F.lit(len(n)))).alias("s"),
-                              F.lit(n).alias("n"), F.lit(c).alias("c")) for c, n in canon])
-    near = F.array_max(F.filter(sims, lambda x: x["s"] >= F.lit(FUZZY_CUTOFF)))["c"]
+    names = {" ".join(c.lower().replace("&", " and ").split()): c for c in CATEGORIES}
+    exact = F.coalesce(*[F.when(norm == F.lit(n), F.lit(c)) for n, c in names.items()])
+    contained = F.coalesce(*[F.when(norm.contains(n), F.lit(c)) for n, c in names.items()])
+    close = reduce(lambda a, b: a | b, [
+        (F.abs(F.length(norm) - len(n)) <= (F.length(norm) + len(n)) * (1 - FUZZY_CUTOFF) + 1e-9) & _may_match(norm, F.lit(n))
+        for n in names])
+
+    @F.pandas_udf("string")
+    def nearest(s: pd.Series) -> pd.Series:
+        found = [get_close_matches(x, list(names), n=1, cutoff=FUZZY_CUTOFF) if x else [] for x in s]
+        return pd.Series([names[m[0]] if m else None for m in found], dtype="object")
+
+    # only labels close to some name reach the function; the rest are NULL there
+    near = nearest(F.when(exact.isNull() & contained.isNull() & close, norm))
     return (F.when((norm == "") | (norm == "none") | norm.isNull(), F.lit(None).cast("string"))
             .otherwise(F.coalesce(exact, contained, near)))
 

@@ -1,21 +1,51 @@
-"""Table profiles (D10-D16, D18, D19): grouped aggregates.
+"""Table profiles (D10-D16, D18, D19): grouped aggregates over one scan of the table.
 
-Quantiles use exact ``percentile`` (linear interpolation, as the profiled
-reports do); its state follows the distinct values of a column. For
-high-cardinality columns at scale pass ``approx=True`` (a bounded sketch).
+Quantiles interpolate linearly between exact ranks, as the profiled reports do. The distinct
+values of all profiled columns are counted in one pass, the counts are range-partitioned by value, and a
+rank is found by running sums inside its partition: no task holds a whole column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 DECILES = [i / 10 for i in range(1, 10)]
 
 
-def _pct(c: Column, p, approx: bool) -> Column:
-    return F.percentile_approx(c, p, 10000) if approx else F.percentile(c, p)
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """column_name, value (double, NaN as NULL) of several numeric columns: one scan."""
+    x = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]
+    return df.select(*x).unpivot([], cols, "column_name", "value")
+
+
+def quantiles(df: DataFrame, cols: list[str], ps: list[float]) -> DataFrame:
+    """column_name and one column q0, q1, ... per share in ``ps``; missing values are left out."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = (_long(df, cols).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+              .repartitionByRange(n, "column_name", "value").withColumn("part", F.spark_partition_id()))
+    counts = counts.checkpoint(eager=True)  # the parts are read twice and must be the same
+    parts = counts.groupBy("column_name", "part").agg(F.sum("n").alias("np"))
+    earlier = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("column_name", "part", F.coalesce(F.sum("np").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("column_name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(parts, ["column_name", "part"]).withColumn("upto", F.col("offset") + F.sum("n").over(within))
+    totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
+    wanted = totals.select("column_name", F.posexplode(F.array(*[(F.col("total") - 1) * F.lit(p) for p in ps])).alias("k", "at"))
+    wanted = wanted.select("column_name", "k", (F.col("at") - F.floor("at")).alias("share"),
+                           F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    # two ranks per column and share: a bounded broadcast
+    found = (ranked.join(F.broadcast(wanted), "column_name")
+             .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))))
+    each = found.groupBy("column_name", "k").agg(
+        (F.min_by("value", "rank") + F.max("share") * (F.max_by("value", "rank") - F.min_by("value", "rank"))).alias("q"))
+    return each.groupBy("column_name").pivot("k", list(range(len(ps)))).agg(F.first("q")).withColumnsRenamed(
+        {str(i): f"q{i}" for i in range(len(ps))})
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -36,31 +66,32 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.unpivot([], df.columns, "column_name", "null_count")
 
 
-def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, std, min, 25%, 50%, 75%, max of one column (NaN ignored)."""
     c = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                  F.min(c).alias("min"), _pct(c, 0.25, approx).alias("p25"),
-                  _pct(c, 0.5, approx).alias("p50"), _pct(c, 0.75, approx).alias("p75"),
-                  F.max(c).alias("max"))
-
-
-def _first_values(df: DataFrame, col: str, k: int) -> Column:
-    """Scalar: the ``k`` smallest distinct values of ``col`` as a sorted array
-    (a bounded top-k over the distributed distinct, never a full collect)."""
-    d = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    return d.orderBy("_v").limit(k).agg(F.array_sort(F.collect_list("_v"))).scalar()
+    stats = df.agg(F.lit(col).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                   F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = quantiles(df, [col], [0.25, 0.5, 0.75])
+    return stats.join(q, "column_name", "left").select("count", "mean", "std", "min", F.col("q0").alias("p25"),
+                                                       F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def profile_categoricals(df: DataFrame, max_list: int = 30) -> DataFrame:
-    """For each string column, distinct count and the sorted values if fewer than 30."""
+    """For each string column, distinct count and the sorted values if fewer than 30.
+
+    One scan: values are counted distinct per column, then the columns' counts; values are listed for columns
+    under the limit only.
+    """
     cols = [c for c, t in df.dtypes if t == "string"]
-    counts = df.agg(*[F.countDistinct(c).alias(c) for c in cols]) \
-               .unpivot([], cols, "column_name", "n_unique")
-    vals = F.create_map(*[x for c in cols for x in (F.lit(c), _first_values(df, c, max_list))])
-    return counts.select("column_name", "n_unique",
-                         F.when(F.col("n_unique") < max_list,
-                                F.array_join(F.element_at(vals, F.col("column_name")), ", ")).alias("values"))
+    values = df.select(*cols).unpivot([], cols, "column_name", "value").where(F.col("value").isNotNull()).distinct()
+    counts = values.groupBy("column_name").agg(F.count("*").alias("n_unique"))
+    # one row per column of the table: a bounded broadcast
+    short = values.join(F.broadcast(counts.where(F.col("n_unique") < max_list).select("column_name")), "column_name")
+    lists = short.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("values"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return (F.broadcast(names).join(counts, "column_name", "left").join(lists, "column_name", "left")
+            .select("column_name", F.coalesce("n_unique", F.lit(0).cast("bigint")).alias("n_unique"),
+                    F.when(F.coalesce("n_unique", F.lit(0)) < max_list, F.coalesce("values", F.lit(""))).alias("values")))
 
 
 def looks_like_outcome(name: str) -> bool:
@@ -75,19 +106,15 @@ def looks_like_metric(name: str) -> bool:
     return any(t in low for t in ("r2", "rmse", "sample_size"))
 
 
-def profile_metrics(df: DataFrame, select=looks_like_metric, approx: bool = False) -> DataFrame:
+def profile_metrics(df: DataFrame, select=looks_like_metric) -> DataFrame:
     """Min, max, mean, median and deciles of name-selected numeric columns."""
     num = [c for c, t in df.dtypes if select(c) and t in ("double", "float", "int", "bigint", "smallint")]
-    parts = []
-    for c in num:
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        parts.append(df.agg(F.lit(c).alias("column_name"), F.min(x).alias("min"), F.max(x).alias("max"),
-                            F.avg(x).alias("mean"), _pct(x, 0.5, approx).alias("median"),
-                            *[_pct(x, p, approx).alias(f"p{int(round(p * 100))}") for p in DECILES]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stats = _long(df, num).groupBy("column_name").agg(F.min("value").alias("min"), F.max("value").alias("max"),
+                                                      F.avg("value").alias("mean"))
+    q = quantiles(df, num, DECILES)
+    return stats.join(q, "column_name", "left").select(
+        "column_name", "min", "max", "mean", F.col(f"q{DECILES.index(0.5)}").alias("median"),
+        *[F.col(f"q{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(DECILES)])
 
 
 def bucket_counts(df: DataFrame, col: str, edges: list[float], labels: list[str]) -> DataFrame:

@@ -386,13 +386,13 @@ def h5(spark, sf):
 
 @q("h6_normalize_label")
 def h6(spark, sf):
-    c = A.read_table(spark, sf, "conversations")
+    c = A.label_rows(spark, sf)
     return c.select("conv_id", "turn", T.normalize_label(F.col("text")).alias("label"))
 
 
 @q("h7_resolve_label")
 def h7(spark, sf):
-    c = A.read_table(spark, sf, "conversations")
+    c = A.label_rows(spark, sf)
     return c.select("conv_id", "turn", PR.resolve_label_expr(F.col("text")).alias("category"))
 
 

@@ -76,7 +76,8 @@ def cte(name: str, sql: str, deps: list[str] | None = None) -> None:
 _IDX = "TRY_CAST(substring(d.source, 4) AS INTEGER)"
 cte("raw0", f"""SELECT d.doc_id AS post_id,
   CASE WHEN {_IDX} < {len(SOURCE_COMMUNITIES)} THEN {_list(SOURCE_COMMUNITIES)}[{_IDX} + 1] ELSE d.source END AS subreddit,
-  concat(CASE e.event_type WHEN 'click' THEN concat(split_part(d.text, '. ', 1), '?')
+  concat(CASE WHEN d.doc_id % 41 = 6 THEN '[deleted] ' ELSE '' END,
+         CASE e.event_type WHEN 'click' THEN concat(split_part(d.text, '. ', 1), '?')
                            WHEN 'purchase' THEN concat('[OC] ', split_part(d.text, '. ', 1))
                            ELSE split_part(d.text, '. ', 1) END,
          CASE WHEN length(d.text) > length(split_part(d.text, '. ', 1)) + 2
@@ -200,7 +201,12 @@ cte("requests", """SELECT event_id AS request_id, concat('cat', CAST((user_id %
 FROM events""")
 cte("req_keys", """SELECT *, coalesce(nullif(post_type, ''), 'ALL') AS pt, coalesce(nullif(mechanism, ''), 'ALL') AS mech
 FROM requests""", ["requests"])
-cte("text_requests", "SELECT doc_id AS request_id, text FROM documents")
+cte("text_requests", """SELECT doc_id AS request_id, CASE doc_id % 11 WHEN 1 THEN text || ' ?'
+  WHEN 2 THEN 'just finished this: ' || text WHEN 3 THEN 'meetup near New York ' || text WHEN 4 THEN 'lpatop reciep ' || text
+  WHEN 5 THEN '  ' WHEN 6 THEN NULL WHEN 7 THEN 'anxeity ' || text ELSE text END AS text FROM documents""")
+cte("label_rows", """SELECT conv_id, turn, CASE conv_id % 8 WHEN 0 THEN 'Food & Cooking' WHEN 1 THEN '**gaming**.'
+  WHEN 2 THEN 'I think Fitness and health fits' WHEN 3 THEN 'Skincare & Beuty' WHEN 4 THEN 'none' WHEN 5 THEN 'Mental Helath'
+  WHEN 6 THEN 'tehc & gadgets' ELSE text END AS text FROM conversations""")
 
 
 def _ladder(src: str, table: str, cat: str, pt: str, mech: str) -> str:
@@ -305,12 +311,39 @@ cte("fz_tok", f"""SELECT request_id, tok[i] AS token, i AS pos FROM (
   SELECT request_id, tok, generate_subscripts(tok, 1) AS i FROM (
     SELECT request_id, regexp_extract_all(lower(trim(text)), '[a-z]+') AS tok FROM kw_cat
     WHERE category IS NULL AND trim(text) <> '')) WHERE length(tok[i]) >= {FUZZY_MIN_LEN}""", ["kw_cat"])
+
+
+def _blocks(a: str, b: str) -> str:
+    """The longest common block of two strings, the earliest in ``a``, then in ``b``: {k, i, j}, i and j negated."""
+    same = f"substr({a}, CAST(p // length({b}) AS BIGINT) + 1, q) = substr({b}, CAST(p % length({b}) AS BIGINT) + 1, q)"
+    fits = f"q <= length({a}) - p // length({b}) AND q <= length({b}) - p % length({b})"
+    return (f"list_max(list_transform(range(length({a}) * length({b})), lambda p: {{'k': len(list_filter("
+            f"range(1, least(length({a}), length({b})) + 1), lambda q: {fits} AND {same})), "
+            f"'i': -(p // length({b})), 'j': -(p % length({b}))}}))")
+
+
+def ratio_ctes(name: str, pairs: str, deps: list[str]) -> None:
+    """``name``: a, b, ratio for the pairs (a, b): twice the letters in matching blocks over all letters. Blocks
+    are found by splitting left and right of the longest one."""
+    limit = f"levenshtein(a, b) <= {round(1 - FUZZY_CUTOFF, 9)}::DOUBLE * (length(a) + length(b)) + 1e-9"
+    cte(f"{name}_pairs", f"SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> '' AND "
+        f"2 * least(length(a), length(b)) >= {FUZZY_CUTOFF}::DOUBLE * (length(a) + length(b)) - 1e-9 AND {limit}", deps)
+    cte(f"{name}_blocks", f"""SELECT * FROM (WITH RECURSIVE m AS (
+    SELECT a, b, a AS x, b AS y, {_blocks('a', 'b')} AS t FROM {name}_pairs
+    UNION ALL
+    SELECT a, b, x, y, {_blocks('x', 'y')} AS t FROM (
+      SELECT a, b, unnest([{{'x': substr(x, 1, -t.i), 'y': substr(y, 1, -t.j)}},
+                           {{'x': substr(x, -t.i + t.k + 1), 'y': substr(y, -t.j + t.k + 1)}}], recursive := true)
+      FROM m WHERE t.k > 0) WHERE x <> '' AND y <> '') SELECT a, b, t.k AS k FROM m)""", [f"{name}_pairs"])
+    cte(name, f"SELECT a, b, 2.0::DOUBLE * sum(k) / (length(a) + length(b)) AS ratio FROM {name}_blocks GROUP BY a, b",
+        [f"{name}_blocks"])
+
+
+ratio_ctes("fz_ratio", "SELECT k.keyword AS a, t.token AS b FROM (SELECT DISTINCT token FROM fz_tok) t CROSS JOIN kw_dim k",
+           ["fz_tok", "kw_dim"])
 cte("fz_match", f"""SELECT token, keyword, category FROM (
-  SELECT t.token, k.keyword, k.category, row_number() OVER (PARTITION BY t.token ORDER BY
-    1.0 - levenshtein(t.token, k.keyword) / greatest(length(t.token), length(k.keyword)) DESC, k.keyword DESC) AS r
-  FROM (SELECT DISTINCT token FROM fz_tok) t JOIN kw_dim k
-    ON 1.0 - levenshtein(t.token, k.keyword) / greatest(length(t.token), length(k.keyword)) >= {FUZZY_CUTOFF})
-WHERE r = 1""", ["fz_tok", "kw_dim"])
+  SELECT r.b AS token, r.a AS keyword, k.category, row_number() OVER (PARTITION BY r.b ORDER BY r.ratio DESC, r.a DESC) AS n
+  FROM fz_ratio r JOIN kw_dim k ON r.a = k.keyword WHERE r.ratio >= {FUZZY_CUTOFF}) WHERE n = 1""", ["fz_ratio", "kw_dim"])
 cte("fz_cat", """SELECT request_id, category AS fuzzy_category FROM (
   SELECT request_id, category, row_number() OVER (PARTITION BY request_id ORDER BY h DESC, p ASC) AS r FROM (
     SELECT t.request_id, m.category, count(*) AS h, min(t.pos) AS p FROM fz_tok t JOIN fz_match m ON t.token = m.token
@@ -339,15 +372,12 @@ def _normalize(x: str) -> str:
     return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
 
 
-def _resolve(x: str) -> str:
-    n = _normalize(x)
-    canon = [(c, " ".join(c.lower().replace("&", " and ").split())) for c in CATEGORIES]
-    exact = "CASE " + " ".join(f"WHEN {n} = {_s(cn)} THEN {_s(c)}" for c, cn in canon) + " END"
-    cont = "CASE " + " ".join(f"WHEN contains({n}, {_s(cn)}) THEN {_s(c)}" for c, cn in canon) + " END"
-    sims = "[" + ", ".join(f"{{'s': 1.0 - levenshtein({n}, {_s(cn)}) / greatest(length({n}), {len(cn)}), "
-                           f"'n': {_s(cn)}, 'c': {_s(c)}}}" for c, cn in canon) + "]"
-    near = (f"(SELECT c FROM (SELECT unnest({sims}, recursive := true)) WHERE s >= {FUZZY_CUTOFF} "
-            f"ORDER BY s DESC, n DESC LIMIT 1)")
+CANON = {" ".join(c.lower().replace("&", " and ").split()): c for c in CATEGORIES}
+
+
+def _resolve(n: str, near: str) -> str:
+    exact = "CASE " + " ".join(f"WHEN {n} = {_s(cn)} THEN {_s(c)}" for cn, c in CANON.items()) + " END"
+    cont = "CASE " + " ".join(f"WHEN contains({n}, {_s(cn)}) THEN {_s(c)}" for cn, c in CANON.items()) + " END"
     return f"CASE WHEN {n} = '' OR {n} = 'none' OR {n} IS NULL THEN NULL ELSE coalesce({exact}, {cont}, {near}) END"
 
 
@@ -566,8 +596,14 @@ o("h3_post_mechanism", f"SELECT p.post_id, {_post_mech('p.title', 'f.has_media')
   "FROM processed_posts p JOIN post_features f ON p.post_id = f.post_id", "processed_posts", "post_features")
 o("h4_request_mechanism", f"SELECT request_id, {_req_mech('text', 'category')} AS mechanism FROM kw_cat", "kw_cat")
 o("h5_location", f"SELECT request_id, {_loc('text')} AS location FROM text_requests", "text_requests")
-o("h6_normalize_label", f"SELECT conv_id, turn, {_normalize('text')} AS label FROM conversations")
-o("h7_resolve_label", f"SELECT conv_id, turn, {_resolve('text')} AS category FROM conversations")
+cte("labels_norm", f"SELECT conv_id, turn, {_normalize('text')} AS label FROM label_rows", ["label_rows"])
+o("h6_normalize_label", "SELECT conv_id, turn, label FROM labels_norm", "labels_norm")
+ratio_ctes("label_ratio", "SELECT a, label AS b FROM labels_norm CROSS JOIN (VALUES " + ", ".join(f"({_s(n)})" for n in CANON)
+           + ") c(a) WHERE length(label) < 60", ["labels_norm"])
+cte("label_near", "SELECT b AS label, CASE arg_max(a, (ratio, a)) " + " ".join(f"WHEN {_s(n)} THEN {_s(c)}" for n, c in CANON.items())
+    + f" END AS near FROM label_ratio WHERE ratio >= {FUZZY_CUTOFF} GROUP BY b", ["label_ratio"])
+o("h7_resolve_label", f"SELECT l.conv_id, l.turn, {_resolve('l.label', 'n.near')} AS category FROM labels_norm l "
+  "LEFT JOIN label_near n ON l.label = n.label", "labels_norm", "label_near")
 o("h9_tokens", "SELECT post_id, CAST(len(tok) AS INTEGER) AS n_tokens, array_to_string(tok, ' ') AS tokens FROM (SELECT post_id, "
   "regexp_extract_all(lower(txt), '[a-z'']+') AS tok FROM post_text)", "post_text")
 

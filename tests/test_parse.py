@@ -52,3 +52,36 @@ def test_normalize_and_resolve_label(spark):
     got = df.select(normalize_label(F.col("t")).alias("n"), resolve_label_expr(F.col("t")).alias("c")).collect()
     assert [g.n for g in got[:3]] == ["skincare and beauty"] * 3
     assert [g.c for g in got] == ["Skincare & Beauty"] * 3 + ["Gaming", "Skincare & Beauty", None, None]
+
+
+def test_swapped_letters_resolve_by_matching_blocks(spark):
+    # "lpatop" ~ "laptop": blocks "l" + "atop" or "pa"...: 5 of 6 letters match on both sides, 10 / 12 >= 0.8
+    texts = ["lpatop", "reciep", "anxeity", "rceipe book", "ytniv qqqqq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "request_id long, text string")
+    got = {r.request_id: (r.category, r.category_source) for r in parse_requests(df).collect()}
+    assert got == {0: ("Tech & Gadgets", "fuzzy"), 1: ("Food & Cooking", "fuzzy"), 2: ("Mental Health", "fuzzy"),
+                   3: ("Food & Cooking", "fuzzy"), 4: (None, None)}
+
+
+def test_fuzzy_matches_equal_the_plain_ratio(spark):
+    """The length and edit-distance bounds lose no keyword that the ratio accepts."""
+    import random
+    from difflib import get_close_matches
+    from postrank.dims import CATEGORY_KEYWORDS
+    from postrank.operators.parse import fuzzy_token_matches
+    r = random.Random(11)
+    words = [k for k, _ in CATEGORY_KEYWORDS if " " not in k]
+    tokens = set()
+    while len(tokens) < 1500:
+        w = list(r.choice(words))
+        for _ in range(r.randint(1, 4)):
+            i = r.randrange(len(w))
+            op = r.randrange(4)
+            w[i:i + 1] = [] if op == 0 and len(w) > 1 else [w[i], r.choice("aeinrstz")] if op == 1 else [r.choice("aeinrstz")]
+            if op == 3 and i + 1 < len(w):
+                w[i], w[i + 1] = w[i + 1], w[i]
+        if len(w) >= 5:
+            tokens.add("".join(w))
+    got = {x.token: x.keyword for x in fuzzy_token_matches(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    want = {t: m[0] for t in tokens if (m := get_close_matches(t, [k for k, _ in CATEGORY_KEYWORDS], n=1, cutoff=0.8))}
+    assert got == want
