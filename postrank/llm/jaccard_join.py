@@ -21,7 +21,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, written
@@ -335,6 +335,7 @@ def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens:
     forest = Forest(components)
     trie = Trie(sequences, lengths, forest, len(values))
     kept: set[int] = set()
+    single = len(set(components)) == len(components)
     for i in sorted(range(len(ids)), key=lambda i: (lengths[i], ids[i])):
         if whole:
             links: list[int] = []
@@ -347,8 +348,9 @@ def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens:
             yield from ((ids[i], ids[j]) for j in links)
         else:
             def possible(j: int, i: int = i) -> None:
-                forest.join(i, j)  # both are kept; what hangs together already needs no second look
                 kept.update((i, j))
+                if single:  # all that hangs together is kept already and needs no second look
+                    forest.join(i, j)
 
             trie.walk(i, False, possible)
         trie.insert(i)
@@ -461,55 +463,54 @@ def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame |
     postings = _explode_prefixes(prefixes)
     shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared")
     postings = written(postings.join(_small(shared), "token"), "postings")
-    # tokens with the same members need joining once: they agree in number, sum and extremes of the ids
-    alike = (postings.groupBy("token", "m").agg(F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"), F.min("sid").alias("low"),
-                                                F.max("sid").alias("high"))
-             .groupBy("m", "s", "low", "high").agg(F.min("token").alias("token")).select("token"))
-    groups = written(postings.join(_small(written(alike, "alike")), "token").select("token", "sid", F.col("n").alias("w")), "groups")
-
-    # 1. prefixes: the sets of each group that the bounds allow a partner; all of a group of several blocks
-    prefix = F.ceil(F.col("w") * (DEN - NUM) / DEN) + 1
-    totals = groups.groupBy("token").agg(F.sum(prefix).alias("wt"))
-    large = _small(written(totals.where(F.col("wt") > BLOCK).select("token"), "large"))
-    zero = F.lit(0).cast("bigint")
-    units = groups.join(large, "token", "left_anti").select("token", zero.alias("b1"), zero.alias("b2"), "sid", F.col("sid").alias("comp"))
-    possible = _join_units(units, prefixes, False).select("token", F.col("a").alias("sid"))
-    possible = possible.union(groups.join(large, "token").select("token", "sid"))
-    possible = written(possible.join(_small(written(members.where(F.col("sid").isNotNull()).groupBy("sid").agg(
-        F.first("n").alias("w")), "sizes")), "sid").select("token", "sid", "w"), "possible")
-
-    # their sets as a whole, from one document each (and all without an id)
-    sids = possible.select("sid").distinct()
-    wanted = written(members.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
-    chosen = docs.where(F.col("doc_id").isNotNull()).join(_small(wanted), "doc_id", "left_semi")
-    chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()))
-    whole = written(_tokens(chosen, size, order, whole=True), "whole")
-
-    # 2. every set in the largest of its groups, block by block; in groups of several blocks then one set
-    # per component, until nothing more is linked
-    sized = possible.join(_small(written(possible.groupBy("token").agg(F.count("*").alias("m")), "largest")), "token")
-    own = written(sized.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("best"), F.first("w").alias("w"))
-                  .select("sid", "w", F.col("best.token").alias("token")), "own")
-    links, comp, rows = [], None, own
+    # A set that has a token has its shared tokens before it in its prefix as well. If the one before is the
+    # same for all members of a group, that one's group holds every pair of this one, which is left out.
+    before = postings.withColumn("prev", F.lag("token").over(Window.partitionBy("sid").orderBy("token")))
+    needed = (before.groupBy("token", "m").agg(F.count("prev").alias("k"), F.min("prev").alias("low"), F.max("prev").alias("high"))
+              .where((F.col("k") < F.col("m")) | (F.col("low") < F.col("high"))).select("token"))
+    groups = written(postings.join(_small(written(needed, "needed")), "token").select("token", "sid", "m", F.col("n").alias("w")),
+                     "groups")
+
+    # 1. every set in the largest of its groups, block by block; in groups of several blocks then one set
+    # per component, until nothing more is linked. This connects large groups of copies.
+    rows = written(groups.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("best"), F.first("w").alias("w"))
+                   .select("sid", "w", F.col("best.token").alias("token")), "own")
+    links, comp = [], None
     while rows.limit(1).count():
-        found = written(_join_units(_units(_with_components(rows, comp), diagonal=True), whole, True), "links")
-        if not found.limit(1).count():
+        found = _linked(_with_components(rows, comp), True, docs, members, prefixes, size, order)
+        if found is None:
             break
-        links.append(found.select("a", "b"))
+        links.append(found)
         comp = connected(_union(links))
         several = rows.groupBy("token").agg(F.sum("w").alias("wt")).where(F.col("wt") > BLOCK).select("token")
         rows = written(_with_components(rows.join(several, "token"), comp).groupBy("token", "comp").agg(
             F.min(F.struct("sid", "w")).alias("x")).select("token", F.col("x.sid").alias("sid"), F.col("x.w").alias("w")), "leaders")
 
-    # 3. groups that still hold several components
-    rows = _with_components(possible, comp)
-    found = written(_join_units(_units(rows, diagonal=False), whole, True), "links")
-    if found.limit(1).count():
-        links.append(found.select("a", "b"))
+    # 2. all groups that hold several components
+    found = _linked(_with_components(groups, comp), False, docs, members, prefixes, size, order)
+    if found is not None:
+        links.append(found)
         comp = connected(_union(links))
     return comp
 
 
+def _linked(rows: DataFrame, diagonal: bool, docs: DataFrame, members: DataFrame, prefixes: DataFrame, size: int, order) -> DataFrame | None:
+    """Links (a, b) between components inside the groups of ``rows`` (token, sid, w, comp): prefixes tell which sets
+    may have a partner, and those are compared as a whole. None if there are none."""
+    short = rows.withColumn("w", F.ceil(F.col("w") * (DEN - NUM) / DEN) + 1)
+    possible = written(_join_units(_units(short, diagonal), prefixes, False).select("token", F.col("a").alias("sid")).distinct(), "possible")
+    if not possible.limit(1).count():
+        return None
+    # the sets from one document each, and from all documents without an id
+    sids = _small(written(possible.select("sid").distinct(), "sids"))
+    wanted = written(members.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
+    chosen = docs.where(F.col("doc_id").isNotNull()).join(_small(wanted), "doc_id", "left_semi")
+    chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    whole = written(_tokens(chosen, size, order, whole=True).join(sids, "sid", "left_semi"), "whole")
+    found = written(_join_units(_units(rows.join(_small(possible), ["token", "sid"], "left_semi"), diagonal), whole, True), "links")
+    return found.select("a", "b") if found.limit(1).count() else None
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
