@@ -60,7 +60,7 @@ def test_segments_with_a_missing_key_are_in_every_serving_table(spark):
     keys = {n: {tuple(r) for r in df.select(*KEYS).distinct().collect()} for n, df in t.items()}
     assert keys["model_metadata"] == keys["optimal_ranges"] == keys["predictions"]
     assert any(None in k for k in keys["predictions"])
-    missing = t["model_metadata"].filter("category is null and has_media = 'ALL' and engagement_mechanism = 'ALL'").first()
+    missing = t["model_metadata"].filter("has_media is null and category = 'ALL' and engagement_mechanism = 'ALL'").first()
     assert missing.sample_size > 0 and missing.test_rmse is not None
 
 
