@@ -16,7 +16,6 @@ is made. Components come from contracting the links in Spark.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -463,8 +462,13 @@ def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame |
     postings = _explode_prefixes(prefixes)
     shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared")
     postings = written(postings.join(_small(shared), "token"), "postings")
-    # A set that has a token has its shared tokens before it in its prefix as well. If the one before is the
-    # same for all members of a group, that one's group holds every pair of this one, which is left out.
+    # tokens with the same members need joining once: they agree in number, sum and extremes of the ids
+    alike = (postings.groupBy("token", "m").agg(F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"), F.min("sid").alias("low"),
+                                                F.max("sid").alias("high"))
+             .groupBy("m", "s", "low", "high").agg(F.min("token").alias("token")).select("token"))
+    postings = written(postings.join(_small(written(alike, "alike")), "token"), "postings")
+    # if the token before is the same for all members of a group, that one's group holds every pair of this
+    # one, which is left out
     before = postings.withColumn("prev", F.lag("token").over(Window.partitionBy("sid").orderBy("token")))
     needed = (before.groupBy("token", "m").agg(F.count("prev").alias("k"), F.min("prev").alias("low"), F.max("prev").alias("high"))
               .where((F.col("k") < F.col("m")) | (F.col("low") < F.col("high"))).select("token"))
