@@ -119,7 +119,9 @@ def test_recommend_streams_requests_through_broadcasts(spark):
     meta, preds, ranges = contract_tables(spark)
     req = requests(spark, [("Food & Cooking", None, "question", "technical")] * 3)
     plan = R.recommend(req, meta, preds, ranges)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    # only the facts, one row per segment, may be joined by a shuffle; requests never are
+    shuffled = [x for x in plan.split("\n") if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
+    assert all("_right_" in x for x in shuffled)
     assert plan.count("BroadcastHashJoin") >= 10
 
 
