@@ -91,9 +91,10 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.nd
             at += 1
         w, starts = word_hashes(b" ".join(bodies))
         first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in bodies)]))
-        h = np.zeros(max(0, len(w) - size + 1), dtype=np.uint64)
+        windows = max(0, len(w) - size + 1)
+        h = np.zeros(windows, dtype=np.uint64)
         for k in range(size):
-            h += w[k:len(w) - size + 1 + k] * _FACTORS[k % 5] * np.uint64(2 * (k // 5) + 1)
+            h += w[k:k + windows] * _FACTORS[k % 5] * np.uint64(2 * (k // 5) + 1)
         h = mixed(h) >> np.uint64(64 - HASH_BITS)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= size:

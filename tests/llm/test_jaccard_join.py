@@ -40,6 +40,18 @@ def test_blocks_and_chains_equal_brute_force(spark, make_docs, monkeypatch):
     assert got(J.components(make_docs(rows))) == plain(rows)
 
 
+def test_chunks_of_a_few_words(spark, make_docs):
+    """Batches of 0 to 5 words in all, and a short text that closes a chunk before a very long one."""
+    for n in range(6):
+        text = " ".join(f"w{i}" for i in range(n))
+        assert [len(s) for s in J.shingle_sets([text])] == [min(n, 1)]
+        assert [len(s) for s in J.shingle_sets([None, text, ""])] == [0, min(n, 1), 0]
+        assert [len(s) for s in J.shingle_sets([*"a" * n])] == [1] * n
+    long = "v" * J.CHUNK + " " + " ".join(f"v{i}" for i in range(9))
+    assert [len(s) for s in J.shingle_sets([long, "one two three", long, "one two three"])] == [6, 1, 6, 1]
+    assert got(J.components(make_docs([(1, "one two three")]))) == {1: (1, 1)}
+
+
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(J.components(docs)) == plain([tuple(r) for r in docs.select("doc_id", "text").collect()])
