@@ -82,6 +82,7 @@ def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes (HASH_BITS bits) of its shingles; fewer words are one
     shingle. Texts are hashed together, some at a time."""
+    factors = np.array([int(_FACTORS[k % 5]) * (2 * (k // 5) + 1) % (1 << 64) for k in range(size)], dtype=np.uint64)
     at = 0
     while at < len(texts):
         bodies, total = [], 0
@@ -94,14 +95,14 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.nd
         windows = max(0, len(w) - size + 1)
         h = np.zeros(windows, dtype=np.uint64)
         for k in range(size):
-            h += w[k:k + windows] * _FACTORS[k % 5] * np.uint64(2 * (k // 5) + 1)
+            h += w[k:k + windows] * factors[k]
         h = mixed(h) >> np.uint64(64 - HASH_BITS)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= size:
                 yield np.unique(h[a:b - size + 1])
             elif b > a:
-                few = sum(int(x) * int(f) for x, f in zip(w[a:b], _FACTORS[b - a - 1:])) + b - a
-                yield np.array([few % (1 << 64) >> 64 - HASH_BITS], dtype=np.uint64)
+                few = (w[a:b] * factors[:b - a]).sum(keepdims=True) + np.uint64(b - a)
+                yield mixed(few) >> np.uint64(64 - HASH_BITS)
             else:
                 yield np.zeros(0, dtype=np.uint64)
 

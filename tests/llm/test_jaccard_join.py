@@ -40,6 +40,20 @@ def test_blocks_and_chains_equal_brute_force(spark, make_docs, monkeypatch):
     assert got(J.components(make_docs(rows))) == plain(rows)
 
 
+def test_short_texts_count_every_word(spark, make_docs):
+    """Texts of one to four words that share all words but one, or their words in another order."""
+    texts = ["click here to subscribe", "click here for help", "click here to Subscribe", "here click to subscribe", "click there to subscribe",
+             "click here to", "click here for", "here to click", "click here", "here click", "click", "here", "click here to subscribe now"]
+    rows = list(enumerate(texts))
+    assert got(J.components(make_docs(rows))) == plain(rows)
+    for size in (5, 8):  # longer shingles leave longer short texts
+        for n in range(1, size):
+            words = [f"w{i}" for i in range(n)]
+            changed = [" ".join([*words[:i], "other", *words[i + 1:]]) for i in range(n)]
+            sets = [tuple(s) for s in J.shingle_sets([" ".join(words), *changed], size)]
+            assert all(len(s) == 1 for s in sets) and len(set(sets)) == n + 1
+
+
 def test_chunks_of_a_few_words(spark, make_docs):
     """Batches of 0 to 5 words in all, and a short text that closes a chunk before a very long one."""
     for n in range(6):
