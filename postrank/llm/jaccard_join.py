@@ -10,7 +10,8 @@ both cannot reach the threshold, or when everything below is already in its own
 Equal sets are one node from the start. Large groups are cut into blocks of bounded size, linked
 block by block, then through one set per component; what is still unconnected is compared block against
 block. Links are a spanning forest: every pair of similar sets ends in one component, and no list of pairs
-is made. Components come from contracting the links in Spark.
+is made. Components come from contracting the links in Spark. The number of all links of each document
+is counted apart, in the same groups: a pair counts in that of the first token that both sets have.
 """
 
 from __future__ import annotations
@@ -358,18 +359,60 @@ def join_unit(ids: list[int], lengths: list[int], components: list[int], tokens:
     yield from ((ids[i], ids[i]) for i in sorted(kept))
 
 
+def count_unit(token: int, ids: list[int], lengths: list[int], blocks: list[int], weights: list[int], tokens: list[bytes],
+               across: bool) -> Iterator[tuple[int, int]]:
+    """(id, weight of the similar sets) of one unit's whole sets, zeros left out. A pair counts where ``token`` is the
+    first that both have, and in a unit of two blocks (``across``) only between them, so once in all units."""
+    lists = [np.frombuffer(t, dtype=np.int64) for t in tokens]
+    values, local, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    n, block, weight = np.array(lengths), np.array(blocks), np.array(weights)
+    owner = np.repeat(np.arange(len(lists)), n)
+    order = np.argsort(local, kind="stable")
+    having = np.split(owner[order], np.cumsum(times)[:-1])
+    first = int(np.searchsorted(values, token))
+    for i, own in enumerate(np.split(local, np.cumsum(n)[:-1])):
+        own = own[times[own] > 1]
+        earlier = own[own < first]
+        overlap = np.bincount(np.concatenate([having[k] for k in own[len(earlier):]]), minlength=len(lists))
+        found = (NUM + DEN) * overlap >= NUM * (n + n[i])
+        found[i] = False
+        if across:
+            found &= block != block[i]
+        for k in earlier:
+            found[having[k]] = False
+        if found.any():
+            yield ids[i], int(weight[found].sum())
+
+
 def _join_units(units: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
     """``units``: token, b1, b2, sid, comp. Rows (token, a, b) as :func:`join_unit` finds them."""
+    def work(key, ids, lengths, components, tokens):
+        return join_unit(ids, lengths, components, tokens, whole)
+
+    return _each_unit(units, sets, ["sid", "n", "comp", "tokens"], work)
+
+
+def _count_units(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """``units``: token, b1, b2, sid, block; ``sets`` with their weight. Rows (token, a, b): b is the weight that
+    :func:`count_unit` finds for set a."""
+    def work(key, ids, lengths, blocks, weights, tokens):
+        return count_unit(key[0], ids, lengths, blocks, weights, tokens, key[1] != key[2])
+
+    return _each_unit(units, sets, ["sid", "n", "block", "weight", "tokens"], work)
+
+
+def _each_unit(units: DataFrame, sets: DataFrame, columns: list[str], work: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
+    """Rows (token, a, b): what ``work`` finds from the key (token, b1, b2) and the columns of each unit's sets."""
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = _small(written(units, "units"))
-    rows = (sets.join(units, "sid").select("token", "b1", "b2", "sid", "n", "comp", "tokens")
+    rows = (sets.join(units, "sid").select("token", "b1", "b2", *columns)
             .repartition(n, "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2"))
 
     def run(batches):
         key, held = None, []
         for b in batches:
             out = []
-            columns = [b.column(i).to_pylist() for i in range(7)]
+            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
             for t, b1, b2, *row in zip(*columns):
                 if (t, b1, b2) != key:
                     out += joined(key, held)
@@ -383,8 +426,7 @@ def _join_units(units: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
     def joined(key, held):
         if len(held) < 2:
             return []
-        ids, lengths, components, tokens = map(list, zip(*held))
-        return [(key[0], a, b) for a, b in join_unit(ids, lengths, components, tokens, whole)]
+        return [(key[0], a, b) for a, b in work(key, *map(list, zip(*held)))]
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["token", "a", "b"])
@@ -414,6 +456,15 @@ def _units(rows: DataFrame, diagonal: bool) -> DataFrame:
     return one.unionByName(dealt.join(pairs, ["token", "block"]).select("token", "b1", "b2", "sid", "comp"))
 
 
+def _pair_units(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, sid, w) dealt into units (token, b1, b2) of one block or two, each of about BLOCK tokens, so that
+    every two sets of a group meet."""
+    parts = rows.groupBy("token").agg(F.ceil(F.sum("w") / BLOCK).alias("parts"), F.count("*").alias("m")).where(F.col("m") > 1)
+    dealt = rows.join(parts, "token").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    return (dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+            .select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "sid", "block"))
+
+
 # --- components --------------------------------------------------------------------------------------
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -452,8 +503,9 @@ def _with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
             .withColumn("comp", F.coalesce("comp", "sid")))
 
 
-def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame | None:
-    """node, comp of the classes of equal sets that are linked with another; None if there are none."""
+def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
+    """The order of tokens, the sets' prefixes, and the groups (token, sid, m, w) of sets that share a prefix token. Every
+    two sets that share some are together in the group of the first that they share."""
     sc = docs.sparkSession.sparkContext
     often = (members.where(F.col("seen").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
              .where(F.col("seen") >= 4 * OFTEN).orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect())
@@ -476,6 +528,12 @@ def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame |
               .where((F.col("k") < F.col("m")) | (F.col("low") < F.col("high"))).select("token"))
     groups = written(postings.join(_small(written(needed, "needed")), "token").select("token", "sid", "m", F.col("n").alias("w")),
                      "groups")
+    return order, prefixes, groups
+
+
+def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame | None:
+    """node, comp of the classes of equal sets that are linked with another; None if there are none."""
+    order, prefixes, groups = _grouped(docs, members, size)
 
     # 1. every set in the largest of its groups, block by block; in groups of several blocks then one set
     # per component, until nothing more is linked. This connects large groups of copies.
@@ -503,18 +561,29 @@ def link_classes(docs: DataFrame, members: DataFrame, size: int) -> DataFrame |
 def _linked(rows: DataFrame, diagonal: bool, docs: DataFrame, members: DataFrame, prefixes: DataFrame, size: int, order) -> DataFrame | None:
     """Links (a, b) between components inside the groups of ``rows`` (token, sid, w, comp): prefixes tell which sets
     may have a partner, and those are compared as a whole. None if there are none."""
+    possible = _possible(rows, diagonal, prefixes)
+    if possible is None:
+        return None
+    whole = _whole(possible, docs, members, size, order)
+    found = written(_join_units(_units(rows.join(_small(possible), ["token", "sid"], "left_semi"), diagonal), whole, True), "links")
+    return found.select("a", "b") if found.limit(1).count() else None
+
+
+def _possible(rows: DataFrame, diagonal: bool, prefixes: DataFrame) -> DataFrame | None:
+    """The sets (token, sid) that may have a partner by their prefixes. None if there are none."""
     short = rows.withColumn("w", F.ceil(F.col("w") * (DEN - NUM) / DEN) + 1)
     possible = written(_join_units(_units(short, diagonal), prefixes, False).select("token", F.col("a").alias("sid")).distinct(), "possible")
-    if not possible.limit(1).count():
-        return None
+    return possible if possible.limit(1).count() else None
+
+
+def _whole(possible: DataFrame, docs: DataFrame, members: DataFrame, size: int, order) -> DataFrame:
+    """The whole sets of ``possible``."""
     # the sets from one document each, and from all documents without an id
     sids = _small(written(possible.select("sid").distinct(), "sids"))
     wanted = written(members.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
     chosen = docs.where(F.col("doc_id").isNotNull()).join(_small(wanted), "doc_id", "left_semi")
     chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()))
-    whole = written(_tokens(chosen, size, order, whole=True).join(sids, "sid", "left_semi"), "whole")
-    found = written(_join_units(_units(rows.join(_small(possible), ["token", "sid"], "left_semi"), diagonal), whole, True), "links")
-    return found.select("a", "b") if found.limit(1).count() else None
+    return written(_tokens(chosen, size, order, whole=True).join(sids, "sid", "left_semi"), "whole")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -542,3 +611,27 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     out = members.join(classes, "sid", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
                       F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles and n_links, the number of other rows whose sets are similar to its own.
+
+    Every pair of similar sets counts, not only those that :func:`components` needs; equal sets, repeated rows and rows
+    without a key among them, count by rows. A null, empty or wordless text has no links. Sums per set
+    are made, no list of pairs. Work grows with the square of a large group, spread over its units.
+    """
+    docs = df.select(quoted(key).alias("doc_id"), quoted(text).cast("string").alias("text"))
+    both = written(_members(docs, size), "members")
+    members = both.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
+    classes = written(members.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.count("*").alias("weight")), "classes")
+    order, prefixes, groups = _grouped(docs, both, size)
+    possible = _possible(groups.withColumn("comp", F.col("sid")), False, prefixes)
+    links = F.col("weight") - 1
+    if possible is not None:
+        whole = _whole(possible, docs, members, size, order).join(classes, "sid")
+        units = _pair_units(groups.join(_small(possible), ["token", "sid"], "left_semi"))
+        found = written(_count_units(units, whole).groupBy(F.col("a").alias("sid")).agg(F.sum("b").alias("more")), "counts")
+        classes = classes.join(found, "sid", "left")
+        links = links + F.coalesce("more", F.lit(0))
+    return (members.join(classes.select("sid", links.alias("links")), "sid", "left")
+            .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links")))

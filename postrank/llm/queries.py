@@ -25,6 +25,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op2_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir).select("doc_id", "text"), in_held_out_fold(F.col("doc_id"))
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
@@ -90,7 +94,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_hash_tree_sharding, op2_jaccard_join, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
+        op1_hash_tree_sharding, op2_jaccard_join, op2_link_counts, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
         op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe)}
 
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from postrank.llm import jaccard_join as J
-from plain import components as plain
+from plain import components as plain, shingle_set
 
 def got(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
@@ -79,6 +79,28 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark, make_docs):
     assert J.components(docs.limit(0)).count() == 0
 
 
+def brute_links(rows):
+    """doc_id -> number of other rows with a similar set."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    return sorted((i, len(s), sum(k != j and bool(s) and 100 * len(s & o) >= 80 * len(s | o) for j, (_, o) in enumerate(sets)))
+                  for k, (i, s) in enumerate(sets))
+
+
+def test_every_link_counts(spark, make_docs, monkeypatch):
+    """All links of groups and chains, of copies and of rows that repeat an id; groups of one block and of several."""
+    count = lambda rows: sorted(tuple(r) for r in J.link_counts(make_docs(rows)).collect())
+    base = [f"w{i}" for i in range(60)]
+    chain = [(9000 + k, " ".join([*(f"y{i}" for i in range(k)), *base[k:]])) for k in range(40)]
+    rows = near_copies(3, 30, 12, 120, 1) + chain + [(9100, None), (9101, ""), (9102, "one two"), (9102, "One  two"), (9103, "one two three")]
+    assert sum(n for *_, n in brute_links(chain)) > 2 * (len(chain) - 1)  # more than a spanning forest has
+    assert count(rows) == brute_links(rows)
+    monkeypatch.setattr(J, "BLOCK", 300)
+    monkeypatch.setattr(J, "OFTEN", 2)
+    rows = near_copies(4, 3, 60, 70, 2) + chain
+    assert count(rows) == brute_links(rows)
+    assert count([(1, "one two"), (2, "another text")]) == [(1, 1, 0), (2, 1, 0)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 99), (5, 5)]))
     assert {tuple(r) for r in J.connected(edges).collect()} == {(i, 0) for i in range(61)} | {(99, 99), (100, 99)}
