@@ -30,27 +30,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles: the one of the smallest doc_id.
 
-    Of rows with that same doc_id one stays, the first by text. Rows without an id, and documents without
-    words, stay. Which rows stay is decided on ids and digests; texts are not shuffled.
+    Rows are told apart by id and shingle set, so rows that only share an id all stay, and of linked rows without an id
+    one stays if none of its group has an id. Of rows with the same id and set the one of the smallest
+    digest stays. Documents without words stay. Only texts of repeated or missing ids are looked at again or
+    shuffled; the others go by ids.
     """
-    digest = F.xxhash64("text", "lang", "source", "n_chars")
-    rows = docs.withColumn("__digest", digest)
-    found = jaccard_join.components(docs)
-    other = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
-    # ids that only belong to copies; an id that also leads a group of its own stays
-    leaders = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = rows.join(written(other.distinct().join(leaders, "doc_id", "left_anti"), "copies"), "doc_id", "left_anti")
-    again = (rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("__digest").alias("first"))
-             .where(F.col("n") > 1))
-    rows = rows.join(written(again, "repeated"), "doc_id", "left")
-    return _once(rows)
+    found = written(jaccard_join.linked(docs), "linked")
+    chosen = written(found.where(F.col("sid").isNotNull()).groupBy("comp")
+                     .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("x"))
+                     .select(F.col("x.doc_id").alias("chosen"), F.col("x.sid").alias("set")), "chosen")
+    is_chosen = F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("sid") == F.col("set"))
+    stays = F.col("sid").isNull() | F.col("set").isNotNull()
+    ids = written(found.join(chosen, is_chosen, "left").where(F.col("doc_id").isNotNull())
+                  .groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays")), "ids")
+    copies, repeated = ids.where(~F.col("stays")).select("doc_id"), ids.where(F.col("stays") & (F.col("n") > 1)).select("doc_id")
+    single = docs.where(F.col("doc_id").isNotNull()).join(copies.union(repeated), "doc_id", "left_anti")
+    rest = docs.join(repeated, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    rest = written(jaccard_join.with_set_ids(_documents(rest)), "repeated")
+    return (_documents(single).unionByName(_documents(rest.where(F.col("sid").isNull())))
+            .unionByName(_once(rest.join(chosen, is_chosen, "left_semi"))))
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """Rows with a unique or no id, and one of those that repeat an id."""
-    single = _documents(rows.where(F.col("n").isNull()))
-    repeated = rows.where(F.col("n").isNotNull() & (F.col("__digest") == F.col("first")))
-    return single.unionByName(_documents(repeated.dropDuplicates(["doc_id"])))
+    """One of the rows with the same id and set."""
+    digest = F.xxhash64("text", "lang", "source", "n_chars")
+    one = F.min_by(F.struct(*[quoted(c) for c in DOCUMENT]), digest)
+    return _documents(rows.groupBy(F.col("doc_id").alias("id"), "sid").agg(one.alias("row")).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

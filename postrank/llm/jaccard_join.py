@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import quoted, written
+from .common import map_text, quoted, written
 
 SHINGLE = 5  # words
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
@@ -635,3 +636,20 @@ def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
         links = links + F.coalesce("more", F.lit(0))
     return (members.join(classes.select("sid", links.alias("links")), "sid", "left")
             .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links")))
+
+
+def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, sid (its set's id, null for an empty set) and comp, equal for the rows that links
+    reach and null for an empty set. Repeated and missing keys are rows like others."""
+    docs = df.select(quoted(key).alias("doc_id"), quoted(text).cast("string").alias("text"))
+    both = written(_members(docs, size), "members")
+    members = both.where(F.col("n").isNotNull()).select("doc_id", "sid")
+    return _with_components(members, link_classes(docs, both, size)).select("doc_id", "sid", "comp")
+
+
+def with_set_ids(df: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``df`` with sid as in :func:`linked`."""
+    def make():
+        return lambda column: [[set_id(s) if len(s) else None for s in shingle_sets(column.to_pylist(), size)]]
+
+    return map_text(df, text, T.StructType([T.StructField("sid", T.LongType())]), make)

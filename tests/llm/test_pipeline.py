@@ -69,6 +69,17 @@ def test_each_stage_does_its_work_on_all_rows(spark, folder):
     assert out.count() == len(docs) and out.where("not round_trip").count() == 0
 
 
+def test_near_duplicates_go_by_row(spark, make_docs):
+    """Rows that only share an id stay; linked rows are reduced to one, without an id too."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a), (2, c), (3, c), (4, c + " tail"), (None, a), (None, d), (None, d.upper()), (5, None), (5, ""), (None, None), (None, ""),
+            (6, "click here to subscribe"), (7, "click here for help")]
+    for given in (rows, rows[::-1]):
+        got = C.drop_near_duplicates(spark, make_docs(given).repartition(3), "").select("doc_id", "text").collect()
+        got = sorted(((x["doc_id"], (x["text"] or "").lower()) for x in got), key=str)
+        assert got == sorted([(1, a), (1, b), (2, c), (None, d), (5, ""), (5, ""), (None, ""), (None, ""), (6, rows[-2][1]), (7, rows[-1][1])], key=str)
+
+
 def test_run_applies_all_stages_and_empty_tables_pass(spark, folder, tmp_path):
     path = folder[0]
     out = C.run(spark, path)
