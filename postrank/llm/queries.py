@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, chat, decontam, jaccard_join, langid, oracle, pii, quality_rules, sharding, token_count, toxicity
+from . import byte_bpe, centroids, chat, decontam, jaccard_join, langid, near_vectors, oracle, pii, quality_rules, sharding, token_count, toxicity
 from .common import documents, in_held_out_fold, read
 
 SHARDS = 8
@@ -92,10 +92,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_hash_tree_sharding, op2_jaccard_join, op2_link_counts, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
-        op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe)}
+        op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe,
+        op11_centroid_clustering, op12_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
