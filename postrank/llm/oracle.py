@@ -82,6 +82,63 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id"""
 
 
+def centroids_sql() -> str:
+    """Five rounds and the last assignment, one after the other; d * 64 + c orders by distance, then number."""
+    distance = "list_sum(list_transform(list_zip(v, m), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v AS m
+  FROM v QUALIFY c < 40)"""]
+    for i in range(6):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(CAST({distance} AS HUGEINT) * 64 + c) AS e
+  FROM v, c{i} GROUP BY rid)""")
+        if i < 5:
+            parts.append(f"""s{i} AS (SELECT c, pos, sum(x) AS s, count(*) AS n FROM
+  (SELECT e % 64 AS c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY c, pos),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c AS c, coalesce(any_value(l), any_value(m)) AS m FROM c{i} LEFT JOIN
+  (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS l FROM s{i} GROUP BY c) s ON s.c = c{i}.c GROUP BY c{i}.c)""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, CAST(e % 64 AS INTEGER) AS cluster, CAST(e // 64 AS BIGINT) AS distance,
+  CAST(sum(e // 64) OVER (PARTITION BY e % 64) AS BIGINT) AS cluster_inertia, CAST(sum(e // 64) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.c = e % 64"""
+
+
+def near_vectors_sql() -> str:
+    return """WITH RECURSIVE n AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+fine AS MATERIALIZED (SELECT rid, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM n
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v) AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM fine a JOIN fine b ON len(a.v) = len(b.v) AND a.rid <> b.rid
+  WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.95),
+reach AS (SELECT rid AS a, vec_id AS c FROM n UNION SELECT p.b, r.c FROM reach r JOIN pairs p ON p.a = r.a),
+low AS (SELECT a, min(c) AS c FROM reach GROUP BY a), times AS (SELECT a, count(*) AS k FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, low.c AS component_id, coalesce(vec_id = low.c, false) AS kept
+FROM n JOIN low ON low.a = rid LEFT JOIN times ON times.a = rid"""
+
+
+def prefix_trie_sql() -> str:
+    """A node's key is the digests of its turns; the checksum of an id is CRC-32 bit by bit."""
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda r, s: CASE WHEN r & 1 = 1 THEN xor(3988292384, r >> 1) ELSE r >> 1 END)))"""
+    return f"""WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+  length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id, CAST(conv_id AS VARCHAR) AS k, list(d ORDER BY turn NULLS FIRST, d) AS l,
+  list(chars ORDER BY turn NULLS FIRST, d) AS c FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, c, {crc} % 6 AS h FROM own),
+built AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(b.l[1:h], []), h.l[h + 1:]) AS l, list_concat(coalesce(b.c[1:h], []), h.c[h + 1:]) AS c
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+each AS (SELECT conv_id, len(l) AS size, l, c, unnest(range(0, len(l) + 1)) AS depth FROM built),
+nodes AS MATERIALIZED (SELECT array_to_string(l[1:depth], '') AS node, depth, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(c[depth]), 0) AS chars,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends FROM each GROUP BY ALL),
+family AS (SELECT substr(node, 1, 32 * (depth - 1)) AS node, depth - 1 AS depth, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY ALL),
+whole AS MATERIALIZED (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN family USING (node, depth)),
+sums AS (SELECT a.node, a.depth, count(*) FILTER (b.k = 0) AS leaves, sum(CASE WHEN b.depth > 0 THEN (b.n - 1) * b.chars ELSE 0 END) AS saved
+  FROM whole a JOIN whole b ON b.depth >= a.depth AND starts_with(b.node, a.node) GROUP BY a.node, a.depth)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n AS n_convs, w.k AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums USING (node, depth) LEFT JOIN nodes p ON p.depth = w.depth - 1 AND p.node = substr(w.node, 1, 32 * (w.depth - 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_hash_tree_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op5_decontamination": decontamination_sql(),
-            "op7_chat_format": chat_sql()}
+            "op7_chat_format": chat_sql(), "op11_centroid_clustering": centroids_sql(), "op12_near_vectors": near_vectors_sql(),
+            "op13_prefix_trie": prefix_trie_sql()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, centroids, chat, decontam, jaccard_join, langid, near_vectors, oracle, pii, quality_rules, sharding, token_count, toxicity
+from . import byte_bpe, centroids, chat, decontam, jaccard_join, langid, near_vectors, oracle, pii, prefix_trie, quality_rules, sharding, token_count, toxicity
 from .common import documents, in_held_out_fold, read
 
 SHARDS = 8
@@ -100,11 +100,17 @@ def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of all conversations, each rebuilt on the beginning of the first one of its hundred."""
+    turns = prefix_trie.sequences(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.shared_heads(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_hash_tree_sharding, op2_jaccard_join, op2_link_counts, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
         op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe,
-        op11_centroid_clustering, op12_near_vectors)}
+        op11_centroid_clustering, op12_near_vectors, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
