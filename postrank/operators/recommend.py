@@ -20,6 +20,7 @@ from ..dims import ALL, FEATURE_NAMES, RANGE_FEATURES, SEGMENT_KEYS
 from ..functions import format as fmt
 from ..functions.text import day_name
 from .joins import fits_broadcast, join_checked, join_keys, join_sized
+from .segments import DIGITS
 
 KEYS = SEGMENT_KEYS
 
@@ -96,10 +97,10 @@ def community_slots(pred: DataFrame) -> DataFrame:
 def top_communities(pred: DataFrame, n: int = 5) -> DataFrame:
     """D4 + D5: the top ``n`` communities of each segment, with ``rank``.
 
-    Ordered by mean predicted score desc, then community name. The window
+    Ordered by mean predicted score desc (to DIGITS places), then community name. The window
     partitions are segments over per-community rows (bounded by communities).
     """
-    w = Window.partitionBy(*KEYS).orderBy(F.col("predicted_score").desc(), F.col("subreddit").asc())
+    w = Window.partitionBy(*KEYS).orderBy(F.round("predicted_score", DIGITS).desc(), F.col("subreddit").asc())
     return community_slots(pred).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
@@ -122,7 +123,7 @@ def segment_slot(pred: DataFrame) -> DataFrame:
     """Best (day, hour) of a segment by mean score; ties to earlier day, hour."""
     s = pred.groupBy(*KEYS, "day_of_week", "hour_of_day").agg(F.avg("predicted_viral_score").alias("a"))
     best = F.max_by(F.struct("day_of_week", "hour_of_day"),
-                    F.struct(F.col("a"), -F.col("day_of_week"), -F.col("hour_of_day")))
+                    F.struct(F.round("a", DIGITS), -F.col("day_of_week"), -F.col("hour_of_day")))
     return (s.groupBy(*KEYS).agg(best.alias("_b"))
              .select(*KEYS, F.col("_b.day_of_week").alias("best_day_of_week"),
                      F.col("_b.hour_of_day").alias("best_hour")))
@@ -142,7 +143,7 @@ def best_mechanism(pred: DataFrame) -> DataFrame:
              .groupBy("category", "has_media", "engagement_mechanism")
              .agg(F.avg("predicted_viral_score").alias("a")))
     return s.groupBy("category", "has_media").agg(
-        F.min_by("engagement_mechanism", F.struct(-F.col("a"), F.col("engagement_mechanism")))
+        F.min_by("engagement_mechanism", F.struct(-F.round("a", DIGITS), F.col("engagement_mechanism")))
         .alias("best_mechanism"))
 
 

@@ -24,6 +24,7 @@ from ..dims import ALL, RANGE_FEATURES, SEGMENT_KEYS
 from .joins import join_keys
 
 KEYS = SEGMENT_KEYS
+DIGITS = 9  # decimal places at which predictions and their means are compared
 
 
 def media_key(c: Column) -> Column:
@@ -146,7 +147,8 @@ def _grid_from_cells(cells: DataFrame, prior: float) -> DataFrame:
     j = grid.join(cell, cond, "left")
     pred = ((F.coalesce(F.col("_sy"), F.lit(0.0)) + F.lit(prior) * F.col("_cm"))
             / (F.coalesce(F.col("_n"), F.lit(0)) + F.lit(prior)))
-    return j.select(*on, F.least(F.greatest(pred, F.lit(0.0)), F.lit(100.0))
+    # rounded, so that cells which are equal but for the order of summation tie
+    return j.select(*on, F.round(F.least(F.greatest(pred, F.lit(0.0)), F.lit(100.0)), DIGITS)
                     .alias("predicted_viral_score"))
 
 
@@ -156,7 +158,7 @@ def prediction_grid(labelled: DataFrame, score: str = "virality_index", prior: f
     For every segment, every community observed in it and every hour x day:
     the mean label of that cell shrunk toward the community's segment mean,
     (sum_cell + prior * mean_community) / (n_cell + prior). Cells without
-    posts get the community mean. Clamped to 0-100.
+    posts get the community mean. Clamped to 0-100, rounded to DIGITS places.
     """
     return _grid_from_cells(cell_sums(labelled, score), prior)
 

@@ -138,7 +138,7 @@ cte("comm", f"SELECT {KEYS}, subreddit, sum(sy) / sum(n) AS cm FROM cells_all WH
 _CELLON = _on("x", "c", SEGK + ["subreddit"])
 cte("pred", f"""SELECT c.category, c.has_media, c.engagement_mechanism, c.subreddit,
   CAST(h.h AS INTEGER) AS hour_of_day, CAST(d.d AS INTEGER) AS day_of_week,
-  least(greatest((coalesce(x.sy, 0) + 5.0 * c.cm) / (coalesce(x.n, 0) + 5.0), 0.0), 100.0) AS predicted_viral_score
+  round(least(greatest((coalesce(x.sy, 0) + 5.0 * c.cm) / (coalesce(x.n, 0) + 5.0), 0.0), 100.0), 9) AS predicted_viral_score
 FROM comm c CROSS JOIN range(24) h(h) CROSS JOIN range(7) d(d)
 LEFT JOIN cells_all x ON {_CELLON} AND x.hour_of_day = h.h AND x.day_of_week = d.d AND x.n > 0""", ["comm"])
 
@@ -201,12 +201,14 @@ cte("requests", """SELECT event_id AS request_id, concat('cat', CAST((user_id %
 FROM events""")
 cte("req_keys", """SELECT *, coalesce(nullif(post_type, ''), 'ALL') AS pt, coalesce(nullif(mechanism, ''), 'ALL') AS mech
 FROM requests""", ["requests"])
-cte("text_requests", """SELECT doc_id AS request_id, CASE doc_id % 11 WHEN 1 THEN text || ' ?'
+cte("text_requests", """SELECT doc_id AS request_id, text FROM documents UNION ALL
+SELECT -1 - doc_id AS request_id, CASE doc_id % 11 WHEN 1 THEN text || ' ?'
   WHEN 2 THEN 'just finished this: ' || text WHEN 3 THEN 'meetup near New York ' || text WHEN 4 THEN 'lpatop reciep ' || text
-  WHEN 5 THEN '  ' WHEN 6 THEN NULL WHEN 7 THEN 'anxeity ' || text ELSE text END AS text FROM documents""")
-cte("label_rows", """SELECT conv_id, turn, CASE conv_id % 8 WHEN 0 THEN 'Food & Cooking' WHEN 1 THEN '**gaming**.'
+  WHEN 5 THEN '  ' WHEN 7 THEN 'anxeity ' || text END AS text FROM documents WHERE doc_id % 11 BETWEEN 1 AND 7""")
+cte("label_rows", """SELECT conv_id, turn, text FROM conversations UNION ALL
+SELECT conv_id, -1 - turn AS turn, CASE conv_id % 8 WHEN 0 THEN 'Food & Cooking' WHEN 1 THEN '**gaming**.'
   WHEN 2 THEN 'I think Fitness and health fits' WHEN 3 THEN 'Skincare & Beuty' WHEN 4 THEN 'none' WHEN 5 THEN 'Mental Helath'
-  WHEN 6 THEN 'tehc & gadgets' ELSE text END AS text FROM conversations""")
+  WHEN 6 THEN 'tehc & gadgets' END AS text FROM conversations WHERE conv_id % 8 < 7""")
 
 
 def _ladder(src: str, table: str, cat: str, pt: str, mech: str) -> str:
@@ -490,7 +492,7 @@ cte("slots", f"""SELECT {KEYS}, subreddit, avg(predicted_viral_score) AS predict
   arg_max(day_of_week, (predicted_viral_score, -day_of_week, -hour_of_day)) AS best_day_of_week
 FROM pred GROUP BY ALL""", ["pred"])
 cte("top5", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS}
-  ORDER BY predicted_score DESC, subreddit ASC) AS rank FROM slots) WHERE rank <= 5""", ["slots"])
+  ORDER BY round(predicted_score, 9) DESC, subreddit ASC) AS rank FROM slots) WHERE rank <= 5""", ["slots"])
 _DAYNAME = f"coalesce({DAYS}[best_day_of_week + 1], CAST(best_day_of_week AS VARCHAR))"
 o("d4_top_communities", f"SELECT {KEYS}, subreddit, {r4('predicted_score')} AS predicted_score, sample_size, "
   f"best_hour, {_DAYNAME} AS best_day, CAST(rank AS INTEGER) AS rank FROM top5", "top5")
@@ -500,7 +502,7 @@ o("d6_segment_overview", f"SELECT {KEYS}, count(*) AS n_rows, count(DISTINCT sub
   f"{r4('avg(predicted_viral_score)')} AS avg_score FROM pred GROUP BY ALL", "pred")
 cte("seg_slot", f"""SELECT {KEYS}, arg_max(day_of_week, (a, -day_of_week, -hour_of_day)) AS best_day_of_week,
   arg_max(hour_of_day, (a, -day_of_week, -hour_of_day)) AS best_hour FROM (
-  SELECT {KEYS}, day_of_week, hour_of_day, avg(predicted_viral_score) AS a FROM pred GROUP BY ALL) GROUP BY ALL""",
+  SELECT {KEYS}, day_of_week, hour_of_day, round(avg(predicted_viral_score), 9) AS a FROM pred GROUP BY ALL) GROUP BY ALL""",
     ["pred"])
 o("d7_segment_slot", "SELECT * FROM seg_slot", "seg_slot")
 cte("media", """SELECT category, engagement_mechanism,
@@ -511,7 +513,7 @@ o("d8_media_compare", f"SELECT category, engagement_mechanism, {r4('avg_score_wi
   f"{r4('avg_score_without_media')} AS avg_score_without_media FROM media", "media")
 cte("best_mech", """SELECT category, has_media, engagement_mechanism AS best_mechanism FROM (
   SELECT *, row_number() OVER (PARTITION BY category, has_media ORDER BY a DESC, engagement_mechanism ASC) AS r
-  FROM (SELECT category, has_media, engagement_mechanism, avg(predicted_viral_score) AS a FROM pred
+  FROM (SELECT category, has_media, engagement_mechanism, round(avg(predicted_viral_score), 9) AS a FROM pred
         WHERE engagement_mechanism <> 'ALL' GROUP BY ALL)) WHERE r = 1""", ["pred"])
 o("d9_best_mechanism", "SELECT * FROM best_mech", "best_mech")
 o("d10_value_counts", "SELECT engagement_mechanism, count(*) AS count FROM nlp GROUP BY ALL", "nlp")
@@ -644,8 +646,8 @@ LEFT JOIN (SELECT m.{KEYS.replace(', ', ', m.')}, count(dl.feature) AS nd FROM m
     ["ranges_txt", "drivers_ranked", "drivers_long", "meta"])
 o("r3_usable_ranges", f"SELECT {KEYS}, CAST(rank AS INTEGER) AS rank, feature, label, text FROM seg_ranges "
   "WHERE rank <= 3", "seg_ranges")
-o("h13_ranges_sentence", f"""SELECT r.{KEYS.replace(', ', ', r.')}, coalesce(concat('Target ',
-  string_agg(concat('a ', s.label, ' of ', s.text), ' and ' ORDER BY s.rank), '.'), '') AS sentence
+o("h13_ranges_sentence", f"""SELECT r.{KEYS.replace(', ', ', r.')}, CASE WHEN count(s.label) = 0 THEN '' ELSE concat('Target ',
+  string_agg(concat('a ', s.label, ' of ', s.text), ' and ' ORDER BY s.rank), '.') END AS sentence
 FROM ranges r LEFT JOIN seg_ranges s ON {_on('r', 's', SEGK)} AND s.rank <= 2 GROUP BY ALL""",
   "ranges", "seg_ranges")
 

@@ -126,23 +126,24 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, text: every document as a free-text request (whole text), some as questions,
-    announcements, with a place or with misspelt keywords in front, some blank or missing."""
+    """request_id, text: every document as a free-text request (whole text, unchanged), and beside them planted requests
+    with negative ids: some of the texts as questions, announcements, with a place or with misspelt
+    keywords in front, and blank and missing ones."""
     d = read_table(spark, sf_dir, "documents")
     k, t = F.col("doc_id") % 11, F.col("text")
-    text = (F.when(k == 1, F.concat(t, F.lit(" ?"))).when(k == 2, F.concat(F.lit("just finished this: "), t))
-            .when(k == 3, F.concat(F.lit("meetup near New York "), t)).when(k == 4, F.concat(F.lit("lpatop reciep "), t))
-            .when(k == 5, F.lit("  ")).when(k == 6, F.lit(None).cast("string")).when(k == 7, F.concat(F.lit("anxeity "), t))
-            .otherwise(t))
-    return d.select(F.col("doc_id").alias("request_id"), text.alias("text"))
+    planted = (F.when(k == 1, F.concat(t, F.lit(" ?"))).when(k == 2, F.concat(F.lit("just finished this: "), t))
+               .when(k == 3, F.concat(F.lit("meetup near New York "), t)).when(k == 4, F.concat(F.lit("lpatop reciep "), t))
+               .when(k == 5, F.lit("  ")).when(k == 7, F.concat(F.lit("anxeity "), t)))  # 6: missing
+    more = d.where(k.between(1, 7)).select((-1 - F.col("doc_id")).alias("request_id"), planted.alias("text"))
+    return d.select(F.col("doc_id").alias("request_id"), "text").unionByName(more)
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, text: conversation turns as free labels, some of them names of categories: exact,
-    decorated, inside a sentence, misspelt or refused."""
+    """conv_id, turn, text: every conversation turn as a free label, and beside them planted ones with
+    negative turns, names of categories: exact, decorated, inside a sentence, misspelt or refused."""
     c = read_table(spark, sf_dir, "conversations")
     k = F.col("conv_id") % 8
-    text = (F.when(k == 0, "Food & Cooking").when(k == 1, "**gaming**.").when(k == 2, "I think Fitness and health fits")
-            .when(k == 3, "Skincare & Beuty").when(k == 4, "none").when(k == 5, "Mental Helath").when(k == 6, "tehc & gadgets")
-            .otherwise(F.col("text")))
-    return c.select("conv_id", "turn", text.alias("text"))
+    planted = (F.when(k == 0, "Food & Cooking").when(k == 1, "**gaming**.").when(k == 2, "I think Fitness and health fits")
+               .when(k == 3, "Skincare & Beuty").when(k == 4, "none").when(k == 5, "Mental Helath").when(k == 6, "tehc & gadgets"))
+    more = c.where(k < 7).select("conv_id", (-1 - F.col("turn")).alias("turn"), planted.alias("text"))
+    return c.select("conv_id", "turn", "text").unionByName(more)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from fixtures import SF
 from postrank.operators.dataset import check_split, global_rank, temporal_split
 from postrank.plans import stages as G
 from postrank.sources import adapters as A

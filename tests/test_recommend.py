@@ -9,6 +9,7 @@ from fixtures import contract_tables, ladder_metadata, ladder_predictions, reque
 from postrank.dims import FEATURE_NAMES
 from postrank.functions import format as fmt
 from postrank.operators import recommend as R
+from postrank.operators import segments as S
 
 
 def _ladder(spark, rows):
@@ -137,3 +138,21 @@ def test_guidance_differs_by_mode(spark):
     g = df.select(fmt.guidance(F.col("mode"), F.lit("Cooking"), F.lit(9), F.lit("Sunday"),
                                F.array(F.lit("subreddit"))).alias("g")).collect()
     assert len({x.g for x in g}) == 3 and all(x.g.strip() for x in g)
+
+
+def test_equal_cells_choose_the_earliest_slot_whatever_the_order_of_summation(spark):
+    """A cell whose mean equals its community's is that mean in every cell, but for the last bits of a double."""
+    score = [37.3, 11.7, 90.1, 0.1, 55.55]
+    rows = [("cat", None, "question", f"c{c}", h, d, s) for c in range(3) for i, s in enumerate(score) for h, d in ((5, 3), (9 + i, 1))]
+    rows += [("cat", None, "question", f"c{c}", h, 2, s) for c in range(3) for h in (1, 2) for s in score]
+    df = spark.createDataFrame(rows, "category string, has_media boolean, engagement_mechanism string, subreddit string, "
+                                     "hour_of_day int, day_of_week int, virality_index double").repartition(4)
+    even = df.where("day_of_week <> 1")  # all cells of all communities have the same mean
+    got = R.top_communities(S.prediction_grid(even)).collect()
+    for key in {(r["category"], r["has_media"], r["engagement_mechanism"]) for r in got}:
+        top = sorted((r["rank"], r["subreddit"], r["best_hour"], r["best_day"]) for r in got
+                     if (r["category"], r["has_media"], r["engagement_mechanism"]) == key)
+        assert top == [(1, "c0", 0, "Sunday"), (2, "c1", 0, "Sunday"), (3, "c2", 0, "Sunday")]
+    assert any(r["has_media"] is None for r in got)
+    slots = R.segment_slot(S.prediction_grid(even)).collect()
+    assert {(r["best_day_of_week"], r["best_hour"]) for r in slots} == {(0, 0)}
