@@ -1,16 +1,19 @@
 """Helpers shared by the operators of this subpackage.
 
 ``map_text`` runs a function of whole texts over Arrow batches; ``written`` cuts
-lineage with a Parquet table in the shared folder; ``let`` binds an expression
-once inside a projection, so that a lambda does not evaluate it again per element.
+lineage with a Parquet table in the shared folder; ``shared`` broadcasts a bounded value that ``release``
+takes back from the executors; ``most`` keeps the rows of the largest amounts without sorting; ``let`` binds an
+expression once inside a projection, so that a lambda does not evaluate it again per element.
 """
 
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHARED: weakref.WeakSet[Broadcast] = weakref.WeakSet()
+
+
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of ``value``, whose size the caller bounds."""
+    out = spark.sparkContext.broadcast(value)
+    _SHARED.add(out)
+    return out
+
+
+def release() -> None:
+    """Takes what :func:`shared` sent out back from the executors, once what was made of it is written. A result
+    not written yet stays right: its tasks fetch the value again."""
+    for x in list(_SHARED):
+        x.unpersist()
+    _SHARED.clear()
+
+
+_WORKER: dict = {"owner": None, "kept": {}}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from one task to the next for one operator; that of another operator is dropped."""
+    if _WORKER["owner"] != owner:
+        _WORKER["owner"], _WORKER["kept"] = owner, {}
+    return _WORKER["kept"]
+
+
+def most(df: DataFrame, by: Column, k: int, more: bool = False) -> DataFrame:
+    """The rows of ``df`` with the largest amounts ``by`` (0 or more): at most ``k``, or with ``more`` at least ``k`` as far
+    as there are. The bound comes from a histogram (16 steps an octave), so nothing is sorted and no task reports rows
+    of its own; rows of one step stay or go together."""
+    step = F.floor(F.log2(by + 1) * 16).cast("int")
+    rows = df.withColumn("__step", step)
+    bound, kept = 1 << 30, 0
+    for r in sorted(rows.groupBy("__step").count().collect(), key=lambda r: -r["__step"]):
+        if kept >= k or (not more and kept + r["count"] > k):
+            break
+        bound, kept = r["__step"], kept + r["count"]
+    return rows.where(F.col("__step") >= bound).drop("__step")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,7 +12,7 @@ run, so whole batches are first cut down to the stretches worth streaming.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, quoted
+from .common import map_text, quoted, scratch, shared, worker_cache
 
 WINDOW = 13  # words; an item of fewer words is one window
 BLOCK_BYTES = 1 << 20  # of item text in one automaton; larger benchmarks take several, one after another
@@ -157,20 +157,18 @@ def scan(automaton: Automaton, texts: list[bytes]) -> list[tuple[int, list[tuple
     return out
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
 def automaton_of(key: str, items: list[tuple[str | None, str]], window: int) -> Automaton:
     """The automaton, built once per Python worker (the last one stays)."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(items, window)
-    return _BUILT[key]
+    kept = worker_cache("decontam")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Automaton(items, window)
+    return kept[key]
 
 
-def _factory(shared, key: str, window: int):
+def _factory(sent, key: str, window: int):
     def make():
-        automaton = automaton_of(key, shared.value, window)
+        automaton = automaton_of(key, sent.value, window)
 
         def function(column: pa.Array) -> list:
             counts, spans, items = [], [], []
@@ -201,15 +199,20 @@ def chunks(column: pa.Array) -> Iterable[list[bytes]]:
         yield part
 
 
-def blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str | None, str]]]:
-    """The items in blocks of about BLOCK_BYTES of text each, read one block at a time."""
+def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in blocks of about BLOCK_BYTES of text each: written once by block, then read one block at a time."""
     rows = (benchmark.select(quoted(item).cast("string").alias("item"), quoted(text).cast("string").alias("text"))
             .where(F.col("text").isNotNull()).distinct())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     at = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r["item"], r["text"]) for r in rows.where(at == b).orderBy("item", "text").collect()]
-            for b in range(n)]
+    if n > 1:
+        path = scratch(benchmark.sparkSession, "items")
+        rows.withColumn("block", at).repartition("block").write.partitionBy("block").parquet(path)
+        rows = benchmark.sparkSession.read.parquet(path)
+    for b in range(n):
+        block = rows.where(F.col("block") == b) if n > 1 else rows
+        yield sorted(((r["item"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is not None, r))
 
 
 def _merged(parts: list[Column]) -> Column:
@@ -241,8 +244,8 @@ def hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     keep, spans, items = out.columns, [], []
     sc = df.sparkSession.sparkContext
     for b, block in enumerate(blocks(benchmark, item, item_text)):
-        shared = sc.broadcast(block)
-        out = map_text(out, text, fields, _factory(shared, f"{sc.applicationId}-{shared._jbroadcast.id()}", window))
+        sent = shared(df.sparkSession, block)
+        out = map_text(out, text, fields, _factory(sent, f"{sc.applicationId}-{sent._jbroadcast.id()}", window))
         spans.append(f"__spans{b}")
         items.append(f"__items{b}")
         out = out.withColumnsRenamed({"__spans": spans[-1], "__items": items[-1]})

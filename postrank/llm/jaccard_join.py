@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, quoted, written
+from .common import map_text, quoted, shared, written
 
 SHINGLE = 5  # words
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
@@ -507,16 +507,15 @@ def _with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
     """The order of tokens, the sets' prefixes, and the groups (token, sid, m, w) of sets that share a prefix token. Every
     two sets that share some are together in the group of the first that they share."""
-    sc = docs.sparkSession.sparkContext
     often = (members.where(F.col("seen").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
              .where(F.col("seen") >= 4 * OFTEN).orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect())
     pairs = sorted((r["shingle"], min(31, int(r["seen"]).bit_length())) for r in often)
-    order = sc.broadcast((np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)))
+    order = shared(docs.sparkSession, (np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)))
 
     prefixes = written(_tokens(docs, size, order, whole=False), "prefixes")
     postings = _explode_prefixes(prefixes)
-    shared = written(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared")
-    postings = written(postings.join(_small(shared), "token"), "postings")
+    met = written(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared")
+    postings = written(postings.join(_small(met), "token"), "postings")
     # tokens with the same members need joining once: they agree in number, sum and extremes of the ids
     alike = (postings.groupBy("token", "m").agg(F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"), F.min("sid").alias("low"),
                                                 F.max("sid").alias("high"))

@@ -9,8 +9,6 @@ training rows is marked as rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,18 +17,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, quoted
+from .common import map_text, quoted, shared
 
 DIMS = 4096
 CENTROIDS = 3  # per language
 SAMPLE = 500  # training rows per language expected in the k-means sample; at most twice as many
-LANGUAGES = 1000  # the most frequent labels are learned
+LANGUAGES = 5000  # more labels are an error: their centroids would no longer fit a worker
 ROUNDS = 10
 REJECT = 0.01  # share of a centroid's training rows that its distance limit leaves out
 CHUNK_TEXTS, CHUNK_BYTES = 128, 1 << 20
 UNDETERMINED = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -110,12 +107,15 @@ def fit(df: DataFrame, training: Column, text: str = "text", lang: str = "lang",
     """Centroids learned from the rows where ``training`` holds, text and language are not null.
 
     Document frequencies cover all these rows. The k-means sample is drawn per language by a hash of
-    the key, about SAMPLE rows and never over twice as many, and clustered language by language.
+    the key, about SAMPLE rows and never over twice as many, and clustered language by language. All
+    languages are learned; more than LANGUAGES are an error.
     """
     rows = (df.where(training & quoted(text).isNotNull() & quoted(lang).isNotNull())
             .select(quoted(text).cast("string").alias("__text"), quoted(lang).cast("string").alias("__lang"),
                     (F.pmod(F.xxhash64(quoted(key)), F.lit(1 << 30)) / float(1 << 30)).alias("__draw")))
-    sizes = rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("__lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return {"langs": [], "centroids": np.zeros((0, DIMS), np.float32), "least": np.zeros(0), "idf": np.zeros(DIMS, np.float32)}
     total = sum(r["count"] for r in sizes)
@@ -148,12 +148,12 @@ def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     learned. Equal cosines: the first language in alphabetical order. Repeated rows get equal
     results; a result column replaces an input column of its name. One pass, no shuffle.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    sent = shared(df.sparkSession, model)
     fields = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("rejected", T.BooleanType())])
 
     def make():
-        m = shared.value
+        m = sent.value
 
         def function(column: pa.Array) -> list:
             langs, scores, far = [], [], []
@@ -166,7 +166,7 @@ def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 cosine = vectors(texts, m["idf"]) @ m["centroids"].T
                 best = np.argmax(cosine, axis=1)
                 for t, k, row in zip(texts, best.tolist(), cosine):
-                    known = bool(t) and LETTER.search(t) is not None
+                    known = bool(t) and any(map(str.isalpha, t))
                     langs.append(m["langs"][k] if known else UNDETERMINED)
                     scores.append(float(min(1.0, max(0.0, row[k]))) if known else 0.0)
                     far.append(not known or bool(row[k] < m["least"][k]))

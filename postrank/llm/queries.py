@@ -46,6 +46,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_removed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the hit spans of a window's length or more cut out of their texts."""
+    found = decontam.hits(documents(spark, sf_dir).select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    body = F.coalesce("text", F.lit(""))
+    return decontam.remove_spans(found).select("doc_id", "n_words", "n_hit", F.length(body).cast("bigint").alias("n_chars"),
+                                               F.sha2(body.cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), in_held_out_fold(F.col("doc_id"))
     model = langid.fit(docs, ~held)
@@ -108,7 +116,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_hash_tree_sharding, op2_jaccard_join, op2_link_counts, op3_toxicity, op4_personal_data, op5_decontamination, op6_language,
+        op1_hash_tree_sharding, op2_jaccard_join, op2_link_counts, op3_toxicity, op4_personal_data, op5_decontamination, op5_removed_spans, op6_language,
         op7_chat_format, op8_token_counts, op9_quality_rules, op10_byte_bpe,
         op11_centroid_clustering, op12_near_vectors, op13_prefix_trie)}
 

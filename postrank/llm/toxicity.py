@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, quoted
+from .common import map_text, most, quoted, shared
 from .decontam import NORMAL
 
 LABELLED = 10_000  # labelled rows that the lexicons are learned from
@@ -31,7 +31,8 @@ TIMES = (1, 2, 4)  # a beginning is a token of its own when so many different wo
 LISTS = 2  # lexicons per kind of token
 TOKENS = 20_000  # tokens in all lexicons, and features of the classifier, at most
 PRECISE = 0.85  # share of label 1 among a lexicon token's rows, at least
-CACHED = 100_000  # words whose tokens a worker keeps
+CACHED = 50_000  # words whose tokens a worker keeps
+SUMMED = 100_000  # tokens whose sums a task holds before it reports them
 
 PREFIXED = re.compile(r"\d+x(\d+)\^")  # words have no ^
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
@@ -85,13 +86,27 @@ class Lookup:
 def token_sums(rows: DataFrame) -> DataFrame:
     """Per token of ``rows`` (text, weight): in how many texts it is and the sum of their weights."""
     def run(batches):
+        n, a = Counter(), Counter()
         for b in batches:
-            lists = [tokens(x.as_py() or "") for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), b.column(1)], names=["tokens", "weight"])
+            for x, weight in zip(b.column(0), b.column(1).to_pylist()):
+                found = tokens(x.as_py() or "")
+                n.update(found)
+                if weight:
+                    for t in found:
+                        a[t] += weight
+                if len(n) > SUMMED:
+                    yield report(n, a)
+        yield report(n, a)
+
+    def report(n, a):
+        out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()),
+                                          pa.array([float(a[t]) for t in n], pa.float64())], names=["token", "n", "a"])
+        n.clear()
+        a.clear()
+        return out
 
-    each = rows.select("text", "weight").mapInArrow(run, "tokens array<string>, weight double")
-    return (each.select(F.explode("tokens").alias("token"), "weight")
-            .groupBy("token").agg(F.count("*").alias("n"), F.sum("weight").alias("a")))
+    return (rows.select("text", "weight").mapInArrow(run, "token string, n bigint, a double")
+            .groupBy("token").agg(F.sum("n").alias("n"), F.sum("a").alias("a")))
 
 
 def associated(sums: DataFrame, base: float, above_only: bool) -> list[tuple[str, float, float]]:
@@ -104,7 +119,9 @@ def associated(sums: DataFrame, base: float, above_only: bool) -> list[tuple[str
     some = sums.where((n >= 3) & (g >= float(np.log(tried)) + 1.0))
     if above_only:
         some = some.where((a + 0.5) / (n + 1) >= PRECISE)
-    return [(r["token"], r["n"], r["a"]) for r in some.orderBy(g.desc(), "token").limit(TOKENS).collect()]
+    found = most(some.withColumn("g", g), F.col("g"), TOKENS, more=True).collect()
+    found.sort(key=lambda r: (-r["g"], r["token"]))
+    return [(r["token"], r["n"], r["a"]) for r in found[:TOKENS]]
 
 
 def lexicons(found: list[tuple[str, float, float]]) -> dict[str, int]:
@@ -117,9 +134,9 @@ def lexicons(found: list[tuple[str, float, float]]) -> dict[str, int]:
     return out
 
 
-def vote_factory(shared):
+def vote_factory(lexicon):
     def make():
-        lookup = Lookup(shared.value)
+        lookup = Lookup(lexicon.value)
 
         def function(column: pa.Array) -> list:
             out = []
@@ -202,19 +219,31 @@ def logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int =
     return w
 
 
+def smallest(rows: DataFrame, digest: Column, k: int) -> DataFrame:
+    """The ``k`` rows of the smallest hashes (of 64 bits), then smallest ids. Only rows below a hash that leaves some more
+    than ``k`` are sorted."""
+    n = rows.count()
+    if n <= k:
+        return rows
+    share = (k + 8 * k ** 0.5 + 20) / n
+    few = rows.where(digest <= int(min(1.0, share) * 2**64) - 2**63 - 1)
+    return (few if few.count() >= k else rows).orderBy(digest, "doc_id").limit(k)
+
+
 def fit(df: DataFrame, labels: DataFrame, training: Column, text: str = "text", key: str = "doc_id",
         label: str = "toxic") -> dict:
     """The classifier's features and weights. Labels are read for rows where ``training`` holds only;
     the same holds for the classifier's rows. Vote patterns are counted over all rows of ``df``.
 
-    A row is labelled 1 if any of its labels is; null labels and keys are left out. Without labelled
+    A row is labelled 1 if any of its labels is; null labels and keys are left out; of training rows that share a key
+    the largest text is learned from. Without labelled
     rows of both classes there is nothing to learn and every text scores the share of label 1.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
     rows = df.select(quoted(key).alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
-    marked = (labels.where(training & quoted(label).isNotNull() & quoted(key).isNotNull())
-              .groupBy(quoted(key).alias("doc_id")).agg(F.max((quoted(label) == 1).cast("double")).alias("weight"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+    marked = smallest(labels.where(training & quoted(label).isNotNull() & quoted(key).isNotNull())
+                      .groupBy(quoted(key).alias("doc_id")).agg(F.max((quoted(label) == 1).cast("double")).alias("weight")),
+                      F.xxhash64("doc_id"), LABELLED)
     # LABELLED rows of 16 bytes at most: a bounded broadcast, so texts are not shuffled
     sample = (rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "weight")
               .agg(F.max("text").alias("text")).select("text", "weight"))
@@ -223,7 +252,7 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, text: str = "text",
     if not 0 < base < 1:
         return {"features": {}, "weights": np.array([np.log((base + 1e-9) / (1 - base + 1e-9))])}
     lexicon = lexicons(associated(token_sums(sample), base, above_only=True))
-    voters = sc.broadcast(lexicon)
+    voters = shared(spark, lexicon)
     vote = T.StructType([T.StructField("votes", T.IntegerType())])
     voted = map_text(rows, "text", vote, vote_factory(voters), keep=[])
     model = LabelModel({r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}, base)
@@ -242,16 +271,15 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, text: str = "text",
         return {"features": {}, "weights": np.array([np.log((base + 1e-9) / (1 - base + 1e-9))])}
     chosen = associated(token_sums(drawn), mean, above_only=False)
     features = {t: i for i, (t, _, _) in enumerate(chosen)}
-    shared = sc.broadcast(features)
+    sent = shared(spark, features)
 
     def make():
-        lookup = Lookup(shared.value)
+        lookup = Lookup(sent.value)
         return lambda column: [[sorted(lookup.of(x.as_py() or "")) for x in column]]
 
     found = map_text(drawn, "text", T.StructType([T.StructField("found", T.ArrayType(T.IntegerType()))]), make, keep=["weight"])
-    got = found.groupBy("found", "weight").count().orderBy("weight", "found").collect()
-    lists = [list(r["found"]) for r in got for _ in range(r["count"])]
-    target = np.array([r["weight"] for r in got for _ in range(r["count"])])
+    got = sorted((r["weight"], list(r["found"])) for r in found.collect())  # TRAINED rows, about
+    lists, target = [r[1] for r in got], np.array([r[0] for r in got])
     return {"features": features, "weights": logistic(lists, target, len(features)), "label_model": model}
 
 
@@ -261,11 +289,11 @@ def score(df: DataFrame, model: dict, text: str = "text", threshold: float = 0.3
     A null or empty text has no features and scores the intercept; repeated rows score the same; a
     result column replaces an input column of its name. One pass, no shuffle.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model["features"], model["weights"]))
+    sent = shared(df.sparkSession, (model["features"], model["weights"]))
     fields = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def make():
-        features, w = shared.value
+        features, w = sent.value
         lookup = Lookup(features)
 
         def function(column: pa.Array) -> list:

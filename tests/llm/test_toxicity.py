@@ -64,3 +64,34 @@ def test_label_model_finds_accurate_and_copied_voters():
     assert m.weights[0] < 0.75 and m.weights[2] > m.weights[0]
     assert abs(np.log(m.rates[1, X.LEXICONS] / m.rates[0, X.LEXICONS])) < 0.2
     assert m.posterior(0b111) > 0.95 and m.posterior(0) < 0.1
+
+
+def test_scores_equal_plain_sums_of_given_weights(spark, make_docs):
+    """A text's features by their definition: words, and beginnings shared by enough different words."""
+    import math
+    import random
+
+    r = random.Random(6)
+    features = {"bad": 0, "worse": 1, "1x4^badl": 2, "2x4^badl": 3, "4x5^badly": 4, "1x7^badlyxx": 5, "été": 6}
+    features = {k.encode().decode("latin-1"): v for k, v in features.items()}
+    weights = [r.uniform(-2, 2) for _ in features] + [-.5]
+
+    def plain(text):
+        found = {w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()}
+        z = weights[-1]
+        for name, i in features.items():
+            name = name.encode("latin-1").decode()
+            if "^" in name:
+                times, (size, start) = int(name.split("x")[0]), name.split("x", 1)[1].split("^")
+                z += weights[i] * (sum(w.encode()[:int(size)] == start.encode() and len(w.encode()) > int(size) for w in found) >= times)
+            else:
+                z += weights[i] * (name in found)
+        return 1 / (1 + math.exp(-z))
+
+    some = ["bad", "Worse", "badly", "badlyx", "badlyxxy", "badlymore", "badlyever", "badlz", "été", "fine", "ok"]
+    texts = [" ".join(r.choices(some, k=r.randint(0, 12))) for _ in range(200)] + [None, "", "bad " * 50_000]
+    import numpy as np
+
+    got = {x["doc_id"]: x for x in X.score(make_docs(list(enumerate(texts))), {"features": features, "weights": np.array(weights)}).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i]["score"] - plain(t)) < 1e-9 and got[i]["predicted"] == (plain(t) >= .3), t
