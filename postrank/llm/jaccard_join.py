@@ -7,7 +7,8 @@ that share such a token are joined in a trie of their ordered tokens. A set walk
 overlap count for all sets below a node and leaves a subtree when the overlap so far and what remains of
 both cannot reach the threshold, or when everything below is already in its own component.
 
-Equal sets are one node from the start. Large groups are cut into blocks of bounded size, linked
+Equal sets are one node from the start. Sets stay in a group only if its lengths and the place of the token leave them a
+possible partner; the others are not shipped there. Large groups are cut into blocks of bounded size, linked
 block by block, then through one set per component; what is still unconnected is compared block against
 block. Links are a spanning forest: every pair of similar sets ends in one component, and no list of pairs
 is made. Components come from contracting the links in Spark. The number of all links of each document
@@ -194,17 +195,64 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _explode_prefixes(sets: DataFrame) -> DataFrame:
+    """token, sid, n and room: if the token is the first that two sets have, they overlap in what is left of either at
+    most, so the other one must not have more than ``room`` tokens."""
     def run(batches):
         for b in batches:
             lists = [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column(2)]
             times = [len(x) for x in lists]
+            n = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), times)
+            at = np.arange(len(n)) - np.repeat(np.cumsum([0, *times])[:-1], times)
+            room = ((NUM + DEN) * (n - at) - NUM * n) // NUM
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()),
                  pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), times), pa.int64()),
-                 pa.array(np.repeat(b.column(1).to_numpy(zero_copy_only=False), times), pa.int32())],
-                names=["token", "sid", "n"])
+                 pa.array(n, pa.int32()), pa.array(room, pa.int32())],
+                names=["token", "sid", "n", "room"])
 
-    return sets.select("sid", "n", "tokens").mapInArrow(run, "token bigint, sid bigint, n int")
+    return sets.select("sid", "n", "tokens").mapInArrow(run, "token bigint, sid bigint, n int, room int")
+
+
+def least_rooms(n: np.ndarray, room: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For the distinct lengths ``n`` (ascending) of a group, the largest room of each and how many sets have it: the least
+    room with which a set of that length has a partner, one of another length that has room for it in turn, or one
+    of its own length (its room is not looked at)."""
+    widest = np.maximum.accumulate(room)
+    first = np.searchsorted(widest, n)
+    for i in np.flatnonzero(first == np.arange(len(n))):  # the first with room enough is the length itself
+        after = np.flatnonzero(room[i + 1:] >= n[i])
+        first[i] = i + 1 + after[0] if len(after) else len(n)
+    other = np.r_[n, np.iinfo(np.int32).max][first]
+    return np.where(times > 1, np.minimum(other, n), other)
+
+
+def _with_partners(groups: DataFrame) -> DataFrame:
+    """The rows of ``groups`` (token, sid, n, room and others) that may have a partner in their group by the lengths and what
+    is left behind the token. Only one row per token and length is looked at together."""
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lengths = groups.groupBy("token", "n").agg(F.max("room").alias("room"), F.count("*").alias("times"))
+    laid = lengths.select("token", "n", "room", "times").repartition(tasks, "token").sortWithinPartitions("token", "n")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # of the last token there may be more
+            if last:
+                yield found([x[:last] for x in held])
+                held = [x[last:] for x in held]
+        if held is not None and len(held[0]):
+            yield found(held)
+
+    def found(rows):
+        token, n, room, times = rows
+        bounds = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
+        least = [least_rooms(n[a:b], room[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n), pa.array(np.concatenate(least).astype(np.int32))],
+                                          names=["token", "n", "least"])
+
+    return groups.join(laid.mapInArrow(run, "token bigint, n int, least int"), ["token", "n"]).where(F.col("room") >= F.col("least"))
 
 
 # --- the trie ----------------------------------------------------------------------------------------
@@ -513,9 +561,9 @@ def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
     order = shared(docs.sparkSession, (np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)))
 
     prefixes = written(_tokens(docs, size, order, whole=False), "prefixes")
-    postings = _explode_prefixes(prefixes)
-    met = written(postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared")
-    postings = written(postings.join(_small(met), "token"), "postings")
+    # one shuffle of all postings, whose counts stay beside them
+    postings = _explode_prefixes(prefixes).withColumn("m", F.count("*").over(Window.partitionBy("token")))
+    postings = written(postings.where(F.col("m") > 1), "postings")
     # tokens with the same members need joining once: they agree in number, sum and extremes of the ids
     alike = (postings.groupBy("token", "m").agg(F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"), F.min("sid").alias("low"),
                                                 F.max("sid").alias("high"))
@@ -526,8 +574,8 @@ def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
     before = postings.withColumn("prev", F.lag("token").over(Window.partitionBy("sid").orderBy("token")))
     needed = (before.groupBy("token", "m").agg(F.count("prev").alias("k"), F.min("prev").alias("low"), F.max("prev").alias("high"))
               .where((F.col("k") < F.col("m")) | (F.col("low") < F.col("high"))).select("token"))
-    groups = written(postings.join(_small(written(needed, "needed")), "token").select("token", "sid", "m", F.col("n").alias("w")),
-                     "groups")
+    groups = _with_partners(postings.join(_small(written(needed, "needed")), "token"))
+    groups = written(groups.select("token", "sid", "m", F.col("n").alias("w")), "groups")
     return order, prefixes, groups
 
 

@@ -104,3 +104,26 @@ def test_every_link_counts(spark, make_docs, monkeypatch):
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 99), (5, 5)]))
     assert {tuple(r) for r in J.connected(edges).collect()} == {(i, 0) for i in range(61)} | {(99, 99), (100, 99)}
+
+
+def test_sets_without_a_possible_partner_leave_their_group():
+    """Against every pair: a set goes only if no other one of the group can be similar to it."""
+    import random
+
+    import numpy as np
+
+    r, gone = random.Random(12), 0
+    for _ in range(400):
+        sets = []
+        for _ in range(r.randint(2, 9)):
+            n = r.choice((r.randint(1, 12), r.randint(30, 60)))
+            at = r.randint(0, J.prefix_length(n) - 1)
+            sets.append((n, n - at, ((J.NUM + J.DEN) * (n - at) - J.NUM * n) // J.NUM))
+        lengths = sorted({s[0] for s in sets})
+        room = [max(s[2] for s in sets if s[0] == n) for n in lengths]
+        least = dict(zip(lengths, J.least_rooms(np.array(lengths), np.array(room), np.array([sum(s[0] == n for s in sets) for n in lengths])).tolist()))
+        for i, (n, left, own) in enumerate(sets):
+            fits = any(J.similar(min(left, b), n, m) for j, (m, b, _) in enumerate(sets) if j != i)
+            assert own >= least[n] or not fits
+            gone += own < least[n]
+    assert gone > 300
