@@ -3,9 +3,9 @@
 * M1-M3: the global boosted-tree regressor (``GBTRegressor``) on the
   model-ready table: categoricals indexed with levels fixed on all rows,
   validation part as the early-stopping indicator, scored on train / test.
-* M4: attribution -- the trees' built-in split-gain importances for the
-  boosted model; exact linear attribution mean |b_j (x_j - mean_j)| for the
-  per-segment linear models.
+* M4: attribution -- the trees' built-in split-gain importances, and exact
+  per-row contributions of the trees (``forest.attribute``); exact linear
+  attribution mean |b_j (x_j - mean_j)| for the per-segment linear models.
 * M5: direction of a driver (sign of corr(feature, contribution)).
 * M6: one ridge model per segment from grouped sums: X'X and X'y are sums,
   so they are aggregated per finest segment on the executors and rolled up
@@ -78,6 +78,47 @@ def train_gbt(df: DataFrame, max_iter: int = 300, max_depth: int = 6, step: floa
     return PipelineModel(stages=[*levels.stages, trees])
 
 
+def feature_rows(model: PipelineModel, df: DataFrame, features: list[str] = FEATURE_NAMES) -> DataFrame:
+    """``df`` with x, the array of model inputs, as the trees of :mod:`.forest` read them."""
+    from pyspark.ml.functions import vector_to_array
+
+    stages = PipelineModel(stages=model.stages[:-1])
+    rows = stages.transform(prepare(df, features)).withColumn("x", vector_to_array("features"))
+    return rows.drop("features", *[f"{c}_idx" for c in CATEGORICAL_FEATURES])
+
+
+def train_patiently(df: DataFrame, max_iter: int = 300, max_depth: int = 6, step: float = 0.05, patience: int = 20, first: int = 40,
+                    seed: int = 42, features: list[str] = FEATURE_NAMES, split: str = "split") -> tuple[PipelineModel, DataFrame, int]:
+    """M2: trees from the train rows, ended once the validation error has not improved for ``patience`` rounds: the
+    model of the best iteration, the curve (as :func:`forest.with_patience`) and that iteration.
+
+    Boosting is the same tree by tree however many are asked for, so ``first`` rounds are tried, then twice as
+    many, until the rule ends them or ``max_iter`` is reached; the curve costs one pass over the validation rows.
+    """
+    from ..session import checkpoint_dir
+    from . import forest
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    data = prepare(df, features)
+    levels = Pipeline(stages=assemble_stages(features)).fit(data)
+    n_levels = max([2, *(len(s.labels) for s in levels.stages if hasattr(s, "labels"))])
+    train = levels.transform(data.where((F.col(split) == "train") & F.col(LABEL).isNotNull())).select("features", LABEL)
+    rounds = min(first, max_iter)
+    while True:
+        trees = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=rounds, maxDepth=max_depth, stepSize=step, seed=seed,
+                             maxBins=max(64, n_levels + 1)).fit(train)
+        model = PipelineModel(stages=[*levels.stages, trees])
+        curve = forest.with_patience(forest.staged_curve(feature_rows(model, df.where(F.col(split) == "val"), features),
+                                                         forest.tree_nodes(trees, spark), LABEL), patience)
+        points = curve.collect()  # one row per tree
+        curve = spark.createDataFrame(points, curve.schema)
+        best = next((r["iteration"] for r in points if r["is_best"]), rounds)
+        if rounds >= max_iter or rounds - best >= patience:
+            return PipelineModel(stages=[*levels.stages, forest.truncated(trees, best)]), curve, best
+        rounds = min(2 * rounds, max_iter)
+
+
 def score(model, df: DataFrame, features: list[str] = FEATURE_NAMES) -> DataFrame:
     """M3: add ``prediction``."""
     return model.transform(prepare(df, features))

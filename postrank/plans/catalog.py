@@ -592,6 +592,70 @@ def m4(spark, sf):
     return imp.join(lin_long, "feature", "full")
 
 
+def _patient(spark, sf):
+    from ..operators import model as M
+    key = (spark.sparkContext.applicationId, sf, "patient")
+    if key not in _MODELS:
+        _MODELS[key] = M.train_patiently(G.model_split(spark, sf))
+    return _MODELS[key]
+
+
+@q("m2_patience")
+def m2c(spark, sf):
+    """Validation error after each tree, where training ends (20 rounds without a better one) and the iteration kept."""
+    return _patient(spark, sf)[1]
+
+
+@q("m4_tree_attribution")
+def m4t(spark, sf):
+    """Mean |contribution| of each feature to the boosted trees' predictions over the test part, ranked."""
+    from ..operators import forest, model as M
+    model = _patient(spark, sf)[0]
+    test = M.feature_rows(model, G.model_split(spark, sf).where(F.col("split") == "test")).select("post_id", "x")
+    rows = forest.attribute(test, forest.tree_nodes(model.stages[-1], spark), len(M.FEATURE_NAMES))
+    return forest.ranked_attribution(rows, M.FEATURE_NAMES)
+
+
+# A given forest, so that SQL can follow: (tree, weight, node, value, cover, left, right, feature, threshold).
+GIVEN_FEATURES = ["hour_of_day", "body_length", "post_length_proxy"]
+GIVEN_FOREST = [
+    (0, 1.0, 0, 45.0, 97.0, 1, 2, 1, 40.5), (0, 1.0, 1, 38.0, 61.0, 3, 4, 0, 11.5), (0, 1.0, 2, 55.5, 36.0, 5, 6, 2, 120.5),
+    (0, 1.0, 3, 33.25, 35.0, -1, -1, None, None), (0, 1.0, 4, 44.65, 26.0, -1, -1, None, None),
+    (0, 1.0, 5, 50.0, 23.0, -1, -1, None, None), (0, 1.0, 6, 68.4, 13.0, -1, -1, None, None),
+    (1, 0.5, 0, 0.0, 97.0, 1, 2, 0, 17.5), (1, 0.5, 1, -2.0, 67.0, 3, 4, 0, 5.5), (1, 0.5, 2, 4.5, 30.0, -1, -1, None, None),
+    (1, 0.5, 3, -6.0, 19.0, -1, -1, None, None), (1, 0.5, 4, -0.4, 48.0, 5, 6, 1, 15.5),
+    (1, 0.5, 5, -3.0, 17.0, -1, -1, None, None), (1, 0.5, 6, 0.75, 31.0, -1, -1, None, None),
+    (2, 0.5, 0, 0.0, 97.0, 1, 2, 2, 60.5), (2, 0.5, 1, -1.5, 43.0, -1, -1, None, None), (2, 0.5, 2, 1.25, 54.0, -1, -1, None, None),
+    (3, 0.5, 0, 0.0, 97.0, 1, 2, 1, 5.5), (3, 0.5, 1, 9.0, 20.0, -1, -1, None, None), (3, 0.5, 2, -2.25, 77.0, -1, -1, None, None),
+]
+
+
+def _given_forest(spark):
+    from ..operators import forest
+    return spark.createDataFrame([(*r, None) for r in GIVEN_FOREST], forest.NODES)
+
+
+def _given_rows(spark, sf, *keep):
+    rows = G.model_split(spark, sf)
+    return rows.select(*keep, F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(-1e6)) for f in GIVEN_FEATURES]).alias("x"))
+
+
+@q("m2_staged_curve")
+def m2s(spark, sf):
+    """The error of a given forest after each of its trees over the validation part, patience 2."""
+    from ..operators import forest
+    rows = _given_rows(spark, sf, "split", "virality_index").where(F.col("split") == "val")
+    return forest.with_patience(forest.staged_curve(rows, _given_forest(spark), "virality_index"), 2)
+
+
+@q("m4_row_attribution")
+def m4r(spark, sf):
+    """Contributions of three features to a given forest's prediction for every post."""
+    from ..operators import forest
+    rows = forest.attribute(_given_rows(spark, sf, "post_id"), _given_forest(spark), len(GIVEN_FEATURES))
+    return rows.select("post_id", "prediction", "base", *[F.get("contributions", i).alias(f) for i, f in enumerate(GIVEN_FEATURES)])
+
+
 @q("m4_permutation_importance")
 def m4p(spark, sf):
     """R2 drop of the boosted model on the test part when each feature is permuted."""

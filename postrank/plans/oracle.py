@@ -832,5 +832,62 @@ o("s2_stream_progress", "SELECT count(*) AS checked, count_if(lower(trim(subredd
   "(SELECT community_lc FROM category_dim)) AS matched FROM raw_posts", "raw_posts", "category_dim")
 
 
+# given forest: conditional expectations over every subset of the features, then Shapley's average of what each adds -------
+
+def _expected(nodes: dict, node: int, known: tuple[str, ...], features: list[str]) -> str:
+    """The expected value below ``node`` if only the ``known`` features are known."""
+    value, cover, left, right, feature, threshold = nodes[node]
+    if left < 0:
+        return f"{value!r}::DOUBLE"
+    a, b = (_expected(nodes, child, known, features) for child in (left, right))
+    if features[feature] in known:
+        return f"CASE WHEN {features[feature]} <= {threshold!r} THEN {a} ELSE {b} END"
+    return f"({nodes[left][1]!r}::DOUBLE * {a} + {nodes[right][1]!r}::DOUBLE * {b}) / {cover!r}::DOUBLE"
+
+
+def _forest_sql() -> None:
+    from itertools import combinations
+    from math import factorial
+
+    from .catalog import GIVEN_FEATURES as features, GIVEN_FOREST
+
+    trees: dict[int, tuple[float, dict]] = {}
+    for t, weight, node, value, cover, left, right, feature, threshold in GIVEN_FOREST:
+        trees.setdefault(t, (weight, {}))[1][node] = (value, cover, left, right, feature, threshold)
+
+    def total(known) -> str:
+        return " + ".join(f"{w!r}::DOUBLE * ({_expected(nodes, 0, known, features)})" for w, nodes in trees.values())
+
+    inputs = ", ".join(f"coalesce(CAST({f} AS DOUBLE), -1000000.0) AS {f}" for f in features)
+    cte("given_rows", f"""SELECT post_id, virality_index, {inputs}, CASE WHEN rn - 1 < floor(n * 0.7::DOUBLE) THEN 'train'
+  WHEN rn - 1 < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT m.*, row_number() OVER (ORDER BY p.posted_at_local NULLS LAST, m.post_id) AS rn, count(*) OVER () AS n
+      FROM model_ready m LEFT JOIN (SELECT post_id, posted_at_local FROM processed_posts) p ON p.post_id = m.post_id)""",
+        ["model_ready", "processed_posts"])
+    subsets = [s for n in range(len(features) + 1) for s in combinations(features, n)]
+    cte("given_values", "SELECT post_id, " + ", ".join(f"{total(s)} AS {'v_' + '_'.join(s)}" for s in subsets) + " FROM given_rows", ["given_rows"])
+    d = len(features)
+    parts = []
+    for f in features:
+        terms = [f"{factorial(len(s)) * factorial(d - len(s) - 1)}.0::DOUBLE / {factorial(d)}.0 * "
+                 f"({'v_' + '_'.join(x for x in features if x in s or x == f)} - {'v_' + '_'.join(s)})" for s in subsets if f not in s]
+        parts.append(f"{r4(' + '.join(terms))} AS {f}")
+    o("m4_row_attribution", f"SELECT post_id, {r4('v_' + '_'.join(features))} AS prediction, {r4('v_')} AS base, {', '.join(parts)} "
+      "FROM given_values", "given_values")
+    one = [f"{w!r}::DOUBLE * ({_expected(nodes, 0, tuple(features), features)})" for w, nodes in trees.values()]
+    errors = ", ".join(f"avg(({' + '.join(one[:k + 1])} - virality_index) ^ 2) AS e{k + 1}" for k in range(len(one)))
+    curve = " UNION ALL ".join(f"SELECT {k + 1} AS iteration, n, e{k + 1} AS mse FROM given_errors" for k in range(len(one)))
+    cte("given_errors", f"SELECT count(*) AS n, {errors} FROM given_rows WHERE split = 'val' AND virality_index IS NOT NULL", ["given_rows"])
+    cte("given_curve", f"""SELECT c.iteration, c.n, c.mse, (SELECT arg_min(b.iteration, (b.mse, b.iteration)) FROM ({curve}) b
+  WHERE b.iteration <= c.iteration) AS best_so_far FROM ({curve}) c""", ["given_errors"])
+    cte("given_end", "SELECT coalesce(min(iteration) FILTER (iteration - best_so_far >= 2), max(iteration)) AS last FROM given_curve", ["given_curve"])
+    o("m2_staged_curve", f"""SELECT CAST(iteration AS INTEGER) AS iteration, n, {r4('mse')} AS mse, CAST(best_so_far AS INTEGER) AS best_so_far,
+  iteration >= last AS stopped, iteration = (SELECT best_so_far FROM given_curve, given_end WHERE iteration = last) AS is_best
+FROM given_curve, given_end""", "given_curve", "given_end")
+
+
+_forest_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
