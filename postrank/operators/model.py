@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..dims import ALL, CATEGORICAL_FEATURES, CONTROLLABLE, FEATURE_NAMES, NON_CONTROLLABLE, NUMERIC_FEATURES
 from .joins import join_keys
-from .segments import KEYS, keyed, rollup_keys, segment_memberships
+from .segments import DIGITS, KEYS, keyed, rollup_keys, segment_memberships
 
 LABEL = "virality_index"
 
@@ -159,8 +159,9 @@ def _design(df: DataFrame) -> DataFrame:
     return df.select("*", *[num(c).alias(f"_x{i}") for i, c in enumerate(cols)])
 
 
-def gram_sums(train: DataFrame) -> DataFrame:
-    """Per segment (with 'ALL' roll-ups): n, sums of x, y, x_i x_j (i <= j), x_i y, y^2."""
+def gram_sums(train: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per segment (with 'ALL' roll-ups) and ``by``: n, sums of x, y, x_i x_j (i <= j), x_i y, y^2."""
+    by = by or []
     d = len(model_columns())
     x = [F.col(f"_x{i}") for i in range(d)]
     y = F.col(LABEL).cast("double")
@@ -168,18 +169,75 @@ def gram_sums(train: DataFrame) -> DataFrame:
     terms += [F.sum(x[i]).alias(f"sx{i}") for i in range(d)]
     terms += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(d)]
     terms += [F.sum(x[i] * x[j]).alias(f"sxx{i}_{j}") for i in range(d) for j in range(i, d)]
-    fine = keyed(train).groupBy(*KEYS).agg(*terms)   # one pass, partial aggregation
-    sums = [c for c in fine.columns if c not in KEYS]
-    return rollup_keys(fine, [F.sum(c).alias(c) for c in sums])
+    fine = keyed(train).groupBy(*KEYS, *by).agg(*terms)   # one pass, partial aggregation
+    sums = [c for c in fine.columns if c not in KEYS and c not in by]
+    return rollup_keys(fine, [F.sum(c).alias(c) for c in sums], always=by)
+
+
+def _matrices(r, d: int) -> tuple[float, float, float, np.ndarray, np.ndarray, np.ndarray]:
+    """n, sum y, sum y^2, sums x, x y and x x' of a row of Gram sums."""
+    sxx = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
+    sx, sxy = (np.array([r[f"{name}{i}"] for i in range(d)], dtype=float) for name in ("sx", "sxy"))
+    return float(r["n"]), float(r["sy"] or 0), float(r["syy"] or 0), sx, sxy, sxx
+
+
+def _ridge(n: float, sy: float, sx: np.ndarray, sxy: np.ndarray, sxx: np.ndarray, lam: float) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of the centred ridge from sums."""
+    m, my = sx / n, sy / n
+    b = np.linalg.solve(sxx - n * np.outer(m, m) + lam * np.eye(len(m)), sxy - n * m * my)
+    return float(my - m @ b), b
+
+
+LAMBDAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10_000.0)
+FOLDS = 5
+
+
+def choose_lambda(grams: DataFrame, lambdas: tuple[float, ...] = LAMBDAS, fold: str = "fold", default: float = 1.0) -> DataFrame:
+    """M6: per segment the lambda of the least cross-validated error, from Gram sums per fold alone: a fold's model is
+    that of the total less the fold, and its squared error on the fold is a form in the fold's sums. segment keys, lam,
+    cv_mse (null, with ``default``, where fewer than two folds have rows), the smaller lambda of equal ones.
+    """
+    d = len(model_columns())
+    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), T.StructField("lam", T.DoubleType()),
+                           T.StructField("cv_mse", T.DoubleType())])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_matrices(r, d) for _, r in pdf.sort_values(fold).iterrows() if r["n"] > 0]
+        keys = [pdf[k].iloc[0] for k in KEYS]
+        if len(parts) < 2:
+            return pd.DataFrame([[*keys, default, None]], columns=schema.names)
+        total = [sum(p[i] for p in parts) for i in range(6)]
+        best = (np.inf, default)
+        for lam in sorted(lambdas):
+            sse = 0.0
+            for n, sy, syy, sx, sxy, sxx in parts:
+                a, b = _ridge(total[0] - n, total[1] - sy, total[3] - sx, total[4] - sxy, total[5] - sxx, lam)
+                sse += syy - 2 * a * sy - 2 * b @ sxy + n * a * a + 2 * a * (b @ sx) + b @ sxx @ b
+            best = min(best, (max(0.0, sse) / total[0], lam))
+        return pd.DataFrame([[*keys, best[1], best[0]]], columns=schema.names)
+
+    return grams.groupBy(*KEYS).applyInPandas(choose, schema)  # FOLDS rows per segment
+
+
+def tuned_lambdas(train: DataFrame, key: str = "post_id", folds: int = FOLDS, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
+    """M6: :func:`choose_lambda` over the rows of ``train`` (design columns), dealt into folds by a hash of ``key``.
+    One pass over the rows, however many lambdas and folds."""
+    dealt = train.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    return choose_lambda(gram_sums(dealt, ["fold"]), lambdas)
 
 
 def solve_ridge(gram: DataFrame, lam: float = 1.0) -> DataFrame:
     """One small solve per segment (grouped pandas UDF on the per-segment sums).
 
     Centred ridge: coefficients from (Sxx - n m m') + lam I, intercept from
-    the means. Returns segment keys, n_train, intercept, b0..b(d-1), means.
+    the means; a column ``lam`` of ``gram`` takes the argument's place. Returns segment keys, n_train,
+    intercept, b0..b(d-1), means.
     """
     d = len(model_columns())
+    own = "lam" in gram.columns
     out_schema = T.StructType([T.StructField(k, T.StringType()) for k in KEYS] +
                               [T.StructField("n_train", T.LongType()), T.StructField("intercept", T.DoubleType())] +
                               [T.StructField(f"b{i}", T.DoubleType()) for i in range(d)] +
@@ -188,39 +246,35 @@ def solve_ridge(gram: DataFrame, lam: float = 1.0) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
-            n = float(r["n"])
-            if n <= 0:
+            if r["n"] <= 0:
                 continue
-            sx = np.array([r[f"sx{i}"] for i in range(d)], dtype=float)
-            m = sx / n
-            sxx = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
-            sxy = np.array([r[f"sxy{i}"] for i in range(d)], dtype=float)
-            my = r["sy"] / n
-            cxx = sxx - n * np.outer(m, m)
-            cxy = sxy - n * m * my
-            b = np.linalg.solve(cxx + lam * np.eye(d), cxy)
-            rows.append([r[k] for k in KEYS] + [int(n), float(my - m @ b)] + b.tolist() + m.tolist())
+            n, sy, _, sx, sxy, sxx = _matrices(r, d)
+            a, b = _ridge(n, sy, sx, sxy, sxx, r["lam"] if own else lam)
+            rows.append([r[k] for k in KEYS] + [int(n), a] + b.tolist() + (sx / n).tolist())
         return pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
 
     return gram.groupBy(*KEYS).applyInPandas(solve, out_schema)
 
 
-def segment_contributions(model_ready: DataFrame, lam: float = 1.0, split: str = "split",
+def design_rows(model_ready: DataFrame, split: str = "split") -> DataFrame:
+    """``model_ready`` with its design columns; categoricals are target-encoded on the train part."""
+    train = model_ready.filter((F.col(split) == "train") & F.col(LABEL).isNotNull())
+    enc = model_ready
+    for c in CATEGORICAL_FEATURES:
+        enc = target_encode(train, enc, c)
+    return _design(enc)
+
+
+def segment_contributions(model_ready: DataFrame, lam: float | None = 1.0, split: str = "split",
                           only: dict[str, str] | None = None) -> DataFrame:
     """Test rows x their 8 segments (or those of ``only``, by key) with the segment model's prediction ``_p``
-    and per-feature contributions ``<f>_contrib`` = b_j (x_j - mean_j)."""
+    and per-feature contributions ``<f>_contrib`` = b_j (x_j - mean_j). Without ``lam`` every segment's own is
+    chosen by cross-validation."""
     cols = model_columns()
     d = len(cols)
     names = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
-    train = model_ready.filter((F.col(split) == "train") & F.col(LABEL).isNotNull())
-    enc = model_ready
-    for c in CATEGORICAL_FEATURES:
-        enc = target_encode(train, enc, c)
-    x = _design(enc)
-    coef = solve_ridge(gram_sums(x.filter((F.col(split) == "train") & F.col(LABEL).isNotNull())), lam)
+    x = design_rows(model_ready, split)
+    coef = segment_coefficients(x.filter((F.col(split) == "train") & F.col(LABEL).isNotNull()), lam)
     test = x.filter((F.col(split) == "test") & F.col(LABEL).isNotNull()).select(
         *KEYS, LABEL, *[F.col(f"_x{i}").alias(f"_v_{names[i]}") for i in range(d)])
     # a single segment needs no copy of each row for the seven others
@@ -237,8 +291,15 @@ def segment_contributions(model_ready: DataFrame, lam: float = 1.0, split: str =
                       for i in range(d)])
 
 
-def segment_models(model_ready: DataFrame, lam: float = 1.0, split: str = "split") -> DataFrame:
-    """M6: model_metadata from per-segment ridge models.
+def segment_coefficients(train: DataFrame, lam: float | None = 1.0) -> DataFrame:
+    """M6: the segments' ridge models from the design rows of ``train``, with one lambda or (None) tuned ones."""
+    grams = gram_sums(train)
+    return solve_ridge(join_keys(grams, tuned_lambdas(train), KEYS) if lam is None else grams, lam or 1.0)
+
+
+def segment_models(model_ready: DataFrame, lam: float | None = 1.0, split: str = "split") -> DataFrame:
+    """M6: model_metadata from per-segment ridge models, with one lambda or (None) with each segment's own, chosen by
+    cross-validation over its train rows; then lam and cv_rmse follow the other columns.
 
     Fitted on the train part (categoricals target-encoded on train), scored
     on the test part. sample_size = posts of the segment; test_r2 /
@@ -253,10 +314,63 @@ def segment_models(model_ready: DataFrame, lam: float = 1.0, split: str = "split
     q = t.groupBy(*KEYS).agg(*aggs)
     size = rollup_keys(keyed(model_ready), [F.count("*").alias("sample_size")])
     out = join_keys(size, q, KEYS)
+    more = []
+    if lam is None:
+        train = design_rows(model_ready, split).filter((F.col(split) == "train") & F.col(LABEL).isNotNull())
+        out = join_keys(out, tuned_lambdas(train), KEYS)
+        more = ["lam", F.sqrt("cv_mse").alias("cv_rmse")]
     return out.select(*KEYS, F.col("sample_size").cast("bigint"),
                       (F.lit(1.0) - F.col("_sse") / F.nullif(F.col("_sst"), F.lit(0.0))).alias("test_r2"),
                       F.sqrt(F.col("_sse") / F.col("_n")).alias("test_rmse"),
-                      *[f"{f}_shap" for f in FEATURE_NAMES])
+                      *[f"{f}_shap" for f in FEATURE_NAMES], *more)
+
+
+# M7 from the models -----------------------------------------------------------
+SLOT = ("hour_of_day", "day_of_week")
+
+
+def community_profiles(rows: DataFrame, columns: dict[str, str], community: str = "subreddit") -> DataFrame:
+    """Per community the median of each feature (``columns``: feature to column of ``rows``), as p_<feature>."""
+    return rows.groupBy(community).agg(*[F.median(F.col(c)).alias(f"p_{f}") for f, c in columns.items()])
+
+
+def model_grid(coefficients: DataFrame, profiles: DataFrame, posts: DataFrame, features: list[str], overrides: DataFrame | None = None,
+               community: str = "subreddit") -> DataFrame:
+    """M7 (model version): the ``predictions`` table from segment models: for every segment, every community observed in it and
+    every hour x day, what the segment's model says of the community's median post at that time, within 0-100.
+
+    ``coefficients``: segment keys, intercept and b_<feature>; ``profiles``: p_<feature> per community; ``overrides`` has, by
+    segment keys, o_<feature> where the segment itself fixes a value (null: the profile's). What does not
+    depend on the time is summed once per segment and community, and only then spread over the 168 slots.
+    """
+    observed = rollup_keys(keyed(posts).groupBy(*KEYS, community).agg(F.count("*").alias("n")), [F.sum("n").alias("n")], always=[community])
+    t = join_keys(join_keys(observed.drop("n"), profiles, [community]), coefficients, KEYS, "inner")
+    fixed = [] if overrides is None else [c[2:] for c in overrides.columns if c.startswith("o_")]
+    if overrides is not None:
+        t = join_keys(t, overrides, KEYS)
+    still = [f for f in features if f not in SLOT]
+    value = {f: F.coalesce(F.col(f"o_{f}"), F.col(f"p_{f}")) if f in fixed else F.col(f"p_{f}") for f in still}
+    base = reduce(lambda a, b: a + b, [F.col(f"b_{f}") * F.coalesce(value[f], F.lit(0.0)) for f in still], F.col("intercept"))
+    t = t.select(*KEYS, community, base.alias("_base"), *[F.col(f"b_{f}").alias(f"_{f}") for f in SLOT])
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour_of_day")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day_of_week"))
+    score = F.col("_base") + F.col("_hour_of_day") * F.col("hour_of_day") + F.col("_day_of_week") * F.col("day_of_week")
+    return t.select(*KEYS, community, *SLOT, F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), DIGITS).alias("predicted_viral_score"))
+
+
+def segment_model_grid(model_ready: DataFrame, lam: float | None = None, split: str = "split") -> DataFrame:
+    """M7: :func:`model_grid` of the segment models (M6, tuned unless ``lam`` is given) on the train part. A segment's media key
+    and post type take the place of the community's medians."""
+    x = design_rows(model_ready, split)
+    train = x.filter((F.col(split) == "train") & F.col(LABEL).isNotNull())
+    names = model_columns()
+    coef = segment_coefficients(train, lam)
+    coef = coef.select(*KEYS, "intercept", *[F.col(f"b{i}").alias(f"b_{f}") for i, f in enumerate(names)])
+    profiles = community_profiles(x, {f: f"_x{i}" for i, f in enumerate(names) if f not in SLOT})
+    types = x.groupBy("engagement_mechanism").agg(F.max("engagement_mechanism_enc").alias("o_engagement_mechanism_enc"))
+    fixed = join_keys(coef.select(*KEYS), types, ["engagement_mechanism"])
+    fixed = fixed.withColumn("o_has_media", F.when(F.col("has_media") == "True", 1.0).when(F.col("has_media") == "False", 0.0))
+    return model_grid(coef, profiles, model_ready, names, fixed)
 
 
 # M5 -------------------------------------------------------------------------

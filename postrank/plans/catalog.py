@@ -681,6 +681,36 @@ def m6b(spark, sf):
     return M.segment_models(G.model_split(spark, sf))
 
 
+@q("m6_tuned_models")
+def m6c(spark, sf):
+    """model_metadata from per-segment ridge models whose lambda is chosen by 5-fold cross-validation over Gram sums."""
+    from ..operators import model as M
+    return M.segment_models(G.model_split(spark, sf), lam=None)
+
+
+@q("m7_model_grid")
+def m7b(spark, sf):
+    """The prediction grid from the tuned segment models and the communities' median posts."""
+    from ..operators import model as M
+    return M.segment_model_grid(G.model_split(spark, sf))
+
+
+@q("m7_given_grid")
+def m7c(spark, sf):
+    """The grid from given coefficients (so that SQL can follow) and the communities' median posts."""
+    from ..operators import model as M
+    posts = G.model_split(spark, sf)
+    features = ["title_length", "body_length", "hour_of_day", "day_of_week", "has_media"]
+    rows = posts.withColumn("media", F.col("has_media").cast("int").cast("double"))
+    profiles = M.community_profiles(rows, {"title_length": "title_length", "body_length": "body_length", "has_media": "media"})
+    segments = S.rollup_keys(S.keyed(posts), [F.count("*").alias("n")])
+    size = F.length(F.coalesce("category", F.lit(""))).cast("double")
+    coef = segments.select(*S.KEYS, (F.lit(30.0) + size).alias("intercept"), F.lit(0.75).alias("b_title_length"), F.lit(-0.0625).alias("b_body_length"),
+                           (size / 16).alias("b_hour_of_day"), F.lit(-1.5).alias("b_day_of_week"), F.lit(7.25).alias("b_has_media"))
+    fixed = segments.select(*S.KEYS, F.when(F.col("has_media") == "True", 1.0).when(F.col("has_media") == "False", 0.0).alias("o_has_media"))
+    return M.model_grid(coef, profiles, posts, features, fixed)
+
+
 # --- R: recommendation --------------------------------------------------------------------
 
 @q("r1_confidence")

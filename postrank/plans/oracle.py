@@ -889,5 +889,18 @@ FROM given_curve, given_end""", "given_curve", "given_end")
 _forest_sql()
 
 
+cte("mr_keyed", """SELECT subreddit, category, CASE WHEN has_media THEN 'True' WHEN NOT has_media THEN 'False' END AS has_media, engagement_mechanism
+FROM model_ready""", ["model_ready"])
+cte("mr_profile", """SELECT subreddit, median(title_length) AS t, median(body_length) AS b, median(CAST(has_media AS INTEGER)) AS m
+FROM model_ready GROUP BY subreddit""", ["model_ready"])
+cte("mr_seen", f"SELECT {ALLK}, subreddit FROM mr_keyed GROUP BY CUBE({KEYS}), subreddit", ["mr_keyed"])
+o("m7_given_grid", f"""SELECT s.category, s.has_media, s.engagement_mechanism, s.subreddit, CAST(h.h AS INTEGER) AS hour_of_day,
+  CAST(d.d AS INTEGER) AS day_of_week, {r4("""least(greatest(30.0::DOUBLE + length(coalesce(s.category, '')) + 0.75::DOUBLE * coalesce(p.t, 0)
+  - 0.0625::DOUBLE * coalesce(p.b, 0) + 7.25::DOUBLE * coalesce(CASE s.has_media WHEN 'True' THEN 1.0 WHEN 'False' THEN 0.0 ELSE p.m END, 0)
+  + length(coalesce(s.category, '')) / 16.0::DOUBLE * h.h - 1.5::DOUBLE * d.d, 0.0), 100.0)""")} AS predicted_viral_score
+FROM mr_seen s LEFT JOIN mr_profile p ON p.subreddit IS NOT DISTINCT FROM s.subreddit CROSS JOIN range(24) h(h) CROSS JOIN range(7) d(d)""",
+  "mr_seen", "mr_profile")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
