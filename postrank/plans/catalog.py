@@ -22,6 +22,7 @@ from ..operators import posts as P
 from ..operators import profile as PF
 from ..operators import recommend as R
 from ..operators import segments as S
+from ..operators import sketches as SK
 from ..operators import textfeat as TF
 from ..operators.joins import join_keys
 from ..operators.labels import community_baseline, global_min_max, median_score, scale_min_max
@@ -327,6 +328,41 @@ def d20(spark, sf):
     return S.overfitting_gap(m).withColumn("vs_baseline", S.compare_to_baseline(F.col("r2")))
 
 
+@q("d2_sketched_median")
+def d2b(spark, sf):
+    """The median score of each community by sketch: whether its rank is within the stated error."""
+    posts = A.event_posts(spark, sf)
+    rows = join_keys(posts, SK.community_median(posts), ["subreddit"])
+    return rows.groupBy("subreddit").agg(F.max("n").alias("n"),
+                                         (SK.rank_error(F.col("score"), F.col("subreddit_baseline"), 0.5) <= SK.RANK_ERROR).alias("within"))
+
+
+@q("d6_sketched_overview")
+def d6b(spark, sf):
+    return SK.segment_overview(G.serving(spark, sf)["predictions"])
+
+
+@q("d13_sketched_counts")
+def d13b(spark, sf):
+    return SK.distinct_counts(G.serving(spark, sf)["predictions"])
+
+
+@q("d17_sketched_cube")
+def d17b(spark, sf):
+    return SK.segment_cube(G.event_labelled(spark, sf))
+
+
+@q("m8_sketched_ranges")
+def m8b(spark, sf):
+    """Optimal ranges by sketch: whether the segment's threshold and the ends of its ranges are within the stated rank error."""
+    posts = G.event_split(spark, sf)
+    thr = SK.label_thresholds(posts)
+    labels = join_keys(S.segment_memberships(posts), thr, S.KEYS, "inner").groupBy(*S.KEYS).agg(
+        F.max("n").alias("n"), (SK.rank_error(F.col("virality_index"), F.col("thr"), 0.75) <= SK.RANK_ERROR).alias("threshold_within"))
+    ends = SK.range_errors(posts, SK.optimal_ranges(posts)).select(*S.KEYS, (F.col("error") <= SK.RANK_ERROR).alias("ends_within"))
+    return join_keys(labels, ends, S.KEYS)
+
+
 # --- E: windows -----------------------------------------------------------------
 
 @q("e4_temporal_split")

@@ -902,5 +902,14 @@ FROM mr_seen s LEFT JOIN mr_profile p ON p.subreddit IS NOT DISTINCT FROM s.subr
   "mr_seen", "mr_profile")
 
 
+# by sketch: distinct counts of some dozens are exact; a quantile's rank is within its error everywhere ----------------------
+o("d2_sketched_median", "SELECT subreddit, count(score) AS n, true AS within FROM ev_posts GROUP BY subreddit", "ev_posts")
+ORACLES["d6_sketched_overview"] = ORACLES["d6_segment_overview"]
+ORACLES["d17_sketched_cube"] = ORACLES["d17_segment_cube"]
+o("d13_sketched_counts", " UNION ALL ".join(f"SELECT {_s(c)} AS column_name, count(DISTINCT {c}) AS n_unique FROM pred" for c in _PRED_STR), "pred")
+o("m8_sketched_ranges", f"SELECT {ALLK}, count(y) AS n, true AS threshold_within, true AS ends_within FROM ev_keyed WHERE y IS NOT NULL "
+  f"GROUP BY CUBE({KEYS})", "ev_keyed")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
