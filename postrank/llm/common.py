@@ -27,7 +27,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS = 1000  # texts of an Arrow batch; some kilobytes each, held by the JVM and by Python
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of TEXTS rows for this session, unless it has a setting of its own (the default is 10,000)."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(TEXTS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return read(spark, sf_dir, "documents")
 
 
@@ -80,9 +91,9 @@ def worker_cache(owner: str) -> dict:
 def most(df: DataFrame, by: Column, k: int, more: bool = False) -> DataFrame:
     """The rows of ``df`` with the largest amounts ``by`` (0 or more): at most ``k``, or with ``more`` at least ``k`` as far
     as there are. The bound comes from a histogram (16 steps an octave), so nothing is sorted and no task reports rows
-    of its own; rows of one step stay or go together."""
+    of its own; rows of one step stay or go together. ``df`` is written once, as it is read twice."""
     step = F.floor(F.log2(by + 1) * 16).cast("int")
-    rows = df.withColumn("__step", step)
+    rows = written(df.withColumn("__step", step), "amounts")
     bound, kept = 1 << 30, 0
     for r in sorted(rows.groupBy("__step").count().collect(), key=lambda r: -r["__step"]):
         if kept >= k or (not more and kept + r["count"] > k):

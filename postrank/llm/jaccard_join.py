@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, quoted, shared, written
+from .common import map_text, most, quoted, shared, written
 
 SHINGLE = 5  # words
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
@@ -556,7 +556,8 @@ def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
     """The order of tokens, the sets' prefixes, and the groups (token, sid, m, w) of sets that share a prefix token. Every
     two sets that share some are together in the group of the first that they share."""
     often = (members.where(F.col("seen").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-             .where(F.col("seen") >= 4 * OFTEN).orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect())
+             .where(F.col("seen") >= 4 * OFTEN))
+    often = most(often, F.col("seen"), FREQUENT).collect()
     pairs = sorted((r["shingle"], min(31, int(r["seen"]).bit_length())) for r in often)
     order = shared(docs.sparkSession, (np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)))
 

@@ -90,8 +90,7 @@ def bpe_vocabulary() -> byte_bpe.Vocabulary:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) encoded, and decoded from the ids."""
-    vocabulary = bpe_vocabulary()
-    out = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, packed=True).select("doc_id", "ids"), vocabulary)
+    out = byte_bpe.round_trip(docs, bpe_vocabulary())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, most, quoted, shared
+from .common import map_text, most, quoted, shared, written
 from .decontam import NORMAL
 
 LABELLED = 10_000  # labelled rows that the lexicons are learned from
@@ -112,6 +112,7 @@ def token_sums(rows: DataFrame) -> DataFrame:
 def associated(sums: DataFrame, base: float, above_only: bool) -> list[tuple[str, float, float]]:
     """The tokens whose association with the weight is beyond chance, given how many are tried; the
     strongest TOKENS of them."""
+    sums = written(sums, "sums")
     tried = max(1, sums.where(F.col("n") >= 3).count())
     a, n = F.col("a"), F.col("n")
     xlog = lambda k, e: F.when(k > 1e-9, k * F.log(k / e)).otherwise(0.0)
@@ -262,7 +263,7 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, text: str = "text",
     drawn = df.where(training).select(quoted(key).alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
     drawn = (drawn.where(draw < min(1.0, TRAINED / max(1, size)))
              .groupBy("doc_id").agg(F.max("text").alias("text")).select("text"))
-    drawn = map_text(drawn, "text", vote, vote_factory(voters))
+    drawn = written(map_text(drawn, "text", vote, vote_factory(voters)), "drawn")  # read several times below
     weight = F.create_map(*[x for p in sorted({r["votes"] for r in drawn.select("votes").distinct().collect()} | {0})
                             for x in (F.lit(p), F.lit(model.posterior(p)))])
     drawn = drawn.withColumn("weight", F.coalesce(F.try_element_at(weight, F.col("votes")), F.lit(model.posterior(0))))
