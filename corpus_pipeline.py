@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postrank.llm import byte_bpe, decontam, jaccard_join, pii, toxicity
-from postrank.llm.common import documents, in_held_out_fold, quoted, read, release, written
+from postrank.llm.common import documents, in_held_out_fold, quoted, read, release, small_batches, written
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,12 +25,17 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select(*[quoted(c) for c in DOCUMENT])
 
 
+def _begin(spark: SparkSession) -> None:
+    release()
+    small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject. Labels are read for training folds only.
 
     Every row is judged by its own text: repeated rows stay or go together, a missing or empty text scores the share of
     toxic labels and stays unless that reaches the threshold. Without labels of both kinds nothing is learned."""
-    release()
+    _begin(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~in_held_out_fold(F.col("doc_id")))
     return _documents(toxicity.score(docs, model).where(F.col("predicted") == 0))
 
@@ -43,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     digest stays. Documents without words stay. Only texts of repeated or missing ids are looked at again or
     shuffled; the others go by ids.
     """
-    release()
+    _begin(spark)
     found = written(jaccard_join.linked(docs), "linked")
     chosen = written(found.where(F.col("sid").isNotNull()).groupBy("comp")
                      .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("x"))
@@ -70,7 +75,7 @@ def _once(rows: DataFrame) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows don't cover beyond the limit. A text without words, a missing or an empty one
     is clean and stays, repeated rows stay or go together, and an empty benchmark leaves all."""
-    release()
+    _begin(spark)
     found = decontam.hits(docs, read(spark, sf_dir, "benchmark"))
     return _documents(found.where(~F.col("contaminated")))
 
@@ -78,7 +83,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their spans of personal data replaced; n_chars follows the text. A missing text stays
     missing with its n_chars, an empty one empty; repeated rows all stay."""
-    release()
+    _begin(spark)
     out = pii.find(docs, redact=True)
     return _documents(out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint"))
                                      .otherwise(F.col("n_chars"))))
@@ -87,11 +92,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids as little-endian 32-bit integers, with whether decoding them gives the text's bytes again. A missing or
     empty text has none; repeated rows each get theirs."""
-    release()
+    _begin(spark)
     vocabulary = byte_bpe.Vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
                                      public_tokenizers.PATTERN)
-    out = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary, packed=True)
-    out = byte_bpe.decode(out, vocabulary)
+    out = byte_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), vocabulary)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                       "ids", (F.col("bytes") == body).alias("round_trip"))
