@@ -60,6 +60,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL = 500_000  # rows of narrow tables that may be broadcast: a bounded number of some tens of bytes
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has SMALL rows at most."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 _SHARED: weakref.WeakSet[Broadcast] = weakref.WeakSet()
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, most, quoted, shared, written
+from .common import map_text, most, quoted, shared, small, written
 
 SHINGLE = 5  # words
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
@@ -35,7 +35,6 @@ SEEN = 1 << 22  # shingles that a task counts at once to find frequent ones
 OFTEN = 3  # times that a shingle must be met there
 FREQUENT = 200_000  # shingles of a frequency class above 0, the most frequent: a bounded broadcast
 HASH_BITS = 58  # of a token; the class stands above
-SMALL = 500_000  # rows of narrow tables that may be broadcast: a bounded number of some tens of bytes
 CHUNK = 1 << 20  # bytes of texts that are hashed together
 
 
@@ -189,11 +188,6 @@ def _tokens(docs: DataFrame, size: int, order, whole: bool) -> DataFrame:
     return rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has SMALL rows at most."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def _explode_prefixes(sets: DataFrame) -> DataFrame:
     """token, sid, n and room: if the token is the first that two sets have, they overlap in what is left of either at
     most, so the other one must not have more than ``room`` tokens."""
@@ -453,7 +447,7 @@ def _count_units(units: DataFrame, sets: DataFrame) -> DataFrame:
 def _each_unit(units: DataFrame, sets: DataFrame, columns: list[str], work: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
     """Rows (token, a, b): what ``work`` finds from the key (token, b1, b2) and the columns of each unit's sets."""
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = _small(written(units, "units"))
+    units = small(written(units, "units"))
     rows = (sets.join(units, "sid").select("token", "b1", "b2", *columns)
             .repartition(n, "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2"))
 
@@ -489,8 +483,8 @@ def _units(rows: DataFrame, diagonal: bool) -> DataFrame:
     another; smaller ones share blocks. ``diagonal``: only blocks with themselves."""
     sizes = rows.groupBy("token", "comp").agg(F.sum("w").alias("wc"))
     totals = sizes.groupBy("token").agg(F.sum("wc").alias("wt"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-    small = totals.where(F.col("wt") <= BLOCK).select("token")
-    one = rows.join(small, "token").select("token", F.lit(0).cast("bigint").alias("b1"), F.lit(0).cast("bigint").alias("b2"), "sid", "comp")
+    fitting = totals.where(F.col("wt") <= BLOCK).select("token")
+    one = rows.join(fitting, "token").select("token", F.lit(0).cast("bigint").alias("b1"), F.lit(0).cast("bigint").alias("b2"), "sid", "comp")
     large = totals.where(F.col("wt") > BLOCK).select("token", "wt")
     dealt = (rows.join(large, "token").join(sizes, ["token", "comp"])
              .withColumn("pure", (F.col("wc") > BLOCK // 2) & F.lit(not diagonal))
@@ -557,9 +551,11 @@ def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
     two sets that share some are together in the group of the first that they share."""
     often = (members.where(F.col("seen").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
              .where(F.col("seen") >= 4 * OFTEN))
-    often = most(often, F.col("seen"), FREQUENT).collect()
-    pairs = sorted((r["shingle"], min(31, int(r["seen"]).bit_length())) for r in often)
-    order = shared(docs.sparkSession, (np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint64)))
+    often = most(often, F.col("seen"), FREQUENT).toArrow()
+    frequent, seen = (often.column(c).to_numpy() for c in ("shingle", "seen"))
+    at = np.argsort(frequent, kind="stable")
+    classes = np.minimum(31, np.frexp(seen[at].astype(np.float64))[1])  # the number of bits
+    order = shared(docs.sparkSession, (frequent[at].astype(np.uint64), classes.astype(np.uint64)))
 
     prefixes = written(_tokens(docs, size, order, whole=False), "prefixes")
     # one shuffle of all postings, whose counts stay beside them
@@ -569,13 +565,13 @@ def _grouped(docs: DataFrame, members: DataFrame, size: int) -> tuple:
     alike = (postings.groupBy("token", "m").agg(F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"), F.min("sid").alias("low"),
                                                 F.max("sid").alias("high"))
              .groupBy("m", "s", "low", "high").agg(F.min("token").alias("token")).select("token"))
-    postings = written(postings.join(_small(written(alike, "alike")), "token"), "postings")
+    postings = written(postings.join(small(written(alike, "alike")), "token"), "postings")
     # if the token before is the same for all members of a group, that one's group holds every pair of this
     # one, which is left out
     before = postings.withColumn("prev", F.lag("token").over(Window.partitionBy("sid").orderBy("token")))
     needed = (before.groupBy("token", "m").agg(F.count("prev").alias("k"), F.min("prev").alias("low"), F.max("prev").alias("high"))
               .where((F.col("k") < F.col("m")) | (F.col("low") < F.col("high"))).select("token"))
-    groups = _with_partners(postings.join(_small(written(needed, "needed")), "token"))
+    groups = _with_partners(postings.join(small(written(needed, "needed")), "token"))
     groups = written(groups.select("token", "sid", "m", F.col("n").alias("w")), "groups")
     return order, prefixes, groups
 
@@ -614,7 +610,7 @@ def _linked(rows: DataFrame, diagonal: bool, docs: DataFrame, members: DataFrame
     if possible is None:
         return None
     whole = _whole(possible, docs, members, size, order)
-    found = written(_join_units(_units(rows.join(_small(possible), ["token", "sid"], "left_semi"), diagonal), whole, True), "links")
+    found = written(_join_units(_units(rows.join(small(possible), ["token", "sid"], "left_semi"), diagonal), whole, True), "links")
     return found.select("a", "b") if found.limit(1).count() else None
 
 
@@ -628,9 +624,9 @@ def _possible(rows: DataFrame, diagonal: bool, prefixes: DataFrame) -> DataFrame
 def _whole(possible: DataFrame, docs: DataFrame, members: DataFrame, size: int, order) -> DataFrame:
     """The whole sets of ``possible``."""
     # the sets from one document each, and from all documents without an id
-    sids = _small(written(possible.select("sid").distinct(), "sids"))
+    sids = small(written(possible.select("sid").distinct(), "sids"))
     wanted = written(members.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
-    chosen = docs.where(F.col("doc_id").isNotNull()).join(_small(wanted), "doc_id", "left_semi")
+    chosen = docs.where(F.col("doc_id").isNotNull()).join(small(wanted), "doc_id", "left_semi")
     chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()))
     return written(_tokens(chosen, size, order, whole=True).join(sids, "sid", "left_semi"), "whole")
 
@@ -678,7 +674,7 @@ def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     links = F.col("weight") - 1
     if possible is not None:
         whole = _whole(possible, docs, members, size, order).join(classes, "sid")
-        units = _pair_units(groups.join(_small(possible), ["token", "sid"], "left_semi"))
+        units = _pair_units(groups.join(small(possible), ["token", "sid"], "left_semi"))
         found = written(_count_units(units, whole).groupBy(F.col("a").alias("sid")).agg(F.sum("b").alias("more")), "counts")
         classes = classes.join(found, "sid", "left")
         links = links + F.coalesce("more", F.lit(0))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -202,10 +203,10 @@ class LabelModel:
         return float(self.posterior_of(np.array([[pattern >> j & 1 for j in range(VOTERS)]], dtype=float))[0])
 
 
-def logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 300, decay: float = 1e-3) -> np.ndarray:
+def logistic(rows: Sequence[Sequence[int]], target: np.ndarray, size: int, rounds: int = 300, decay: float = 1e-3) -> np.ndarray:
     """Weights of the features and, last, the intercept: full-batch descent with per-weight steps."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.array([f for r in rows for f in r], dtype=np.int64)
+    feature = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
     w = np.zeros(size + 1)
     mean = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
     w[-1] = np.log(mean / (1 - mean))
@@ -279,9 +280,12 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, text: str = "text",
         return lambda column: [[sorted(lookup.of(x.as_py() or "")) for x in column]]
 
     found = map_text(drawn, "text", T.StructType([T.StructField("found", T.ArrayType(T.IntegerType()))]), make, keep=["weight"])
-    got = sorted((r["weight"], list(r["found"])) for r in found.collect())  # TRAINED rows, about
-    lists, target = [r[1] for r in got], np.array([r[0] for r in got])
-    return {"features": features, "weights": logistic(lists, target, len(features)), "label_model": model}
+    got = found.toArrow()  # TRAINED rows, about
+    weights = got.column("weight").to_numpy()
+    lists = [x.values.to_numpy(zero_copy_only=False) for chunk in got.column("found").chunks for x in chunk]
+    # in a fixed order, as sums depend on it: big-endian bytes are ordered as the lists are
+    at = sorted(range(len(lists)), key=lambda i: (weights[i], lists[i].astype(">u4").tobytes()))
+    return {"features": features, "weights": logistic([lists[i] for i in at], weights[at], len(features)), "label_model": model}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
