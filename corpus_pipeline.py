@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postrank.llm import byte_bpe, decontam, jaccard_join, pii, toxicity
-from postrank.llm.common import documents, in_held_out_fold, quoted, read, release, small_batches, written
+from postrank.llm.common import documents, in_held_out_fold, quoted, read, release, small, small_batches, written
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -45,8 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by id and shingle set, so rows that only share an id all stay, and of linked rows without an id
     one stays if none of its group has an id. Of rows with the same id and set the one of the smallest
-    digest stays. Documents without words stay. Only texts of repeated or missing ids are looked at again or
-    shuffled; the others go by ids.
+    digest stays. Documents without words stay. Only texts of repeated or missing ids are looked at again;
+    the others go by ids, and are shuffled only if the ids to leave out are too many for a broadcast.
     """
     _begin(spark)
     found = written(jaccard_join.linked(docs), "linked")
@@ -57,8 +57,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays = F.col("sid").isNull() | F.col("set").isNotNull()
     ids = written(found.join(chosen, is_chosen, "left").where(F.col("doc_id").isNotNull())
                   .groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays")), "ids")
-    copies, repeated = ids.where(~F.col("stays")).select("doc_id"), ids.where(F.col("stays") & (F.col("n") > 1)).select("doc_id")
-    single = docs.where(F.col("doc_id").isNotNull()).join(copies.union(repeated), "doc_id", "left_anti")
+    repeated = small(ids.where(F.col("stays") & (F.col("n") > 1)).select("doc_id"))
+    looked_at = small(ids.where(~F.col("stays") | (F.col("n") > 1)).select("doc_id"))
+    single = docs.where(F.col("doc_id").isNotNull()).join(looked_at, "doc_id", "left_anti")
     rest = docs.join(repeated, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     rest = written(jaccard_join.with_set_ids(_documents(rest)), "repeated")
     return (_documents(single).unionByName(_documents(rest.where(F.col("sid").isNull())))
