@@ -6,22 +6,17 @@ on rows the exact pass left without a category, and compares *distinct*
 tokens with the keywords: an equi-join on token length (a keyword is only
 comparable to tokens whose length is within the similarity bound) and an edit
 distance that the similarity implies. What is left, a few tokens close to some
-keyword, gets the matching-block ratio of the standard library. The
+keyword, gets the matching-block ratio as a column expression. The
 matched-token table is small and is broadcast back after a size check.
 """
 
 from __future__ import annotations
 
-from difflib import get_close_matches
-from functools import reduce
-
-import pandas as pd
-import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import CATEGORIES, CATEGORY_KEYWORDS, FUZZY_CUTOFF, FUZZY_MIN_LEN, keyword_dim
+from ..functions.similarity import block_ratio
 from ..functions.text import location, normalize_label, request_mechanism
 from .joins import join_checked, join_dim
 
@@ -104,19 +99,10 @@ def fuzzy_token_matches(tok: DataFrame) -> DataFrame:
     highest similarity, ties to the larger keyword string.
     """
     d = tok.select("token").distinct().withColumn("_len", F.length("token"))
-    near = (join_dim(d, _keyword_lengths(tok), "_len", "inner")
-            .filter(_may_match(F.col("token"), F.col("keyword"))).select("token").distinct())
-    category = dict(CATEGORY_KEYWORDS)
-    keywords = list(category)
-
-    def closest(batches):
-        for b in batches:
-            found = [(t, m[0], category[m[0]]) for t in b.column(0).to_pylist()
-                     if (m := get_close_matches(t, keywords, n=1, cutoff=FUZZY_CUTOFF))]
-            columns = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["token", "keyword", "category"])
-
-    return near.mapInArrow(closest, "token string, keyword string, category string")
+    near = join_dim(d, _keyword_lengths(tok), "_len", "inner").filter(_may_match(F.col("token"), F.col("keyword")))
+    close = near.withColumn("_ratio", block_ratio(F.col("keyword"), F.col("token"))).filter(F.col("_ratio") >= FUZZY_CUTOFF)
+    best = F.max_by(F.struct("keyword", "category"), F.struct("_ratio", "keyword", "ordinal"))
+    return close.groupBy("token").agg(best.alias("_best")).select("token", "_best.keyword", "_best.category")
 
 
 def fuzzy_category(df: DataFrame, text: str = "text", key: str = "request_id",
@@ -144,17 +130,19 @@ def resolve_label_expr(label: Column) -> Column:
     names = {" ".join(c.lower().replace("&", " and ").split()): c for c in CATEGORIES}
     exact = F.coalesce(*[F.when(norm == F.lit(n), F.lit(c)) for n, c in names.items()])
     contained = F.coalesce(*[F.when(norm.contains(n), F.lit(c)) for n, c in names.items()])
-    close = reduce(lambda a, b: a | b, [
-        (F.abs(F.length(norm) - len(n)) <= (F.length(norm) + len(n)) * (1 - FUZZY_CUTOFF) + 1e-9) & _may_match(norm, F.lit(n))
-        for n in names])
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in names.items()])
+
+    def closest(label: Column) -> Column:
+        def near(x: Column) -> Column:
+            total = F.length(label) + F.length(x["n"])
+            by_length = F.abs(F.length(label) - F.length(x["n"])) <= total * F.lit(1 - FUZZY_CUTOFF) + F.lit(1e-9)
+            return by_length & _may_match(label, x["n"])
 
-    @F.pandas_udf("string")
-    def nearest(s: pd.Series) -> pd.Series:
-        found = [get_close_matches(x, list(names), n=1, cutoff=FUZZY_CUTOFF) if x else [] for x in s]
-        return pd.Series([names[m[0]] if m else None for m in found], dtype="object")
+        rated = F.transform(F.filter(known, near), lambda x: F.struct(block_ratio(x["n"], label).alias("r"), x["n"].alias("n"), x["c"].alias("c")))
+        return F.array_max(F.filter(rated, lambda x: x["r"] >= FUZZY_CUTOFF))["c"]
 
-    # only labels close to some name reach the function; the rest are NULL there
-    near = nearest(F.when(exact.isNull() & contained.isNull() & close, norm))
+    # only labels without an exact or a contained name are compared; the rest are NULL there
+    near = _bind(F.when(exact.isNull() & contained.isNull() & (norm != ""), norm), closest)
     return (F.when((norm == "") | (norm == "none") | norm.isNull(), F.lit(None).cast("string"))
             .otherwise(F.coalesce(exact, contained, near)))
 

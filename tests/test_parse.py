@@ -1,7 +1,13 @@
 """Free-text request parsing (keyword, typo-tolerant, mechanism, location)."""
 
-from postrank.operators.parse import parse_requests, resolve_label_expr
+import difflib
+import random
+import re
+
+from postrank.functions.similarity import block_ratio
 from postrank.functions.text import normalize_label
+from postrank.operators import parse as PR
+from postrank.operators.parse import parse_requests, resolve_label_expr
 from pyspark.sql import functions as F
 
 CASES = [
@@ -85,3 +91,30 @@ def test_fuzzy_matches_equal_the_plain_ratio(spark):
     got = {x.token: x.keyword for x in fuzzy_token_matches(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
     want = {t: m[0] for t in tokens if (m := get_close_matches(t, [k for k, _ in CATEGORY_KEYWORDS], n=1, cutoff=0.8))}
     assert got == want
+
+
+def test_block_ratio_equals_the_library(spark):
+    """10,000 pairs: random ones over few letters (many ties) and words with slips; empty and missing strings."""
+    rnd = random.Random(7)
+    word = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    pairs = [(word(rnd.randint(0, 11), "abc"), word(rnd.randint(0, 11), "abc")) for _ in range(5000)]
+    for _ in range(4996):
+        a = word(rnd.randint(5, 14), "abcdefgh")
+        b = list(a)
+        for _ in range(rnd.randint(1, 3)):
+            b[rnd.randrange(len(b))] = rnd.choice(["", "x", "ab", "ä"])
+        pairs.append((a, "".join(b)))
+    pairs += [("", ""), ("a", ""), ("", "a"), ("mental health", "mental helath")]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(8)
+    got = df.select("a", "b", block_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert len(got) == 10_000
+    assert all(r["r"] == difflib.SequenceMatcher(None, r["a"], r["b"]).ratio() for r in got)
+    none = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string")
+    assert [r[0] for r in none.select(block_ratio(F.col("a"), F.col("b"))).collect()] == [None, None]
+
+
+def test_typo_matching_runs_without_python(spark, capsys):
+    df = spark.createDataFrame([(1, "sunscren and yogga"), (2, None)], "request_id int, text string")
+    PR.fuzzy_category(df).explain()
+    df.select(PR.resolve_label_expr(F.col("text"))).explain()
+    assert not re.search("Python|InArrow|InPandas", capsys.readouterr().out)
