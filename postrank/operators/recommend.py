@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import ALL, FEATURE_NAMES, RANGE_FEATURES, SEGMENT_KEYS
@@ -39,6 +39,23 @@ def segment_rows(table: DataFrame, category: str, has_media: str, mechanism: str
                         & (F.col("engagement_mechanism") == F.lit(mechanism)))
 
 
+LOOKUP_TABLES = ("model_metadata", "optimal_ranges", "predictions")
+
+
+def lookup_rows(spark: SparkSession, table: str, category: str, post_type: str | None = None,
+                mechanism: str | None = None) -> DataFrame:
+    """B7 over the registered serving tables: the rows of one segment, 'ALL' for an option that is missing.
+
+    Values reach the query as bound parameters and are only ever data. The table's name is bound as an identifier and
+    must be one of LOOKUP_TABLES; any other is an error. A missing category finds nothing.
+    """
+    if table not in LOOKUP_TABLES:
+        raise ValueError(f"unknown segment table: {table}")
+    return spark.sql("SELECT * FROM IDENTIFIER(:table) WHERE category = :category AND has_media = :post_type "
+                     "AND engagement_mechanism = :mechanism",
+                     args={"table": table, "category": category, "post_type": post_type or ALL, "mechanism": mechanism or ALL})
+
+
 # C9 / C10 -------------------------------------------------------------------
 def match_segment(requests: DataFrame, seg: DataFrame, cat: str = "category", pt: str = "_pt",
                   mech: str = "_mech", prefix: str = "m_") -> DataFrame:

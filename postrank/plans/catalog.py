@@ -17,6 +17,7 @@ from ..dims import ALL
 from ..functions import format as fmt
 from ..functions import text as T
 from ..operators import dataset as DS
+from ..operators import keywords as KW
 from ..operators import parse as PR
 from ..operators import posts as P
 from ..operators import profile as PF
@@ -135,6 +136,13 @@ def b7(spark, sf):
     return R.segment_rows(G.serving(spark, sf)["predictions"], "cat1", "True", "question")
 
 
+@q("b7_bound_lookup")
+def b7b(spark, sf):
+    """One segment's metadata by bound parameters, without an option for media."""
+    G.serving(spark, sf)
+    return R.lookup_rows(spark, "model_metadata", "cat1", None, "question").select(*R.KEYS, "sample_size")
+
+
 @q("b8_normalize_keys")
 def b8(spark, sf):
     r = R.normalize_keys(A.event_requests(spark, sf))
@@ -165,6 +173,14 @@ def c2(spark, sf):
     return G.model_ready(spark, sf)
 
 
+@q("c2_bucketed")
+def c2b(spark, sf):
+    """C2 and C3 over tables bucketed by post_id: four tables joined without an exchange."""
+    t = G.bucketed(spark, sf)
+    m = DS.build_model_ready(t["by_post_labels"], t["by_post_features"], t["by_post_nlp"])
+    return DS.attach_timestamp(m, t["by_post_times"])
+
+
 @q("c3_attach_timestamp")
 def c3(spark, sf):
     m = DS.attach_timestamp(G.model_ready(spark, sf), G.processed(spark, sf))
@@ -186,6 +202,12 @@ def c7(spark, sf):
     return PR.keyword_category(A.text_requests(spark, sf)).select("request_id", "category")
 
 
+@q("c7_keyword_table")
+def c7t(spark, sf):
+    """C7 against a keyword table that grows with the data: one word of every document, in ten categories."""
+    return KW.category_by_keywords(A.text_requests(spark, sf), A.word_keywords(spark, sf)).select("request_id", "category")
+
+
 @q("c8_fuzzy_category")
 def c8(spark, sf):
     t = PR.keyword_category(A.text_requests(spark, sf), out="_kw").filter(F.col("_kw").isNull())

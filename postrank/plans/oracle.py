@@ -440,6 +440,8 @@ o("b6_post_features", "SELECT * FROM post_features", "post_features")
 o("b7_segment_rows", f"SELECT {KEYS}, subreddit, hour_of_day, day_of_week, "
   f"{r4('predicted_viral_score')} AS predicted_viral_score FROM pred WHERE category = 'cat1' AND "
   "has_media = 'True' AND engagement_mechanism = 'question'", "pred")
+o("b7_bound_lookup", f"SELECT {KEYS}, sample_size FROM meta WHERE category = 'cat1' AND has_media = 'ALL' "
+  "AND engagement_mechanism = 'question'", "meta")
 o("b8_normalize_keys", "SELECT request_id, category, post_type, mechanism, pt AS post_type_key, "
   "mech AS mechanism_key FROM req_keys", "req_keys")
 _FEATS_MR = ["virality_index", "hour_of_day", "day_of_week", "has_media", "post_length_proxy", "vader_compound",
@@ -458,6 +460,9 @@ o("c1_posts_with_features", "SELECT p.post_id, p.title, p.body, p.subreddit, f.h
   "JOIN post_features f ON p.post_id = f.post_id", "processed_posts", "post_features")
 o("c2_model_ready", "SELECT * REPLACE (" + ", ".join(f"{r4(c)} AS {c}" for c in sorted(_DBL))
   + ") FROM model_ready", "model_ready")
+o("c2_bucketed", "SELECT * REPLACE (" + ", ".join(f"{r4(c)} AS {c}" for c in sorted(_DBL))
+  + ") FROM (SELECT m.*, p.posted_at_local FROM model_ready m JOIN processed_posts p ON m.post_id = p.post_id)",
+  "model_ready", "processed_posts")
 o("c3_attach_timestamp", f"SELECT m.post_id, {r4('m.virality_index')} AS virality_index, p.posted_at_local "
   "FROM model_ready m JOIN processed_posts p ON m.post_id = p.post_id", "model_ready", "processed_posts")
 o("c4_add_category", "SELECT p.post_id, p.subreddit, coalesce(d.category, 'unknown') AS category "
@@ -466,6 +471,14 @@ o("c4_add_category", "SELECT p.post_id, p.subreddit, coalesce(d.category, 'unkno
 o("c5_unmapped", "SELECT DISTINCT subreddit FROM processed_posts WHERE subreddit IS NOT NULL AND lower(subreddit) "
   "NOT IN (SELECT community_lc FROM category_dim)", "processed_posts", "category_dim")
 o("c7_keyword_category", "SELECT request_id, category FROM kw_cat", "kw_cat")
+cte("word_keywords", """SELECT ordinal, keyword, 'cat' || (ordinal % 10) AS category FROM (
+  SELECT keyword, min(doc_id) AS ordinal FROM (SELECT doc_id, regexp_extract(lower(text), '[a-z]{4,}', 0) AS keyword FROM documents)
+  WHERE keyword <> '' GROUP BY keyword)""")
+cte("word_hits", """SELECT request_id, k.category, count(*) AS h, min(k.ordinal) AS f FROM text_requests r
+  JOIN word_keywords k ON contains(lower(r.text), k.keyword) GROUP BY ALL""", ["text_requests", "word_keywords"])
+o("c7_keyword_table", """SELECT r.request_id, b.category FROM text_requests r LEFT JOIN (SELECT request_id, category FROM word_hits
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY h DESC, f, category DESC) = 1) b ON r.request_id = b.request_id""",
+  "text_requests", "word_hits")
 o("c8_fuzzy_category", "SELECT request_id, fuzzy_category FROM fz_cat", "fz_cat")
 o("c9_match_segment", """SELECT r.request_id, m.level, m.l_category AS m_category, m.l_has_media AS m_has_media,
   m.l_mechanism AS m_engagement_mechanism, x.sample_size

@@ -18,6 +18,7 @@ from ..operators import segments as S
 from ..operators.labels import engagement_index
 from ..operators.textfeat import nlp_features
 from ..sources import adapters as A
+from ..sources.layout import write_together
 from ..session import scratch_path
 from ..sources.io import load_serving, materialize
 from ..sources.lexicons import emotion_lexicon, sentiment_lexicon
@@ -82,6 +83,21 @@ def written(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_BUCKETED: dict[tuple, dict[str, str]] = {}
+
+
+def bucketed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Labels, features, text features and processed posts, bucketed by post_id once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUCKETED:
+        tag = hashlib.md5(sf.encode()).hexdigest()[:8]
+        tables = {"by_post_labels": labels(spark, sf), "by_post_features": features(spark, sf),
+                  "by_post_nlp": nlp(spark, sf), "by_post_times": processed(spark, sf).select("post_id", "posted_at_local")}
+        write_together(tables, scratch_path(spark, f"bucketed/{tag}"), tag=f"_{tag}")
+        _BUCKETED[key] = {n: f"{n}_{tag}" for n in tables}
+    return {n: spark.table(t) for n, t in _BUCKETED[key].items()}
+
+
 def event_split(spark: SparkSession, sf: str) -> DataFrame:
     return written(spark, sf, "event_split", lambda: DS.temporal_split(event_labelled(spark, sf)))
 

@@ -147,3 +147,11 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(k == 3, "Skincare & Beuty").when(k == 4, "none").when(k == 5, "Mental Helath").when(k == 6, "tehc & gadgets"))
     more = c.where(k < 7).select("conv_id", (-1 - F.col("turn")).alias("turn"), planted.alias("text"))
     return c.select("conv_id", "turn", "text").unionByName(more)
+
+
+def word_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ordinal, keyword, category: the first longer word of every document as a keyword, in ten categories."""
+    d = read_table(spark, sf_dir, "documents")
+    word = F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0)
+    k = d.select("doc_id", word.alias("keyword")).where(F.col("keyword") != "").groupBy("keyword").agg(F.min("doc_id").alias("ordinal"))
+    return k.select("ordinal", "keyword", F.concat(F.lit("cat"), (F.col("ordinal") % 10).cast("string")).alias("category"))
