@@ -23,6 +23,7 @@ from ..operators import posts as P
 from ..operators import profile as PF
 from ..operators import recommend as R
 from ..operators import segments as S
+from ..operators import sentiment as SN
 from ..operators import sketches as SK
 from ..operators import textfeat as TF
 from ..operators.joins import join_keys
@@ -562,6 +563,12 @@ def n1(spark, sf):
     return TF.sentiment(G.processed(spark, sf), sentiment_lexicon(spark))
 
 
+@q("n1_sentiment_rules")
+def n1r(spark, sf):
+    """All published rules; SQL has none of them, see tests/test_sentiment.py."""
+    return SN.sentiment_by_rules(G.processed(spark, sf), sentiment_lexicon(spark))
+
+
 @q("n2_emotions")
 def n2(spark, sf):
     return TF.emotions(G.processed(spark, sf), emotion_lexicon(spark))

@@ -3,7 +3,7 @@ table writers, and the serving-table registry."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,10 @@ export = materialize
 
 
 def stage(df: DataFrame, path: str, name: str) -> DataFrame:
-    """A3: write the raw table and report (table_name, n_rows) from what was written."""
-    out = materialize(df, path)
-    return out.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+    """A3: write the raw table and report (table_name, n_rows); rows are counted while they are written."""
+    seen = Observation()
+    materialize(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), path)
+    return df.sparkSession.createDataFrame([(name, seen.get["n_rows"])], "table_name string, n_rows long")
 
 
 def load_serving(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
