@@ -32,14 +32,31 @@ TIMES = (1, 2, 4)  # a beginning is a token of its own when so many different wo
 LISTS = 2  # lexicons per kind of token
 TOKENS = 20_000  # tokens in all lexicons, and features of the classifier, at most
 PRECISE = 0.85  # share of label 1 among a lexicon token's rows, at least
-CACHED = 50_000  # words whose tokens a worker keeps
 SUMMED = 100_000  # tokens whose sums a task holds before it reports them
 
-PREFIXED = re.compile(r"\d+x(\d+)\^")  # words have no ^
+PREFIXED = re.compile(r"(\d+)x(\d+)\^")  # words have no ^
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-REPEAT = re.compile(r"([^\W\d])\1{3}")
-PATTERNS = (lambda t: t.count("!") * 200 > len(t), lambda t: len(SHOUT.findall(t)) * 60 > len(t),
-            lambda t: REPEAT.search(t) is not None)
+LETTER = re.compile(r"[^\W\d]")
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def shouts(text: str, points: np.ndarray) -> bool:
+    """More than one word in capitals per 60 characters; the words are looked for only where three capitals follow another."""
+    capital = (points >= 65) & (points <= 90)
+    return bool((capital[2:] & capital[1:-1] & capital[:-2]).any()) and len(SHOUT.findall(text)) * 60 > len(text)
+
+
+def repeats(text: str, points: np.ndarray) -> bool:
+    """A letter four times in a row."""
+    same = points[1:] == points[:-1]
+    at = np.flatnonzero(same[2:] & same[1:-1] & same[:-2])
+    return any(LETTER.match(chr(c)) for c in np.unique(points[at]).tolist())
+
+
+PATTERNS = (lambda t, points: t.count("!") * 200 > len(t), shouts, repeats)
 LEXICONS = (1 + len(PREFIXES)) * LISTS
 VOTERS = LEXICONS + len(PATTERNS)
 
@@ -60,27 +77,26 @@ def tokens(text: str) -> list[str]:
 
 
 class Lookup:
-    """What a table of tokens has for a text, kept per word in the worker."""
+    """What a table of tokens has for a text: words by one intersection, beginnings by their bytes, length by length."""
 
     def __init__(self, table: dict[str, int]):
-        self.table, self.kept = table, {}
-        self.begun = {t.split("x", 1)[1] for t in table if PREFIXED.match(t)}
+        self.whole: dict[bytes, int] = {}
+        self.begun: dict[int, dict[bytes, list[tuple[int, int]]]] = {n: {} for n in PREFIXES}
+        for token, entry in table.items():
+            if m := PREFIXED.match(token):
+                start = token[m.end():].encode("latin-1")
+                self.begun[int(m[2])].setdefault(start, []).append((int(m[1]), entry))
+            else:
+                self.whole[token.encode("latin-1")] = entry
+        self.names = frozenset(self.whole)
 
     def of(self, text: str) -> set[int]:
-        if not self.table:
-            return set()
-        if len(self.kept) > CACHED:
-            self.kept.clear()
-        out, shared = set(), []
-        for w in words(text):
-            found = self.kept.get(w)
-            if found is None:
-                found = self.kept[w] = (self.table.get(w.decode("latin-1")), [p for p in beginnings(w) if p in self.begun])
-            if found[0] is not None:
-                out.add(found[0])
-            shared += found[1]
-        for p, n in Counter(shared).items():
-            out.update(self.table[k] for t in TIMES if n >= t and (k := f"{t}x{p}") in self.table)
+        found = words(text)
+        out = {self.whole[w] for w in found & self.names}
+        for n, known in self.begun.items():
+            found = [w for w in found if len(w) > n]
+            for start, shared_by in Counter([s for w in found if (s := w[:n]) in known]).items():
+                out.update([entry for times, entry in known[start] if shared_by >= times])
         return out
 
 
@@ -130,7 +146,7 @@ def lexicons(found: list[tuple[str, float, float]]) -> dict[str, int]:
     """Token to voter: tokens of a kind are dealt out over its lists in order of strength."""
     out, dealt = {}, [0] * (1 + len(PREFIXES))
     for token, _, _ in found:
-        kind = 1 + PREFIXES.index(int(m[1])) if (m := PREFIXED.match(token)) else 0
+        kind = 1 + PREFIXES.index(int(m[2])) if (m := PREFIXED.match(token)) else 0
         out[token] = kind * LISTS + dealt[kind] % LISTS
         dealt[kind] += 1
     return out
@@ -147,8 +163,9 @@ def vote_factory(lexicon):
                 v = 0
                 for j in lookup.of(t):
                     v |= 1 << j
+                points = code_points(t)
                 for j, p in enumerate(PATTERNS, LEXICONS):
-                    v |= bool(p(t)) << j
+                    v |= bool(p(t, points)) << j
                 out.append(v)
             return [out]
         return function
