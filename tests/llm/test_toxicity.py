@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -95,3 +96,14 @@ def test_scores_equal_plain_sums_of_given_weights(spark, make_docs):
     got = {x["doc_id"]: x for x in X.score(make_docs(list(enumerate(texts))), {"features": features, "weights": np.array(weights)}).collect()}
     for i, t in enumerate(texts):
         assert abs(got[i]["score"] - plain(t)) < 1e-9 and got[i]["predicted"] == (plain(t) >= .3), t
+
+
+def test_patterns_equal_their_regular_expressions():
+    shout, repeat = re.compile(r"\b[A-Z]{3,}\b"), re.compile(r"([^\W\d])\1{3}")
+    r = random.Random(9)
+    texts = ["", "a", "AAA", "AB", "xABCD ABC", "AAAA", "aaaa", "____", "1111", "!!!!", "²²²²", "ééééé", "    ", "a\U0001F600\U0001F600\U0001F600\U0001F600"]
+    texts += ["".join(r.choice("aAB !_1é") for _ in range(r.randrange(60))) for _ in range(3000)]
+    texts += ["".join(c * r.randrange(1, 6) for c in r.choices("abA!1_ ", k=9)) for _ in range(1000)]
+    for t in texts:
+        want = [t.count("!") * 200 > len(t), len(shout.findall(t)) * 60 > len(t), repeat.search(t) is not None]
+        assert [bool(p(t, X.code_points(t))) for p in X.PATTERNS] == want, t
