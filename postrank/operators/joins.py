@@ -53,6 +53,19 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
+SEGMENT_ROWS = 100_000  # rows of a table per segment that may be broadcast: some tens of megabytes at most
+
+
+def join_segments(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """:func:`join_keys` of many ``rows`` with a table of one row per segment, where it is always the table that is sent.
+
+    Sizes known before a run take rows that are spread over their segments for the smaller side, and an inner join would
+    then broadcast those. ``table`` is counted; beyond ``max_rows`` both sides are sorted and merged.
+    """
+    table, ok = fits_broadcast(table, max_rows)
+    return join_keys(rows, F.broadcast(table) if ok else table.hint("merge"), keys, how)
+
+
 def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join to a fixed-size dimension table (size set in code): broadcast."""
     return big.join(F.broadcast(dim), on, how)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dims import ALL, CATEGORICAL_FEATURES, CONTROLLABLE, FEATURE_NAMES, NON_CONTROLLABLE, NUMERIC_FEATURES
-from .joins import join_keys
+from .joins import join_keys, join_segments
 from .segments import DIGITS, KEYS, keyed, rollup_keys, segment_memberships
 
 LABEL = "virality_index"
@@ -282,7 +282,7 @@ def segment_contributions(model_ready: DataFrame, lam: float | None = 1.0, split
         test = test.withColumns({k: F.lit(v) for k, v in only.items()})
     else:
         test = segment_memberships(test)
-    t = join_keys(test, coef, KEYS, "inner")  # one row per segment
+    t = join_segments(test, coef, KEYS)  # one row per segment
     v = [F.col(f"_v_{names[i]}") for i in range(d)]
     pred = F.col("intercept") + reduce(lambda a, b: a + b, [F.col(f"b{i}") * v[i] for i in range(d)])
     t = t.withColumn("_p", F.least(F.greatest(pred, F.lit(0.0)), F.lit(100.0)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import ALL, RANGE_FEATURES, SEGMENT_KEYS
-from .joins import join_keys
+from .joins import join_keys, join_segments
 
 KEYS = SEGMENT_KEYS
 DIGITS = 9  # decimal places at which predictions and their means are compared
@@ -251,7 +251,7 @@ def optimal_ranges(labelled: DataFrame, score: str = "virality_index",
         long = k.select(*KEYS, "_y", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v"))
                                                          for f in feats])).alias("x")).select(*KEYS, "_y", "x.f", "x.v")
         counts = long.groupBy(*KEYS, "_y", "f", "v").agg(F.count("*").alias("n"))
-        best = join_keys(_rolled(counts, ["_y", "f", "v"]), thr, KEYS, "inner").where(F.col("_y") >= F.col("_thr"))
+        best = join_segments(_rolled(counts, ["_y", "f", "v"]), thr, KEYS).where(F.col("_y") >= F.col("_thr"))
         best = best.groupBy(*KEYS, "f", "v").agg(F.sum("n").alias("n"))
         ends = best.groupBy(*KEYS).pivot("f", feats).agg(F.percentile("v", lo, F.col("n")).alias("opt_min"),
                                                          F.percentile("v", hi, F.col("n")).alias("opt_max"))

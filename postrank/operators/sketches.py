@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import RANGE_FEATURES
-from .joins import join_keys
+from .joins import join_keys, join_segments
 from .segments import KEYS, keyed, rollup_keys, segment_memberships
 
 K = 800  # of a quantile sketch
@@ -49,7 +49,7 @@ def label_thresholds(labelled: DataFrame, score: str = "virality_index", top: fl
 def top_posts_of_segments(labelled: DataFrame, score: str = "virality_index", top: float = 0.75, k: int = K) -> DataFrame:
     """Each post once per segment in whose top part its label is, with thr."""
     rows = keyed(labelled).withColumn("_y", known(F.col(score))).where(F.col("_y").isNotNull())
-    return join_keys(segment_memberships(rows), label_thresholds(labelled, score, top, k), KEYS, "inner").where(F.col("_y") >= F.col("thr"))
+    return join_segments(segment_memberships(rows), label_thresholds(labelled, score, top, k), KEYS).where(F.col("_y") >= F.col("thr"))
 
 
 def optimal_ranges(labelled: DataFrame, score: str = "virality_index", top: float = 0.75, lo: float = 0.25, hi: float = 0.75, k: int = K) -> DataFrame:
@@ -79,7 +79,7 @@ def range_errors(labelled: DataFrame, ranges: DataFrame, score: str = "virality_
                  k: int = K) -> DataFrame:
     """Segment keys, n_top and the largest rank error of the ends in ``ranges`` among the segment's top posts."""
     have = [f for f, _ in RANGE_FEATURES if f in labelled.columns]
-    rows = join_keys(top_posts_of_segments(labelled, score, top, k), ranges, KEYS, "inner")
+    rows = join_segments(top_posts_of_segments(labelled, score, top, k), ranges, KEYS)
     errors = [rank_error(known(F.col(f)), F.col(f"{f}_opt_{name}"), p) for f in have for name, p in (("min", lo), ("max", hi))]
     worst = reduce(lambda a, b: F.greatest(a, F.coalesce(b, F.lit(0.0))), errors, F.lit(0.0))
     return rows.groupBy(*KEYS).agg(F.count("*").alias("n_top"), worst.alias("error"))

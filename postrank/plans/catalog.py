@@ -26,7 +26,7 @@ from ..operators import segments as S
 from ..operators import sentiment as SN
 from ..operators import sketches as SK
 from ..operators import textfeat as TF
-from ..operators.joins import join_keys
+from ..operators.joins import join_keys, join_segments
 from ..operators.labels import community_baseline, global_min_max, median_score, scale_min_max
 from ..session import scratch_path
 from ..sources import adapters as A
@@ -380,7 +380,7 @@ def m8b(spark, sf):
     """Optimal ranges by sketch: whether the segment's threshold and the ends of its ranges are within the stated rank error."""
     posts = G.event_split(spark, sf)
     thr = SK.label_thresholds(posts)
-    labels = join_keys(S.segment_memberships(posts), thr, S.KEYS, "inner").groupBy(*S.KEYS).agg(
+    labels = join_segments(S.segment_memberships(posts), thr, S.KEYS).groupBy(*S.KEYS).agg(
         F.max("n").alias("n"), (SK.rank_error(F.col("virality_index"), F.col("thr"), 0.75) <= SK.RANK_ERROR).alias("threshold_within"))
     ends = SK.range_errors(posts, SK.optimal_ranges(posts)).select(*S.KEYS, (F.col("error") <= SK.RANK_ERROR).alias("ends_within"))
     return join_keys(labels, ends, S.KEYS)

@@ -1,12 +1,14 @@
 """Sketches against exact figures, on skewed data."""
 
 import math
+import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from postrank.operators import segments as S
 from postrank.operators import sketches as SK
+from postrank.operators.joins import join_segments
 
 
 def skewed(spark, n=60_000):
@@ -63,3 +65,15 @@ def test_distinct_counts(spark):
     many = spark.range(200_000).select((F.col("id") % 50_000).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
     counts = dict(map(tuple, SK.distinct_counts(many).collect()))
     assert abs(counts["a"] / 50_000 - 1) < .06 and counts["b"] == 0
+
+
+def test_segment_joins_never_send_the_posts(spark):
+    """Rows spread over their segments look small before a run; the table of segments is sent, or none."""
+    path = f"{tempfile.mkdtemp(prefix='run-', dir='/tmp')}/posts"
+    skewed(spark, 2000).write.parquet(path)
+    posts = spark.read.parquet(path)
+    thr = SK.label_thresholds(posts)
+    for out in (SK.top_posts_of_segments(posts), join_segments(S.segment_memberships(posts), thr, S.KEYS),
+                join_segments(S.segment_memberships(posts), thr, S.KEYS, max_rows=1), SK.range_errors(posts, SK.optimal_ranges(posts))):
+        assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+    assert join_segments(S.segment_memberships(posts), thr, S.KEYS, max_rows=1).count() == 8 * 2000
