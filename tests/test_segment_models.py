@@ -70,3 +70,12 @@ def test_grid_scores_the_median_post_of_each_community(spark):
     fixed = coef.select(*KEYS, F.when(F.col("category") == "ALL", 40.0).alias("o_size"))
     again = {tuple(r)[:6]: r[6] for r in M.model_grid(coef, profiles, posts, ["size", "hour_of_day", "day_of_week"], fixed).collect()}
     assert again["ALL", "ALL", "ALL", "c0", 0, 0] == 81 and again["cat", None, None, "c0", 0, 0] == 100
+
+
+def test_community_profiles_are_medians_without_held_values(spark):
+    rows = spark.createDataFrame([("a", 1, 2.5), ("a", 4, None), ("a", 2, 7.5), ("b", None, float("inf")), (None, 3, 1.0), (None, 3, -1.0), ("c", 5, -0.25)],
+                                 "subreddit string, n int, x double")
+    out = M.community_profiles(rows, {"n": "n", "x y": "x"})
+    want = rows.groupBy("subreddit").agg(F.median("n").alias("p_n"), F.median("x").alias("p_x y"))
+    assert out.columns == want.columns and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString() and M.community_profiles(rows.limit(0), {"n": "n"}).count() == 0

@@ -49,3 +49,22 @@ def test_category_and_unmapped(spark):
     got = [r.category for r in TF.add_category(df).collect()]
     assert got == ["Food & Cooking", "Food & Cooking", "unknown", "unknown"]
     assert [r.subreddit for r in TF.unmapped(df).collect()] == [" DIY ", "pets"]
+
+
+def test_tokens_are_added_up_without_sorting_them(spark):
+    """The aggregate over exploded tokens hashes them; rows of one post_id are added up, a missing id is one like others."""
+    from postrank.operators.textfeat import token_features
+    rows = [(1, "a", "Good day", "not good"), (1, "a", "Good day", "not good"), (2, None, "", None), (None, "b", "bad", "joy"), (3, "b", "!!", "")]
+    posts = spark.createDataFrame(rows, "post_id long, subreddit string, title string, body string")
+    emo = spark.createDataFrame([("joy", "joy"), ("good", "joy")], "word string, emotion string")
+    sent = spark.createDataFrame([("good", 2.0), ("bad", -3.0)], "word string, valence double")
+    out = token_features(posts, emo, sent, carry=[F.col("subreddit")])
+    got = {r["post_id"]: r for r in out.collect()}
+    s = 2 * (2 + 2 * -0.74)
+    assert set(got) == {1, 2, 3, None} and out.count() == 4
+    assert got[1]["nrc_joy"] == 4 / 4 and abs(got[1]["vader_compound"] - s / (s * s + 15) ** .5) < 1e-12 and got[1]["subreddit"] == "a"
+    assert got[2]["nrc_joy"] is None and got[2]["vader_compound"] is None and got[2]["subreddit"] is None
+    assert got[None]["nrc_joy"] == .5 and got[3]["nrc_joy"] == 0.0 and got[3]["vader_compound"] == 0.0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Generate") - 2500:plan.index("Generate")]  # what stands right above the explode
+    assert "SortAggregate" not in below[below.rindex("Aggregate(") - 20:]
