@@ -834,13 +834,20 @@ def r5(spark, sf):
 
 # --- S: streaming -----------------------------------------------------------------
 
+STREAM_BATCHES = 4  # micro-batches of a run, about
+STREAM_FILE_ROWS = 10_000  # posts of one source file, about: some tens of megabytes of text
+
+
 def _stream_run(spark, sf):
     import uuid
     from ..streaming.collect import start_collect
     src = _scratch(spark, sf, "s_source")
-    io.materialize(G.raw(spark, sf).repartition(4), src)  # a folder of files = the stream
+    # a folder of files = the stream: more files for more documents, and as many of them to a batch as make a few batches
+    files = max(STREAM_BATCHES, -(-spark.read.parquet(f"{sf}/documents.parquet").count() // STREAM_FILE_ROWS))
+    io.materialize(G.raw(spark, sf).repartition(files), src)
     run = scratch_path(spark, f"s_run_{uuid.uuid4().hex[:8]}")
-    start_collect(spark, src, f"{run}/out", f"{run}/checkpoint", f"{run}/progress", max_files_per_trigger=1).awaitTermination()
+    start_collect(spark, src, f"{run}/out", f"{run}/checkpoint", f"{run}/progress",
+                  max_files_per_trigger=-(-files // STREAM_BATCHES)).awaitTermination()
     return run
 
 

@@ -219,3 +219,21 @@ def test_gbt_permutation_importance_finds_the_signal(spark):
            permutation_importance(model, df.filter("split = 'test'")).collect()}
     assert max(imp, key=imp.get) == "hour_of_day" and imp["hour_of_day"] > 0.5
     assert abs(imp["nrc_joy"]) < 0.1
+
+
+def test_stream_source_files_follow_the_documents(spark, monkeypatch):
+    """More documents make more files, not larger ones, and still a few micro-batches."""
+    import os
+    import tempfile
+
+    from postrank.plans import catalog as C
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.range(90).select(F.col("id").alias("doc_id"), F.lit("One. two").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 20).alias("source")).write.parquet(f"{d}/documents.parquet")
+    spark.range(90).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"),
+                           F.lit(2.0).alias("value")).write.parquet(f"{d}/events.parquet")
+    monkeypatch.setattr(C, "STREAM_FILE_ROWS", 10)
+    run = C._stream_run(spark, d)
+    source, run = (p.removeprefix("file:") for p in (C._scratch(spark, d, "s_source"), run))
+    assert sum(f.endswith(".parquet") for f in os.listdir(source)) == 9
+    assert len([f for f in os.listdir(f"{run}/progress") if f.startswith("batch=")]) == 3
+    assert spark.read.parquet(f"{run}/progress/batch=*").agg(F.sum("checked")).first()[0] == 90
