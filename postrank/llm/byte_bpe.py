@@ -3,13 +3,13 @@
 A text is split into words by the published pattern. A word is an array of its bytes, and ranked merges are
 folded over it: the neighbours of the lowest rank merge, leftmost first, until no neighbours have a rank.
 
-Distinct words that occur often are folded once, by Spark higher-order functions with the rank map as a
-literal of the plan, and their ids are broadcast (at most FREQUENT words of FREQUENT_CHARS characters).
-The pass over the texts looks words up; distinct words that the table lacks are folded in the Python
-worker, with a heap, and kept there. Decoding concatenates the ids' bytes.
+Every distinct word of the whole texts is folded once, by Spark higher-order functions with the rank map as a
+literal of the plan. Texts go in blocks of a bounded number of distinct words: a block numbers its words, its texts
+become numbers, and its words are sent to the fold by a hash. The words' ids come back to their block, where
+the ids of its texts are put together. Decoding concatenates the ids' bytes.
 
-:func:`fold` alone can encode every word where it stands, but at seven to ten times the time; the README
-has the figures.
+The fold copies a word's parts at every merge, so its time grows with the square of a word's length. Words beyond
+LONG bytes go through the same merges with a heap, in the pass that numbers the words.
 """
 
 from __future__ import annotations
@@ -17,21 +17,25 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, map_text, quoted, shared
-from .token_count import Splitter, frequent_pieces
+from .common import KEPT, TEXT, arrow_type, kept_columns, let, map_text, quoted, shared
+from .token_count import Splitter
 
-FREQUENT = 131_072  # distinct words whose ids are broadcast
-FREQUENT_CHARS = 32  # longest of them
-CACHED = 100_000  # other words whose ids a worker keeps
-SHORT = 64  # bytes of a word up to which a list is quicker than a heap
+BLOCK = 200_000  # distinct words at which a block of texts ends
+BLOCK_WORDS = 4_000_000  # words at which it ends as well
+LONG = 1024  # bytes of a word up to which Spark folds it
 NO_RANK = 2**31 - 1
 
 
@@ -98,95 +102,224 @@ def fold(word: Column, vocabulary: Vocabulary, table: Column) -> Column:
         rest = F.slice(F.sequence(F.lit(1), F.length(chars)), 1, F.length(chars) - 1)
         ranks = F.transform(rest, lambda i: rank(chars.substr(i, F.lit(2))))
         merged = F.aggregate(rest, F.struct(parts.alias("parts"), ranks.alias("ranks")), merge)
-        return F.transform(merged["parts"], lambda p: vocabulary.table.find(table, p))
+        ids = F.transform(merged["parts"], lambda p: vocabulary.table.find(table, p))
+        return let(rank(chars), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(ids))
 
     return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
 
 
-def frequent_words(texts: DataFrame, vocabulary: Vocabulary, size: int = FREQUENT) -> dict[str, list[int]]:
-    """Ids of frequent words, folded by Spark. The words come from a bounded sample of ``texts`` (column text), as
-    in :func:`token_count.frequent_pieces`; the choice affects speed only."""
-    split = vocabulary.published
-    top = frequent_pieces(texts, lambda: Splitter(split), size, FREQUENT_CHARS)
-    ids = top.select("word", let(vocabulary.table.literal(), lambda t: fold(F.col("word"), vocabulary, t)).alias("ids"))
-    return {w: x for b in ids.toArrow().to_batches() for w, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-
-
-class Encoder:
-    """Ids of words, packed as little-endian 32-bit integers, behind the two tiers."""
-
-    def __init__(self, ranks: dict[bytes, int], published: str, table: dict[str, bytes]):
-        self.ranks, self.split, self.table, self.cache = ranks, Splitter(published), table, {}
-        self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
-
-    def word(self, w: str) -> bytes:
-        b = w.encode("utf-8", "surrogatepass")
-        merge = list_merge if len(b) <= SHORT else heap_merge
-        return b"".join(map(self.packed.__getitem__, merge(b, self.ranks)))
-
-    def encode(self, text: str) -> bytes:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        parts = self.split(text)
-        found = list(map(self.table.get, parts))
-        if None in found:
-            cache = self.cache
-            for i, x in enumerate(found):
-                if x is None:
-                    w = parts[i]
-                    found[i] = ids = cache.get(w)
-                    if ids is None:
-                        found[i] = cache[w] = self.word(w)
-        return b"".join(found)
-
-
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = FREQUENT, packed: bool = False) -> DataFrame:
+class Block:
+    """Some texts as the numbers of their words, distinct words numbered as they come."""
+
+    def __init__(self, part: int, n: int):
+        self.part, self.n, self.words = part, n, 0
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.codes: list[bytes] = []
+        self.kept: list[pa.Array] = []
+
+    def code(self, words: list[str]) -> np.ndarray:
+        self.words += len(words)
+        return np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
+
+    def key(self) -> int:
+        """Of the place and the words: a second reading that finds other rows gets another key."""
+        digest = xxhash.xxh64(f"{self.part} {self.n}")
+        for w in self.numbers:
+            digest.update(w.encode("utf-8", "surrogatepass") + b"\xff")
+        return digest.intdigest() - 2**63
+
+
+def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], size: int, packed: bool) -> Iterator[Block]:
+    """The texts (last column) in blocks, which end by the texts alone, wherever batches end. With ``packed``, they hold
+    their texts' numbers and the first column."""
+    part = TaskContext.get().partitionId()
+    block = Block(part, 0)
+    for b in batches:
+        start = 0
+        for i, x in enumerate(b.column(b.num_columns - 1)):
+            codes = block.code(split(x.as_py()) if x.is_valid else [])
+            if packed:
+                block.codes.append(pack(codes))
+            if len(block.numbers) > size or block.words > BLOCK_WORDS:
+                if packed:
+                    block.kept.append(b.column(0).slice(start, i + 1 - start))
+                yield block
+                block, start = Block(part, block.n + 1), i + 1
+        if packed and start < b.num_rows:
+            block.kept.append(b.column(0).slice(start))
+    yield block
+
+
+def pack(codes: np.ndarray) -> bytes:
+    """Numbers of words by planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(codes).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    planes = pa.decompress(packed[4:], decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``values``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def is_long(word: str) -> bool:
+    return len(word) > LONG // 4 and len(word.encode("utf-8", "surrogatepass")) > LONG
+
+
+def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) -> DataFrame:
+    """block, numbers, sizes, ids: for the words of each block of ``texts`` (only column: the text), their numbers, the
+    numbers of their ids, and these. Every distinct word up to LONG bytes is folded once, where a hash of
+    it leads; a block sends each of its words once."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    published = vocabulary.published
+    pair = pa.struct([("word", pa.string()), ("number", pa.int32())])
+
+    def run(batches):
+        for block in blocks(batches, Splitter(published), size, packed=False):
+            words = [w for w in block.numbers if not is_long(w)]
+            shares = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % n for w in words), np.int32, len(words))
+            order = np.argsort(shares, kind="stable")
+            found, at = np.unique(shares[order], return_index=True)
+            numbers = np.fromiter(map(block.numbers.__getitem__, words), np.int32, len(words))
+            pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()).take(pa.array(order)), pa.array(numbers[order])], fields=list(pair))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(np.full(len(found), block.key(), np.int64)),
+                 pa.ListArray.from_arrays(pa.array(np.r_[at, len(words)].astype(np.int32)), pairs)], names=["share", "block", "words"])
+
+    sent = texts.mapInArrow(run, "share int, block bigint, words array<struct<word: string, number: int>>")
+    words = sent.repartitionById(n, "share").select("share", "block", F.inline("words"))
+    once = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "number")).alias("at"))
+    ids = let(vocabulary.table.literal(), lambda t: fold(F.col("word"), vocabulary, t))
+    back = once.select("share", ids.alias("ids"), "at").select("share", "ids", F.inline("at"))
+    tables = back.groupBy("share", "block").agg(F.collect_list(F.struct("number", "ids")).alias("words"))
+    return tables.select("block", F.col("words.number").alias("numbers"),
+                         F.transform("words.ids", F.size).alias("sizes"), F.flatten("words.ids").alias("ids"))
+
+
+def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields: T.StructType,
+            results: Callable[[dict[bytes, int]], Callable[[list[np.ndarray]], list]], keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``; by default all) with columns that a function makes from the ids of some texts.
+
+    Texts are read twice: once for their words, once for their words' numbers. The rows of ``df`` have to come in the same
+    order both times, as they do from files; where they don't, the query fails. Blocks of texts, as numbers, are
+    shuffled to their words' ids; a task holds one block's table at a time."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keep = kept_columns(df, fields.names, keep)
+    inner = df.select(F.struct(F.lit(True).alias("__row"), *[quoted(c) for c in keep]).alias(KEPT),
+                      quoted(text).cast("string").alias(TEXT))
+    kept = T.StructField(KEPT, inner.schema[KEPT].dataType)
+    ranks, published = shared(spark, vocabulary.ranks), vocabulary.published
+    lists = pa.list_(pa.int32())
+
+    def numbered(batches):
+        for block in blocks(batches, Splitter(published), size, packed=True):
+            key, at = block.key(), 0
+            if long := [w for w in block.numbers if is_long(w)]:
+                ids = [heap_merge(w.encode("utf-8", "surrogatepass"), ranks.value) for w in long]
+                table = [[block.numbers[w] for w in long], [len(x) for x in ids], [i for x in ids for i in x]]
+                yield row_batch(pa.nulls(1, block.kept[0].type), key, [None], [pa.array([x], lists) for x in table])
+            for rows in block.kept:
+                yield row_batch(rows, key, block.codes[at:at + len(rows)], [pa.nulls(len(rows), lists)] * 3)
+                at += len(rows)
+
+    def row_batch(rows, key, codes, table):
+        return pa.RecordBatch.from_arrays([rows, pa.array([key] * len(rows), pa.int64()), pa.array(codes, pa.binary()), *table],
+                                          names=[KEPT, "block", "codes", "numbers", "sizes", "ids"])
+
+    schema = T.StructType([kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()),
+                           *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("numbers", "sizes", "ids")]])
+    rows = inner.mapInArrow(numbered, schema).unionByName(
+        folded_words(inner.select(TEXT), vocabulary, size), allowMissingColumns=True)
+    laid = rows.repartition(n, "block").sortWithinPartitions("block", F.col("codes").isNotNull())
+    arrow = [arrow_type(f.dataType) for f in fields.fields]
+
+    def run(batches):
+        function, table = results(ranks.value), Words(None)
+        for b in batches:
+            ids = []
+            for i, (key, codes) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+                if key != table.key:
+                    table = Words(key)
+                if codes.is_valid:
+                    ids.append(table.ids(unpack(codes.as_py())))
+                else:
+                    table.add(*[b.column(k)[i].values.to_numpy() for k in (3, 4, 5)])
+            if ids:
+                out = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(function(ids), arrow)]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(b.column(2).is_valid()), *out], names=[KEPT, *fields.names])
+
+    out = laid.mapInArrow(run, T.StructType([kept, *fields.fields]))
+    return out.select(*[F.col(KEPT).getField(c).alias(c) for c in keep], *[F.col(c) for c in fields.names])
+
+
+class Words:
+    """The ids of a block's words, by their numbers."""
+
+    def __init__(self, key: int | None):
+        self.key, self.parts, self.table = key, [], None
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        if not len(codes):
+            return np.zeros(0, "<u4")
+        if self.table is None:
+            numbers, sizes, ids = (map(np.concatenate, zip(*self.parts)) if self.parts else [np.zeros(0, np.int32)] * 3)
+            self.table = [np.zeros(numbers.max(initial=-1) + 1, np.int64) for _ in range(2)] + [ids.astype("<u4")]
+            self.table[0][numbers], self.table[1][numbers], self.parts = np.cumsum(sizes) - sizes, sizes, []
+        starts, sizes, ids = self.table
+        if codes.max() >= len(sizes) or not (of := sizes[codes]).all():
+            raise RuntimeError("a block lacks words: its rows came in another order when they were read again")
+        return gathered(ids, starts[codes], of)
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = BLOCK, packed: bool = False) -> DataFrame:
     """``df`` with ids: the token ids of each whole text as an array, or ``packed`` in binary as
     little-endian unsigned 32-bit integers.
 
-    A null or empty text has no ids. Repeated rows each get theirs; a column named ids is replaced. No row
-    is shuffled.
+    A null or empty text has no ids. Repeated rows each get theirs; a column named ids is replaced. A block
+    of texts ends at ``size`` distinct words; see :func:`encoded`.
     """
-    texts = df.select(quoted(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    table = {w: np.array(ids, dtype="<u4").tobytes() for w, ids in frequent_words(texts, vocabulary, size).items()}
-    tables = shared(df.sparkSession, (vocabulary.ranks, vocabulary.published, table))
-
-    def make():
-        encoder = Encoder(*tables.value)
-
-        def function(column: pa.Array) -> list:
-            out = [encoder.encode(x.as_py()) if x.is_valid else b"" for x in column]
+    def results(_):
+        def function(ids: list[np.ndarray]) -> list:
             if packed:
-                return [out]
-            starts = np.cumsum([0, *(len(x) // 4 for x in out)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(out), dtype="<i4")))]
+                return [[x.tobytes() for x in ids]]
+            starts = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids).astype(np.int32)))]
         return function
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    return map_text(df, text, T.StructType([T.StructField("ids", kind)]), make)
-
+    return encoded(df, vocabulary, text, size, T.StructType([T.StructField("ids", kind)]), results)
 
-def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = FREQUENT) -> DataFrame:
-    """``df`` with packed ids as of :func:`encode` and bytes, decoded from them as of :func:`decode`, in one pass over the
-    texts. A null or empty text has no ids and no bytes; columns named ids or bytes are replaced."""
-    texts = df.select(quoted(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    table = {w: np.array(ids, dtype="<u4").tobytes() for w, ids in frequent_words(texts, vocabulary, size).items()}
-    tables = shared(df.sparkSession, (vocabulary.ranks, vocabulary.published, table))
 
-    def make():
-        encoder = Encoder(*tables.value)
-        piece = {r: b for b, r in encoder.ranks.items()}.__getitem__
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``; by default all) with packed ids as of :func:`encode` and bytes, decoded from them as
+    of :func:`decode`. A null or empty text has no ids and no bytes; columns named ids or bytes are replaced."""
+    def results(ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, r in ranks.items():
+            pieces[r] = b
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        starts, values = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
 
-        def function(column: pa.Array) -> list:
-            ids = [encoder.encode(x.as_py()) if x.is_valid else b"" for x in column]
-            return [ids, [b"".join(map(piece, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]]
+        def function(ids: list[np.ndarray]) -> list:
+            return [[x.tobytes() for x in ids], [gathered(values, starts[x], sizes[x]).tobytes() for x in ids]]
         return function
 
-    return map_text(df, text, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("bytes", T.BinaryType())]), make)
+    fields = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("bytes", T.BinaryType())])
+    return encoded(df, vocabulary, text, size, fields, results, keep)
 
 
 def list_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ranked merges of a short word: the parts, and the ranks of neighbours."""
+    """Ranked merges of a word, in the plain form that the others are tested against."""
     rank = ranks.get
     if (whole := rank(word)) is not None:
         return [whole]
