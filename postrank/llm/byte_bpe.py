@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import KEPT, TEXT, arrow_type, kept_columns, let, map_text, quoted, shared
 from .token_count import Splitter
 
-BLOCK = 200_000  # distinct words at which a block of texts ends
+BLOCK = 400_000  # distinct words at which a block of texts ends
 BLOCK_WORDS = 4_000_000  # words at which it ends as well
 LONG = 1024  # bytes of a word up to which Spark folds it
 NO_RANK = 2**31 - 1
@@ -70,6 +70,7 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int], published: str):
         self.ranks, self.published = ranks, published
+        self.width = max(1, (max(ranks.values(), default=0).bit_length() + 7) // 8)  # bytes of an id
         self.table = Table({b.decode("latin-1"): r for b, r in ranks.items()}, "int")
 
 
@@ -117,16 +118,14 @@ class Block:
         self.codes: list[bytes] = []
         self.kept: list[pa.Array] = []
 
-    def code(self, words: list[str]) -> np.ndarray:
+    def code(self, words: list[str]) -> list[int]:
         self.words += len(words)
-        return np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
+        return list(map(self.numbers.__getitem__, words))
 
     def key(self) -> int:
         """Of the place and the words: a second reading that finds other rows gets another key."""
-        digest = xxhash.xxh64(f"{self.part} {self.n}")
-        for w in self.numbers:
-            digest.update(w.encode("utf-8", "surrogatepass") + b"\xff")
-        return digest.intdigest() - 2**63
+        place = f"{self.part} {self.n}".encode()
+        return xxhash.xxh64_intdigest(b"\xff".join([place, *map(str.encode, self.numbers)])) - 2**63
 
 
 def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], size: int, packed: bool) -> Iterator[Block]:
@@ -150,9 +149,9 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]],
     yield block
 
 
-def pack(codes: np.ndarray) -> bytes:
+def pack(codes: list[int]) -> bytes:
     """Numbers of words by planes of their bytes, compressed."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    planes = np.ascontiguousarray(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T)
     return len(codes).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -168,38 +167,50 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def is_long(word: str) -> bool:
-    return len(word) > LONG // 4 and len(word.encode("utf-8", "surrogatepass")) > LONG
-
-
 def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) -> DataFrame:
-    """block, numbers, sizes, ids: for the words of each block of ``texts`` (only column: the text), their numbers, the
-    numbers of their ids, and these. Every distinct word up to LONG bytes is folded once, where a hash of
-    it leads; a block sends each of its words once."""
+    """block, numbers, sizes, ids: for the words of each block of ``texts`` (only column: the text), their numbers, how many
+    ids they have, and these, each in the vocabulary's ``width`` of bytes. Every distinct word up to LONG bytes is folded
+    once, where a hash of it leads; a block sends each of its words once."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    published = vocabulary.published
-    pair = pa.struct([("word", pa.string()), ("number", pa.int32())])
+    published, digits, lists = vocabulary.published, 2 * vocabulary.width, pa.list_(pa.int32())
 
     def run(batches):
         for block in blocks(batches, Splitter(published), size, packed=False):
-            words = [w for w in block.numbers if not is_long(w)]
-            shares = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % n for w in words), np.int32, len(words))
+            words, numbers = [], []
+            for w, number in block.numbers.items():
+                if len(x := w.encode()) <= LONG:
+                    words.append(x)
+                    numbers.append(number)
+            shares = np.fromiter((zlib.crc32(x) % n for x in words), np.int32, len(words))
             order = np.argsort(shares, kind="stable")
-            found, at = np.unique(shares[order], return_index=True)
-            numbers = np.fromiter(map(block.numbers.__getitem__, words), np.int32, len(words))
-            pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()).take(pa.array(order)), pa.array(numbers[order])], fields=list(pair))
+            found, first = np.unique(shares[order], return_index=True)
+            groups = np.split(order, first[1:]) if len(order) else []
+            joined, starts, key = [], [], block.key()
+            for group in groups:
+                some = [words[i] for i in group.tolist()]
+                joined.append(b"".join(some))
+                starts.append(np.cumsum([0, *map(len, some)], dtype=np.int32))
+            numbers = np.array(numbers, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(np.full(len(found), block.key(), np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.r_[at, len(words)].astype(np.int32)), pairs)], names=["share", "block", "words"])
+                [pa.array(found), pa.array([key] * len(found), pa.int64()), pa.array(joined, pa.binary()), pa.array(starts, lists),
+                 pa.array([numbers[g] for g in groups], lists)], names=["share", "block", "joined", "starts", "numbers"])
 
-    sent = texts.mapInArrow(run, "share int, block bigint, words array<struct<word: string, number: int>>")
-    words = sent.repartitionById(n, "share").select("share", "block", F.inline("words"))
+    def pair(i: Column) -> Column:
+        start = F.get("starts", i - 1)
+        word = F.col("joined").substr(start + 1, F.get("starts", i) - start)
+        return F.struct(word.cast("string").alias("word"), F.get("numbers", i - 1).alias("number"))
+
+    sent = texts.mapInArrow(run, "share int, block bigint, joined binary, starts array<int>, numbers array<int>")
+    words = sent.repartitionById(n, "share").select(
+        "share", "block", F.inline(F.transform(F.sequence(F.lit(1), F.size("numbers")), pair)))
     once = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "number")).alias("at"))
     ids = let(vocabulary.table.literal(), lambda t: fold(F.col("word"), vocabulary, t))
-    back = once.select("share", ids.alias("ids"), "at").select("share", "ids", F.inline("at"))
+    text = F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), "")
+    back = once.select("share", text.alias("ids"), "at").select("share", "ids", F.inline("at"))
     tables = back.groupBy("share", "block").agg(F.collect_list(F.struct("number", "ids")).alias("words"))
     return tables.select("block", F.col("words.number").alias("numbers"),
-                         F.transform("words.ids", F.size).alias("sizes"), F.flatten("words.ids").alias("ids"))
+                         F.transform("words.ids", lambda x: (F.length(x) / digits).cast("int")).alias("sizes"),
+                         F.unhex(F.array_join("words.ids", "")).alias("ids"))
 
 
 def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields: T.StructType,
@@ -215,42 +226,44 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields:
     inner = df.select(F.struct(F.lit(True).alias("__row"), *[quoted(c) for c in keep]).alias(KEPT),
                       quoted(text).cast("string").alias(TEXT))
     kept = T.StructField(KEPT, inner.schema[KEPT].dataType)
-    ranks, published = shared(spark, vocabulary.ranks), vocabulary.published
-    lists = pa.list_(pa.int32())
+    ranks, published, width = shared(spark, vocabulary.ranks), vocabulary.published, vocabulary.width
+    table = [T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+             T.StructField("ids", T.BinaryType())]
+    types = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
     def numbered(batches):
         for block in blocks(batches, Splitter(published), size, packed=True):
             key, at = block.key(), 0
-            if long := [w for w in block.numbers if is_long(w)]:
-                ids = [heap_merge(w.encode("utf-8", "surrogatepass"), ranks.value) for w in long]
-                table = [[block.numbers[w] for w in long], [len(x) for x in ids], [i for x in ids for i in x]]
-                yield row_batch(pa.nulls(1, block.kept[0].type), key, [None], [pa.array([x], lists) for x in table])
+            for w in block.numbers:
+                if len(w) > LONG // 4 and len(x := w.encode()) > LONG:
+                    ids = heap_merge(x, ranks.value)
+                    row = [block.numbers[w]], [len(ids)], b"".join(i.to_bytes(width) for i in ids)
+                    yield row_batch(pa.nulls(1, block.kept[0].type), key, [None], [pa.array([c], t) for c, t in zip(row, types)])
             for rows in block.kept:
-                yield row_batch(rows, key, block.codes[at:at + len(rows)], [pa.nulls(len(rows), lists)] * 3)
+                yield row_batch(rows, key, block.codes[at:at + len(rows)], [pa.nulls(len(rows), t) for t in types])
                 at += len(rows)
 
-    def row_batch(rows, key, codes, table):
-        return pa.RecordBatch.from_arrays([rows, pa.array([key] * len(rows), pa.int64()), pa.array(codes, pa.binary()), *table],
-                                          names=[KEPT, "block", "codes", "numbers", "sizes", "ids"])
+    def row_batch(rows, key, codes, columns):
+        return pa.RecordBatch.from_arrays([rows, pa.array([key] * len(rows), pa.int64()), pa.array(codes, pa.binary()), *columns],
+                                          names=schema.names)
 
-    schema = T.StructType([kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()),
-                           *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("numbers", "sizes", "ids")]])
+    schema = T.StructType([kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), *table])
     rows = inner.mapInArrow(numbered, schema).unionByName(
         folded_words(inner.select(TEXT), vocabulary, size), allowMissingColumns=True)
     laid = rows.repartition(n, "block").sortWithinPartitions("block", F.col("codes").isNotNull())
     arrow = [arrow_type(f.dataType) for f in fields.fields]
 
     def run(batches):
-        function, table = results(ranks.value), Words(None)
+        function, words = results(ranks.value), Words(None, width)
         for b in batches:
             ids = []
             for i, (key, codes) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
-                if key != table.key:
-                    table = Words(key)
+                if key != words.key:
+                    words = Words(key, width)
                 if codes.is_valid:
-                    ids.append(table.ids(unpack(codes.as_py())))
+                    ids.append(words.ids(unpack(codes.as_py())))
                 else:
-                    table.add(*[b.column(k)[i].values.to_numpy() for k in (3, 4, 5)])
+                    words.add(b.column(3)[i].values.to_numpy(), b.column(4)[i].values.to_numpy(), b.column(5)[i].as_py())
             if ids:
                 out = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(function(ids), arrow)]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(b.column(2).is_valid()), *out], names=[KEPT, *fields.names])
@@ -262,24 +275,31 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields:
 class Words:
     """The ids of a block's words, by their numbers."""
 
-    def __init__(self, key: int | None):
-        self.key, self.parts, self.table = key, [], None
+    def __init__(self, key: int | None, width: int):
+        self.key, self.width, self.parts, self.table = key, width, [], None
 
-    def add(self, *part: np.ndarray) -> None:
-        self.parts.append(part)
+    def add(self, numbers: np.ndarray, sizes: np.ndarray, ids: bytes) -> None:
+        self.parts.append((numbers, sizes, np.frombuffer(ids, np.uint8)))
 
     def ids(self, codes: np.ndarray) -> np.ndarray:
         if not len(codes):
             return np.zeros(0, "<u4")
         if self.table is None:
-            numbers, sizes, ids = (map(np.concatenate, zip(*self.parts)) if self.parts else [np.zeros(0, np.int32)] * 3)
-            self.table = [np.zeros(numbers.max(initial=-1) + 1, np.int64) for _ in range(2)] + [ids.astype("<u4")]
-            self.table[0][numbers], self.table[1][numbers], self.parts = np.cumsum(sizes) - sizes, sizes, []
+            self.table, self.parts = self.joined(), []
         starts, sizes, ids = self.table
         if codes.max() >= len(sizes) or not (of := sizes[codes]).all():
             raise RuntimeError("a block lacks words: its rows came in another order when they were read again")
         return gathered(ids, starts[codes], of)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each number begin, how many there are, and all ids."""
+        numbers, sizes, packed = map(np.concatenate, zip((np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8)), *self.parts))
+        ids = np.zeros((len(packed) // self.width, 4), np.uint8)
+        ids[:, 4 - self.width:] = packed.reshape(-1, self.width)
+        by_number = np.zeros((2, numbers.max(initial=-1) + 1), np.int64)
+        by_number[0, numbers], by_number[1, numbers] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+        return by_number[0], by_number[1], ids.view(">u4").ravel().astype("<u4")
+
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = BLOCK, packed: bool = False) -> DataFrame:
     """``df`` with ids: the token ids of each whole text as an array, or ``packed`` in binary as

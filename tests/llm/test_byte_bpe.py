@@ -61,6 +61,48 @@ def test_ids_equal_the_library_and_round_trip(spark, make_docs, vocabulary, libr
     assert byte_bpe.encode(docs.limit(0), vocabulary).count() == 0
 
 
+def test_every_distinct_word_is_folded(spark, vocabulary, library):
+    r = random.Random(4)
+    rare = [" " + "".join(r.choice("abeinrst") for _ in range(n)) for n in (33, 40, 60, 1000)] + [f" rare{i}x" for i in range(50)]
+    texts = [(f"the{w} the",) for w in rare] + [(None,), ("",), (" once" + "z" * byte_bpe.LONG,)]
+    rows = byte_bpe.folded_words(spark.createDataFrame(texts, "text string").coalesce(1), vocabulary).collect()
+    words = sorted({p for t, in texts if t for p in byte_bpe.Splitter(P.PATTERN)(t) if len(p) <= byte_bpe.LONG})
+    assert len({x["block"] for x in rows}) == 1
+    assert sum(len(x["numbers"]) for x in rows) == len({n for x in rows for n in x["numbers"]}) == len(words)
+    found = []
+    for x in rows:
+        ids = [int.from_bytes(x["ids"][i:i + vocabulary.width]) for i in range(0, len(x["ids"]), vocabulary.width)]
+        for n in x["sizes"]:
+            found.append(tuple(ids[:n]))
+            del ids[:n]
+        assert not ids
+    assert sorted(found) == sorted(tuple(library._encode_single_piece(w)) for w in words)
+
+
+def test_words_beyond_the_fold_and_blocks_equal_the_library(spark, make_docs, library, vocabulary):
+    r = random.Random(5)
+    long = ["".join(r.choice("abeinrst") for _ in range(n)) for n in (byte_bpe.LONG - 1, byte_bpe.LONG, byte_bpe.LONG + 1, 5000)]
+    texts = [None, "", *long, "é" * byte_bpe.LONG, long[3] + " the " + long[3], "z" * 40000]
+    docs = make_docs([(i // 2, t) for i, t in enumerate(texts)]).coalesce(1)
+    for size in (2, byte_bpe.BLOCK):
+        got = byte_bpe.round_trip(docs, vocabulary, size=size, keep=["doc_id"])
+        assert got.columns == ["doc_id", "ids", "bytes"]
+        want = [(i // 2, b"".join(k.to_bytes(4, "little") for k in library.encode_ordinary(t or "")), (t or "").encode()) for i, t in enumerate(texts)]
+        assert sorted((x[0], bytes(x[1]), bytes(x[2])) for x in got.collect()) == sorted(want)
+
+
+def test_rows_in_another_order_are_an_error():
+    import numpy as np
+
+    words = byte_bpe.Words(1, 2)
+    words.add(np.array([1, 0], np.int32), np.array([1, 2], np.int32), bytes([0, 7, 1, 0, 0, 9]))
+    assert words.ids(np.array([0, 1, 0])).tolist() == [256, 9, 7, 256, 9]
+    with pytest.raises(RuntimeError):
+        words.ids(np.array([0, 2]))
+    with pytest.raises(RuntimeError):
+        byte_bpe.Words(2, 2).ids(np.array([0]))
+
+
 def test_documents_equal_the_library(spark, library):
     from postrank.llm.queries import op10_byte_bpe
 
