@@ -195,14 +195,15 @@ def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) ->
                 [pa.array(found), pa.array([key] * len(found), pa.int64()), pa.array(joined, pa.binary()), pa.array(starts, lists),
                  pa.array([numbers[g] for g in groups], lists)], names=["share", "block", "joined", "starts", "numbers"])
 
-    def pair(i: Column) -> Column:
-        start = F.get("starts", i - 1)
-        word = F.col("joined").substr(start + 1, F.get("starts", i) - start)
-        return F.struct(word.cast("string").alias("word"), F.get("numbers", i - 1).alias("number"))
+    def pairs(joined: Column) -> Column:  # bound once: a row's binary column is copied whenever it is read
+        def pair(i: Column) -> Column:
+            start = F.get("starts", i - 1)
+            word = joined.substr(start + 1, F.get("starts", i) - start)
+            return F.struct(word.cast("string").alias("word"), F.get("numbers", i - 1).alias("number"))
+        return F.transform(F.sequence(F.lit(1), F.size("numbers")), pair)
 
     sent = texts.mapInArrow(run, "share int, block bigint, joined binary, starts array<int>, numbers array<int>")
-    words = sent.repartitionById(n, "share").select(
-        "share", "block", F.inline(F.transform(F.sequence(F.lit(1), F.size("numbers")), pair)))
+    words = sent.repartitionById(n, "share").select("share", "block", F.inline(let(F.col("joined"), pairs)))
     once = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "number")).alias("at"))
     ids = let(vocabulary.table.literal(), lambda t: fold(F.col("word"), vocabulary, t))
     text = F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), "")
