@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-A text is split into words by the published pattern. A word is an array of its bytes, and ranked merges are
-folded over it: the neighbours of the lowest rank merge, leftmost first, until no neighbours have a rank.
+A text is split into words by the published pattern. A word is a string with a character for the id of each byte, and
+ranked merges are folded over it: the neighbours of the lowest rank merge, leftmost first, until no neighbours have a rank.
 
-Every distinct word of the whole texts is folded once, by Spark higher-order functions with the rank map as a
+Every distinct word of the whole texts is folded once, by Spark higher-order functions with the merges as a
 literal of the plan. Texts go in blocks of a bounded number of distinct words: a block numbers its words, its texts
 become numbers, and its words are sent to the fold by a hash. The words' ids come back to their block, where
 the ids of its texts are put together. Decoding concatenates the ids' bytes.
@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEPT, TEXT, arrow_type, kept_columns, let, map_text, quoted, shared
+from .common import KEPT, TEXT, arrow_type, kept_columns, let, map_text, quoted, shared, worker_cache
 from .token_count import Splitter
 
 BLOCK = 400_000  # distinct words at which a block of texts ends
 BLOCK_WORDS = 4_000_000  # words at which it ends as well
 LONG = 1024  # bytes of a word up to which Spark folds it
 NO_RANK = 2**31 - 1
+SURROGATES = 0xD800, 0x800  # the first code point that no character has, and how many there are
+EDGE, ZERO = "\U0010ffff", "\U0010fffe"  # no ids
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +51,7 @@ class Table:
 
     def __init__(self, entries: dict[str, object], kind: str):
         self.kind, self.slots = kind, 1024
-        while self.slots < 2 * len(entries):
+        while 2 * self.slots < len(entries):
             self.slots *= 2
         self.maps: list[dict | None] = [None] * self.slots
         for key, value in entries.items():
@@ -62,70 +64,113 @@ class Table:
 
     def find(self, table: Column, key: Column) -> Column:
         """The value of ``key`` in the bound literal, or null."""
-        return F.get(table, F.xxhash64(key).bitwiseAND(F.lit(self.slots - 1)).cast("int"))[key]
+        return table[F.xxhash64(key).bitwiseAND(F.lit(self.slots - 1))][key]
 
 
 class Vocabulary:
-    """Ranks by their bytes, also as a literal table, and the pattern that splits texts."""
+    """Ranks by their bytes, the pattern that splits texts, and the merges as a literal table. There an id is a
+    character, its code point the id (past the surrogates), so that characters sort as ranks do."""
 
     def __init__(self, ranks: dict[bytes, int], published: str):
         self.ranks, self.published = ranks, published
-        self.width = max(1, (max(ranks.values(), default=0).bit_length() + 7) // 8)  # bytes of an id
-        self.table = Table({b.decode("latin-1"): r for b, r in ranks.items()}, "int")
+        if not all(bytes([i]) in ranks for i in range(256)) or max(ranks.values()) + SURROGATES[1] >= ord(ZERO):
+            raise ValueError("every byte needs a rank, and ranks have to stay below the number of code points")
+        self.width = 2 if max(ranks.values()) < SURROGATES[0] else 4  # bytes of an id
+        self.charset = {2: "UTF-16BE", 4: "UTF-32"}[self.width]
+        merges = {chars([ranks[t[:i]], ranks[t[i:]]]): chars([r]) for t, r in ranks.items()
+                  for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        # entries that merges don't reach: a word like them is one token nevertheless; three bytes or more, so no pair's key
+        self.whole = {chars([ranks[t[i:i + 1]] for i in range(len(t))]): chars([r]) for t, r in ranks.items() if merged(t, ranks) != [r]}
+        self.table = Table(merges | self.whole, "string")
 
 
-def fold(word: Column, vocabulary: Vocabulary, table: Column) -> Column:
-    """The ids of a word: ranked merges folded over its bytes."""
-    def rank(key: Column) -> Column:
-        return F.coalesce(vocabulary.table.find(table, key), F.lit(NO_RANK))
+def chars(ids: list[int]) -> str:
+    first, n = SURROGATES
+    return "".join([chr(i if i < first else i + n) for i in ids])
 
-    none = F.array().cast("array<int>")
 
-    def merge(state: Column, _: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
+def bound(value: Column, state: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(state, value)`` with ``value`` evaluated once and, other than by ``let``, no copy of the state."""
+    return F.aggregate(F.array(value), state, body)
+
 
-        def at(p: Column) -> Column:
-            """``p``: the position, from 1, of the left neighbour."""
-            def with_merged(m: Column) -> Column:
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), m)))).otherwise(none)
-                right = F.when(p + 1 < F.size(parts), F.array(rank(F.concat(m, F.get(parts, p + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(parts, 1, p - 1), F.array(m), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right,
-                             F.slice(ranks, p + 2, F.size(parts))).alias("ranks"))
-            return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), with_merged)
+def fold_chars(word: Column, vocabulary: Vocabulary, table: Column) -> Column:
+    """The ids of a word as characters: ranked merges folded over its bytes."""
+    def find(key: Column) -> Column:
+        return vocabulary.table.find(table, key)
 
-        return let(F.coalesce(F.array_min(ranks), F.lit(NO_RANK)), lambda least: F.when(least == NO_RANK, state).otherwise(
-            let(F.array_position(ranks, least).cast("int"), at)))
+    def merge(state: Column, _: Column) -> Column:
+        """The state: parts (one character each, after EDGE), and what each merges to with the next one."""
+        def lowest(state: Column, least: Column) -> Column:
+            def at(state: Column, p: Column) -> Column:
+                def with_merged(state: Column, parts: Column) -> Column:
+                    two = F.array(find(parts.substr(p - 1, F.lit(2))), find(parts.substr(p, F.lit(2))))
+                    to = F.flatten(F.array(F.slice(state["to"], F.lit(1), p - 2), two, F.slice(state["to"], p + 2, F.lit(LONG + 1))))
+                    return F.struct(parts.alias("parts"), to.alias("to"))
+                return bound(F.overlay(state["parts"], least, p, F.lit(2)), state, with_merged)
+            # one character an element; array_position takes several times as long inside a lambda
+            place = F.call_function("instr", F.array_join(state["to"], "", EDGE), least)
+            return F.when(least.isNull(), state).otherwise(bound(place, state, at))
+        return bound(F.array_min(state["to"]), state, lowest)
+
+    def of(parts: Column) -> Column:
+        to = F.transform(F.sequence(F.lit(1), F.length(parts)), lambda i: find(parts.substr(i, F.lit(2))))
+        steps = F.sequence(F.lit(2), F.length(parts))
+        last = F.aggregate(steps, F.struct(parts.alias("parts"), to.alias("to")), merge)["parts"].substr(F.lit(2), F.lit(LONG))
+        return F.coalesce(find(parts.substr(F.lit(2), F.lit(LONG))), last) if vocabulary.whole else last
+
+    of_bytes = [vocabulary.ranks[bytes([i])] for i in range(256)]
+    to = "".join([chars([i]) if i else ZERO for i in of_bytes])  # translate takes "\0" for a character to leave out
+    parts = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(map(chr, range(256))), to)
+    return let(F.concat(F.lit(EDGE), F.replace(parts, F.lit(ZERO), F.lit("\0"))), of)
 
-    def of(chars: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: chars.substr(i, F.lit(1)))
-        rest = F.slice(F.sequence(F.lit(1), F.length(chars)), 1, F.length(chars) - 1)
-        ranks = F.transform(rest, lambda i: rank(chars.substr(i, F.lit(2))))
-        merged = F.aggregate(rest, F.struct(parts.alias("parts"), ranks.alias("ranks")), merge)
-        ids = F.transform(merged["parts"], lambda p: vocabulary.table.find(table, p))
-        return let(rank(chars), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(ids))
 
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
+def fold(word: Column, vocabulary: Vocabulary, table: Column) -> Column:
+    """The ids of a word of up to LONG bytes, as an array."""
+    def of(parts: Column) -> Column:
+        points = F.transform(F.sequence(F.lit(1), F.length(parts)), lambda i: F.conv(F.hex(F.encode(parts.substr(i, F.lit(1)), "UTF-32")), 16, 10).cast("int"))
+        return F.transform(points, lambda x: F.when(x < SURROGATES[0], x).otherwise(x - SURROGATES[1]))
+    return let(fold_chars(word, vocabulary, table), of)
 
 
 class Block:
     """Some texts as the numbers of their words, distinct words numbered as they come."""
 
     def __init__(self, part: int, n: int):
-        self.part, self.n, self.words = part, n, 0
+        self.part, self.n, self.n_words = part, n, 0
         self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
         self.codes: list[bytes] = []
         self.kept: list[pa.Array] = []
 
-    def code(self, words: list[str]) -> list[int]:
-        self.words += len(words)
-        return list(map(self.numbers.__getitem__, words))
+    def see(self, words: list[str]) -> None:
+        """Adds words whose numbers aren't needed yet: only the order counts."""
+        self.n_words += len(words)
+        self.numbers.update(dict.fromkeys(words))
+
+    def code(self, words: list[str]) -> np.ndarray:
+        self.n_words += len(words)
+        return np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words))
 
-    def key(self) -> int:
+    def words(self) -> pa.Array:
+        """The distinct words by their numbers."""
+        return pa.array(list(self.numbers), pa.string())
+
+    def key(self, words: pa.Array) -> int:
         """Of the place and the words: a second reading that finds other rows gets another key."""
-        place = f"{self.part} {self.n}".encode()
-        return xxhash.xxh64_intdigest(b"\xff".join([place, *map(str.encode, self.numbers)])) - 2**63
+        ends, data = buffers(words)
+        hashed = xxhash.xxh64(f"{self.part} {self.n} ".encode())
+        hashed.update(ends.data)
+        hashed.update(data.data)
+        return hashed.intdigest() - 2**63
+
+
+def buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``words`` begins (and the last one ends), and their bytes, of an array that is no slice."""
+    if not len(words):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1)
+    return ends, np.frombuffer(data, np.uint8, ends[-1])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], size: int, packed: bool) -> Iterator[Block]:
@@ -136,10 +181,12 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]],
     for b in batches:
         start = 0
         for i, x in enumerate(b.column(b.num_columns - 1)):
-            codes = block.code(split(x.as_py()) if x.is_valid else [])
+            words = split(x.as_py()) if x.is_valid else []
             if packed:
-                block.codes.append(pack(codes))
-            if len(block.numbers) > size or block.words > BLOCK_WORDS:
+                block.codes.append(pack(block.code(words)))
+            else:
+                block.see(words)
+            if len(block.numbers) > size or block.n_words > BLOCK_WORDS:
                 if packed:
                     block.kept.append(b.column(0).slice(start, i + 1 - start))
                 yield block
@@ -149,9 +196,9 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]],
     yield block
 
 
-def pack(codes: list[int]) -> bytes:
+def pack(codes: np.ndarray) -> bytes:
     """Numbers of words by planes of their bytes, compressed."""
-    planes = np.ascontiguousarray(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T)
+    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)
     return len(codes).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -172,28 +219,26 @@ def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) ->
     ids they have, and these, each in the vocabulary's ``width`` of bytes. Every distinct word up to LONG bytes is folded
     once, where a hash of it leads; a block sends each of its words once."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    published, digits, lists = vocabulary.published, 2 * vocabulary.width, pa.list_(pa.int32())
+    published, lists = vocabulary.published, pa.list_(pa.int32())
 
     def run(batches):
+        worker_cache("byte_bpe")  # nothing is kept; what another operator has kept goes
         for block in blocks(batches, Splitter(published), size, packed=False):
-            words, numbers = [], []
-            for w, number in block.numbers.items():
-                if len(x := w.encode()) <= LONG:
-                    words.append(x)
-                    numbers.append(number)
-            shares = np.fromiter((zlib.crc32(x) % n for x in words), np.int32, len(words))
-            order = np.argsort(shares, kind="stable")
+            words = block.words()
+            key = block.key(words)
+            shares = np.fromiter((zlib.crc32(w.encode()) % n for w in block.numbers), np.int32, len(words))
+            block.numbers.clear()
+            order = np.argsort(shares, kind="stable").astype(np.int32)
+            order = order[np.diff(buffers(words)[0])[order] <= LONG]
+            starts, joined = buffers(words.take(pa.array(order)))
             found, first = np.unique(shares[order], return_index=True)
-            groups = np.split(order, first[1:]) if len(order) else []
-            joined, starts, key = [], [], block.key()
-            for group in groups:
-                some = [words[i] for i in group.tolist()]
-                joined.append(b"".join(some))
-                starts.append(np.cumsum([0, *map(len, some)], dtype=np.int32))
-            numbers = np.array(numbers, np.int32)
+            ends = [*first[1:].tolist(), len(order)]
+            spans = list(zip(first.tolist(), ends))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array([key] * len(found), pa.int64()), pa.array(joined, pa.binary()), pa.array(starts, lists),
-                 pa.array([numbers[g] for g in groups], lists)], names=["share", "block", "joined", "starts", "numbers"])
+                [pa.array(found), pa.array([key] * len(found), pa.int64()),
+                 pa.array([joined[starts[i]:starts[j]].tobytes() for i, j in spans], pa.binary()),
+                 pa.array([starts[i:j + 1] - starts[i] for i, j in spans], lists), pa.array([order[i:j] for i, j in spans], lists)],
+                names=["share", "block", "joined", "starts", "numbers"])
 
     def pairs(joined: Column) -> Column:  # bound once: a row's binary column is copied whenever it is read
         def pair(i: Column) -> Column:
@@ -205,13 +250,12 @@ def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) ->
     sent = texts.mapInArrow(run, "share int, block bigint, joined binary, starts array<int>, numbers array<int>")
     words = sent.repartitionById(n, "share").select("share", "block", F.inline(let(F.col("joined"), pairs)))
     once = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "number")).alias("at"))
-    ids = let(vocabulary.table.literal(), lambda t: fold(F.col("word"), vocabulary, t))
-    text = F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), "")
-    back = once.select("share", text.alias("ids"), "at").select("share", "ids", F.inline("at"))
+    ids = let(vocabulary.table.literal(), lambda t: fold_chars(F.col("word"), vocabulary, t))
+    back = once.select("share", ids.alias("ids"), "at").select("share", "ids", F.inline("at"))
     tables = back.groupBy("share", "block").agg(F.collect_list(F.struct("number", "ids")).alias("words"))
     return tables.select("block", F.col("words.number").alias("numbers"),
-                         F.transform("words.ids", lambda x: (F.length(x) / digits).cast("int")).alias("sizes"),
-                         F.unhex(F.array_join("words.ids", "")).alias("ids"))
+                         F.transform("words.ids", F.length).alias("sizes"),
+                         F.encode(F.array_join("words.ids", ""), vocabulary.charset).alias("ids"))
 
 
 def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields: T.StructType,
@@ -233,12 +277,13 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields:
     types = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
     def numbered(batches):
+        worker_cache("byte_bpe")
         for block in blocks(batches, Splitter(published), size, packed=True):
-            key, at = block.key(), 0
+            key, at = block.key(block.words()), 0
             for w in block.numbers:
                 if len(w) > LONG // 4 and len(x := w.encode()) > LONG:
                     ids = heap_merge(x, ranks.value)
-                    row = [block.numbers[w]], [len(ids)], b"".join(i.to_bytes(width) for i in ids)
+                    row = [block.numbers[w]], [len(ids)], chars(ids).encode({2: "utf-16-be", 4: "utf-32-be"}[width])
                     yield row_batch(pa.nulls(1, block.kept[0].type), key, [None], [pa.array([c], t) for c, t in zip(row, types)])
             for rows in block.kept:
                 yield row_batch(rows, key, block.codes[at:at + len(rows)], [pa.nulls(len(rows), t) for t in types])
@@ -295,11 +340,11 @@ class Words:
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the ids of each number begin, how many there are, and all ids."""
         numbers, sizes, packed = map(np.concatenate, zip((np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8)), *self.parts))
-        ids = np.zeros((len(packed) // self.width, 4), np.uint8)
-        ids[:, 4 - self.width:] = packed.reshape(-1, self.width)
+        ids = packed.view(f">u{self.width}").astype("<u4")
+        ids[ids >= sum(SURROGATES)] -= SURROGATES[1] if self.width == 4 else 0
         by_number = np.zeros((2, numbers.max(initial=-1) + 1), np.int64)
         by_number[0, numbers], by_number[1, numbers] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
-        return by_number[0], by_number[1], ids.view(">u4").ravel().astype("<u4")
+        return by_number[0], by_number[1], ids
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = BLOCK, packed: bool = False) -> DataFrame:
@@ -341,19 +386,21 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size:
 
 def list_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ranked merges of a word, in the plain form that the others are tested against."""
+    return [ranks[word]] if word in ranks else merged(word, ranks)
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     rank = ranks.get
-    if (whole := rank(word)) is not None:
-        return [whole]
     parts = [word[i:i + 1] for i in range(len(word))]
     pairs = [rank(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
     while pairs and (least := min(pairs)) != NO_RANK:
         i = pairs.index(least)
-        parts[i:i + 2] = [merged := parts[i] + parts[i + 1]]
+        parts[i:i + 2] = [both := parts[i] + parts[i + 1]]
         del pairs[i]
         if i < len(pairs):
-            pairs[i] = rank(merged + parts[i + 1], NO_RANK)
+            pairs[i] = rank(both + parts[i + 1], NO_RANK)
         if i:
-            pairs[i - 1] = rank(parts[i - 1] + merged, NO_RANK)
+            pairs[i - 1] = rank(parts[i - 1] + both, NO_RANK)
     return [ranks[p] for p in parts]
 
 

@@ -113,3 +113,21 @@ def test_documents_equal_the_library(spark, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_fold_of_a_vocabulary_with_unreachable_entries_and_wide_ids(spark):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"bc": 0xD800 - 1, b"ab": 0xD800, b"abcd": 70000, b"xyz": 0xE000, b"cd": 256}
+    v, own = byte_bpe.Vocabulary(ranks, P.PATTERN), tiktoken.Encoding("small", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert v.width == 4 and len(v.whole) == 1
+    words = ["xyz", "xyzx", "abcd", "abc", "aabcab", "\x00", "a\x00b", "é", "bcd", "d" * 5, "ab" * 9]
+    docs = spark.createDataFrame(list(enumerate([*words, " ".join(words)])), "doc_id int, text string").coalesce(1)
+    folded = spark.createDataFrame([(w,) for w in words], "w string").select(
+        "w", let(v.table.literal(), lambda t: byte_bpe.fold(F.col("w"), v, t)).alias("ids"))
+    for x in folded.collect():
+        assert list(x["ids"]) == own._encode_single_piece(x["w"]), x["w"]
+    for x in byte_bpe.encode(docs, v).collect():
+        assert list(x["ids"]) == own.encode_ordinary(x["text"]), x["text"]
+    with pytest.raises(ValueError):
+        byte_bpe.Vocabulary({b"a": 0}, P.PATTERN)
