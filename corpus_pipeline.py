@@ -92,14 +92,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids as little-endian 32-bit integers, with whether decoding them gives the text's bytes again. A missing or
-    empty text has none; repeated rows each get theirs."""
+    empty text has none; repeated rows each get theirs. The decoded bytes are compared by their SHA-256, so that texts
+    need not be held and shuffled beside their words' numbers."""
     _begin(spark)
     vocabulary = byte_bpe.Vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
                                      public_tokenizers.PATTERN)
-    out = byte_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), vocabulary)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    texts = docs.select("doc_id", "text", "lang", "source", F.sha2(body, 256).alias("digest"))
+    out = byte_bpe.round_trip(texts, vocabulary, keep=["doc_id", "lang", "source", "digest"])
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-                      "ids", (F.col("bytes") == body).alias("round_trip"))
+                      "ids", (F.sha2("bytes", 256) == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [

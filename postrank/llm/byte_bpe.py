@@ -151,6 +151,11 @@ class Block:
         self.n_words += len(words)
         return np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words))
 
+    def clear(self) -> None:
+        """Lets go of everything: the next block is made while a loop still holds this one."""
+        self.numbers.clear()
+        self.codes, self.kept = [], []
+
     def words(self) -> pa.Array:
         """The distinct words by their numbers."""
         return pa.array(list(self.numbers), pa.string())
@@ -175,9 +180,13 @@ def buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], size: int, packed: bool) -> Iterator[Block]:
     """The texts (last column) in blocks, which end by the texts alone, wherever batches end. With ``packed``, they hold
-    their texts' numbers and the first column."""
+    their texts' numbers and the first column, copied: a slice would keep its whole batch with the texts."""
     part = TaskContext.get().partitionId()
     block = Block(part, 0)
+
+    def copied(rows: pa.Array, start: int, end: int) -> pa.Array:
+        return rows.take(pa.array(np.arange(start, end)))
+
     for b in batches:
         start = 0
         for i, x in enumerate(b.column(b.num_columns - 1)):
@@ -188,11 +197,11 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]],
                 block.see(words)
             if len(block.numbers) > size or block.n_words > BLOCK_WORDS:
                 if packed:
-                    block.kept.append(b.column(0).slice(start, i + 1 - start))
+                    block.kept.append(copied(b.column(0), start, i + 1))
                 yield block
                 block, start = Block(part, block.n + 1), i + 1
         if packed and start < b.num_rows:
-            block.kept.append(b.column(0).slice(start))
+            block.kept.append(copied(b.column(0), start, b.num_rows))
     yield block
 
 
@@ -221,24 +230,28 @@ def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) ->
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     published, lists = vocabulary.published, pa.list_(pa.int32())
 
+    def row_batch(block: Block) -> pa.RecordBatch:
+        words = block.words()
+        key = block.key(words)
+        shares = np.fromiter((zlib.crc32(w.encode()) % n for w in block.numbers), np.int32, len(words))
+        order = np.argsort(shares, kind="stable").astype(np.int32)
+        order = order[np.diff(buffers(words)[0])[order] <= LONG]
+        starts, joined = buffers(words.take(pa.array(order)))
+        found, first = np.unique(shares[order], return_index=True)
+        ends = [*first[1:].tolist(), len(order)]
+        spans = list(zip(first.tolist(), ends))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.array([key] * len(found), pa.int64()),
+             pa.array([joined[starts[i]:starts[j]].tobytes() for i, j in spans], pa.binary()),
+             pa.array([starts[i:j + 1] - starts[i] for i, j in spans], lists), pa.array([order[i:j] for i, j in spans], lists)],
+            names=["share", "block", "joined", "starts", "numbers"])
+
     def run(batches):
         worker_cache("byte_bpe")  # nothing is kept; what another operator has kept goes
         for block in blocks(batches, Splitter(published), size, packed=False):
-            words = block.words()
-            key = block.key(words)
-            shares = np.fromiter((zlib.crc32(w.encode()) % n for w in block.numbers), np.int32, len(words))
-            block.numbers.clear()
-            order = np.argsort(shares, kind="stable").astype(np.int32)
-            order = order[np.diff(buffers(words)[0])[order] <= LONG]
-            starts, joined = buffers(words.take(pa.array(order)))
-            found, first = np.unique(shares[order], return_index=True)
-            ends = [*first[1:].tolist(), len(order)]
-            spans = list(zip(first.tolist(), ends))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array([key] * len(found), pa.int64()),
-                 pa.array([joined[starts[i]:starts[j]].tobytes() for i, j in spans], pa.binary()),
-                 pa.array([starts[i:j + 1] - starts[i] for i, j in spans], lists), pa.array([order[i:j] for i, j in spans], lists)],
-                names=["share", "block", "joined", "starts", "numbers"])
+            out = row_batch(block)
+            block.clear()
+            yield out
 
     def pairs(joined: Column) -> Column:  # bound once: a row's binary column is copied whenever it is read
         def pair(i: Column) -> Column:
@@ -252,10 +265,10 @@ def folded_words(texts: DataFrame, vocabulary: Vocabulary, size: int = BLOCK) ->
     once = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "number")).alias("at"))
     ids = let(vocabulary.table.literal(), lambda t: fold_chars(F.col("word"), vocabulary, t))
     back = once.select("share", ids.alias("ids"), "at").select("share", "ids", F.inline("at"))
-    tables = back.groupBy("share", "block").agg(F.collect_list(F.struct("number", "ids")).alias("words"))
-    return tables.select("block", F.col("words.number").alias("numbers"),
-                         F.transform("words.ids", F.length).alias("sizes"),
-                         F.encode(F.array_join("words.ids", ""), vocabulary.charset).alias("ids"))
+    # two lists of the same order (nothing in them is null): a struct for every word would take half as much memory again
+    tables = back.groupBy("share", "block").agg(F.collect_list("number").alias("numbers"), F.collect_list("ids").alias("words"))
+    return tables.select("block", "numbers", F.transform("words", F.length).alias("sizes"),
+                         F.encode(F.array_join("words", ""), vocabulary.charset).alias("ids"))
 
 
 def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields: T.StructType,
@@ -288,6 +301,7 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text: str, size: int, fields:
             for rows in block.kept:
                 yield row_batch(rows, key, block.codes[at:at + len(rows)], [pa.nulls(len(rows), t) for t in types])
                 at += len(rows)
+            block.clear()
 
     def row_batch(rows, key, codes, columns):
         return pa.RecordBatch.from_arrays([rows, pa.array([key] * len(rows), pa.int64()), pa.array(codes, pa.binary()), *columns],

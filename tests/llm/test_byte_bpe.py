@@ -131,3 +131,23 @@ def test_fold_of_a_vocabulary_with_unreachable_entries_and_wide_ids(spark):
         assert list(x["ids"]) == own.encode_ordinary(x["text"]), x["text"]
     with pytest.raises(ValueError):
         byte_bpe.Vocabulary({b"a": 0}, P.PATTERN)
+
+
+def test_blocks_hold_no_batch_and_are_let_go(monkeypatch):
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(byte_bpe, "TaskContext", Task)
+    kept = pa.StructArray.from_arrays([pa.array([f"{i:04}" * 50 for i in range(1000)])], ["k"])
+    batch = pa.RecordBatch.from_arrays([kept, pa.array([f"w{i}" for i in range(1000)])], names=["kept", "text"])
+    seen = []
+    for block in byte_bpe.blocks(iter([batch, batch]), str.split, 99, packed=True):
+        for rows in block.kept:
+            seen += [x["k"] for x in rows.to_pylist()]
+            assert rows.get_total_buffer_size() < 2 * rows.nbytes + 1000 < kept.nbytes / 4
+        block.clear()
+        assert not block.numbers and not block.codes and not block.kept
+    assert seen == [x["k"] for x in kept.to_pylist()] * 2

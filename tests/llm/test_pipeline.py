@@ -88,3 +88,20 @@ def test_run_applies_all_stages_and_empty_tables_pass(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_are_not_shuffled_beside_their_numbers(spark, make_docs, monkeypatch):
+    made = []
+    round_trip = C.byte_bpe.round_trip
+
+    def seen(*a, **b):
+        made.append(round_trip(*a, **b))
+        return made[0]
+
+    monkeypatch.setattr(C.byte_bpe, "round_trip", seen)
+    docs = make_docs([(1, "a b"), (1, "a b"), (2, None), (3, "")]).select("doc_id", "text", *[C.F.lit(None).cast("string").alias(c) for c in ("lang", "source")])
+    got = sorted((x["doc_id"], x["n_tokens"], x["round_trip"]) for x in C.tokenize(spark, docs, "").collect())
+    assert got == [(1, 2, True), (1, 2, True), (2, 0, True), (3, 0, True)]
+    assert "text" not in made[0].columns
+    monkeypatch.setattr(C.byte_bpe, "round_trip", lambda *a, **b: round_trip(*a, **b).withColumn("bytes", C.F.lit(b"a c")))
+    assert {x["round_trip"] for x in C.tokenize(spark, docs, "").collect()} == {False}
